@@ -8,6 +8,9 @@ many tasks as there are ranges.
 
 The range borders only steer the balance. Any borders give the same numbers, so a task
 that is run again, or a sample that differs, cannot change the result.
+
+The input is read for the sample, for the range counts and for the rows, so it should be a
+table or a checkpoint rather than the end of a long plan.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.paths import base_name, raw_extension, stem
 from siftwell.operators.ordinals import positions
+from siftwell.session import checkpointed
 
 MODES = ("copy", "move")
 # Slot numbers are searched in ranges of this many; no sampling is needed for integers.
@@ -52,14 +53,15 @@ def resolve_names(flagged: DataFrame, existing: DataFrame, path: str = "path") -
 
     Very common names are safe: all numbering is by ``positions``, which splits a name.
     """
-    claims = flagged.select(F.col(path).alias("path"), base_name(F.col(path)).alias("name"))
-    taken = existing.select(F.col("dest_name").alias("name")).dropDuplicates()
+    # Both are read several times below; what they derive from (a scan) should run once.
+    claims = checkpointed(flagged.select(F.col(path).alias("path"), base_name(F.col(path)).alias("name")))
+    taken = checkpointed(existing.select(F.col("dest_name").alias("name")).dropDuplicates())
 
     # An existing name sits in front of all claims for it, so that position 0 owns the name.
     queue = claims.select("name", "path", F.lit(True).alias("claim")).unionByName(
         taken.select("name", F.lit("").alias("path"), F.lit(False).alias("claim"))
     )
-    queued = positions(queue, ["name"], ["path"], out="place")
+    queued = checkpointed(positions(queue, ["name"], ["path"], out="place"))
     owners = queued.where("place = 0 and claim").select("path", "name", F.col("name").alias("dest_name"))
     waiting = queued.where("place > 0 and claim").select("path", "name", (F.col("place") - 1).alias("slot"))
 
