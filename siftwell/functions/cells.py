@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 
 def _float_text(c: Column) -> Column:
-    """Shortest round-trip text with Python's choice between plain and exponent form."""
+    """Shortest round-trip text where the JVM would use an exponent, in Python's form."""
     plain = c.cast("string")
     sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
     mantissa = F.regexp_extract(plain, r"^-?([0-9.]+)E", 1)
@@ -25,25 +25,37 @@ def _float_text(c: Column) -> Column:
     )
     magnitude = F.abs(c)
     return (
-        F.when((magnitude >= 1e-3) & (magnitude < 1e7), plain)
-        .when(magnitude >= 1e7, shifted_right)
+        F.when(magnitude >= 1e7, shifted_right)
         .when(magnitude >= 1e-4, four_zeros)
         .otherwise(scientific)
     )
 
 
+def _special(c: Column) -> Column:
+    return F.isnan(c) | (F.abs(c) == float("inf"))
+
+
 def cell_to_str(c: Column, dtype: T.DataType) -> Column:
     """Integral floats lose their fraction; other values print as they would in a cell."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         # A float column goes through its own text, so 0.1f does not become 0.10000000149.
         wide = c.cast("string").cast("double") if isinstance(dtype, T.FloatType) else c
-        whole = wide.cast(T.DecimalType(38, 0)).cast("string")
-        is_whole = (wide == F.floor(wide)) & (F.abs(wide) < 1e37)
-        special = F.isnan(wide) | (F.abs(wide) == float("inf"))
+        small_whole = wide.try_cast("bigint")
+
+        def rare(v: Column) -> Column:
+            return (
+                F.when(_special(v), F.lower(F.replace(v.cast("string"), F.lit("Infinity"), F.lit("inf"))))
+                .when((F.abs(v) >= 1e15) & (F.abs(v) < 1e37), v.cast(T.DecimalType(38, 0)).cast("string"))
+                .otherwise(_float_text(v))
+            )
+
+        magnitude = F.abs(wide)
+        # The rare forms go through an array function, which keeps them out of the generated
+        # code: with several float cells per row that code would be too long to be compiled.
         return (
-            F.when(special, F.lower(F.replace(wide.cast("string"), F.lit("Infinity"), F.lit("inf"))))
-            .when(is_whole, whole)
-            .otherwise(_float_text(wide))
+            F.when((magnitude < 1e15) & (wide == small_whole), small_whole.cast("string"))
+            .when((magnitude >= 1e-3) & (magnitude < 1e7), wide.cast("string"))
+            .otherwise(F.transform(F.array(wide), rare)[0])
         )
     if isinstance(dtype, T.BooleanType):
         return F.initcap(c.cast("string"))

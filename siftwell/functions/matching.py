@@ -7,10 +7,12 @@ row, which is how files and document tables arrive.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftwell.functions.rules import Fused, RuleSet, fuse
+from siftwell.functions.rules import Fused, Rule, RuleSet, fuse
 from siftwell.functions.text import REST
 
 # Noncharacters that mark a hit and its groups inside the rewritten text.
@@ -21,13 +23,20 @@ NO_HITS = f"array<{HIT_TYPE}>"
 FINDING_TYPE = "struct<rule_idx:int,match_count:bigint,first_ord:bigint>"
 
 
-def _marked_pieces(text: Column, fused: Fused) -> Column:
+# Up to this many different required strings are tested one by one per text.
+_MAX_NEEDS = 3
+
+
+def _marked_pieces(text: Column, rules: RuleSet, present: Sequence[Rule]) -> Column:
     """One regex pass: each hit becomes ``_HIT $g0 _END $g1 _END ...``; one piece per hit.
 
     Only the group of the rule that matched is non-empty, so the number of leading
-    ``_END`` characters of a piece is the rule index.
+    ``_END`` characters of a piece is the rule index. Rules that are not ``present`` are left
+    out of the pattern and keep their ``_END``.
     """
-    template = _HIT + "".join(f"${g}{_END}" for g in fused.offsets)
+    fused = fuse(present)
+    group = {r.idx: g for r, g in zip(present, fused.offsets)}
+    template = _HIT + "".join((f"${group[r.idx]}" if r.idx in group else "") + _END for r in rules)
     marked = F.regexp_replace(text, F.lit(fused.java), F.lit(template))
     return F.slice(F.split(marked, _HIT), 2, REST)
 
@@ -42,53 +51,78 @@ def _group_arrays(text: Column, fused: Fused) -> Column:
     return F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups)])
 
 
-def _winner(row: Column, n_rules: int, value) -> Column:
+def _winner(row: Column, n_rules: int, value: Callable[[int, Column], Column]) -> Column:
     picked = F.when(row["g0"] != "", value(0, row["g0"]))
     for i in range(1, n_rules):
         picked = picked.when(row[f"g{i}"] != "", value(i, row[f"g{i}"]))
     return picked
 
 
+def _by_content(text: Column, rules: RuleSet, search: Callable[[Sequence[Rule]], Column], nothing: Column) -> Column:
+    """``search`` with only the rules whose required string occurs in the text.
+
+    A rule that cannot match anywhere in a text does not change what the others match, and
+    a plain substring test costs far less than trying its pattern at every position.
+    """
+    needs = list(dict.fromkeys(r.needs for r in rules if r.needs))[:_MAX_NEEDS]
+
+    def branch(open_needs: list[str], absent: frozenset[str]) -> Column:
+        if open_needs:
+            need, rest = open_needs[0], open_needs[1:]
+            return F.when(F.contains(text, F.lit(need)), branch(rest, absent)).otherwise(branch(rest, absent | {need}))
+        present = [r for r in rules if r.needs not in absent]
+        return search(present) if present else nothing
+
+    return branch(needs, frozenset())
+
+
 def fused_codes(text: Column, rules: RuleSet) -> Column:
     """``array<int>``: the rule index of every hit, left to right."""
+    nothing = F.array().cast("array<int>")
     if not len(rules):
-        return F.array().cast("array<int>")
-    fused = fuse(rules)
-    fast = F.transform(
-        _marked_pieces(text, fused), lambda p: F.length(p) - F.length(F.ltrim(p, F.lit(_END)))
-    )
-    exact = F.transform(_group_arrays(text, fused), lambda row: _winner(row, len(rules), lambda i, _: F.lit(i)))
-    return F.when(_has_marks(text), exact).otherwise(fast)
+        return nothing
+
+    def search(present: Sequence[Rule]) -> Column:
+        return F.transform(
+            _marked_pieces(text, rules, present), lambda p: F.length(p) - F.length(F.ltrim(p, F.lit(_END)))
+        )
+
+    exact = F.transform(_group_arrays(text, fuse(rules)), lambda row: _winner(row, len(rules), lambda i, _: F.lit(i)))
+    return F.when(_has_marks(text), exact).otherwise(_by_content(text, rules, search, nothing))
 
 
 def fused_hits(text: Column, rules: RuleSet) -> Column:
     """``array<struct<rule_idx, matched>>``: every hit with its text, left to right."""
+    nothing = F.array().cast(NO_HITS)
     if not len(rules):
-        return F.array().cast(NO_HITS)
-    fused = fuse(rules)
+        return nothing
 
     def named(i: Column | int, matched: Column) -> Column:
         index = F.lit(i) if isinstance(i, int) else i
         return F.struct(index.alias("rule_idx"), matched.alias("matched"))
 
-    fast = F.transform(
-        _marked_pieces(text, fused),
-        lambda p: named(
-            F.length(p) - F.length(F.ltrim(p, F.lit(_END))),
-            F.substring_index(F.ltrim(p, F.lit(_END)), _END, 1),
-        ),
-    )
-    exact = F.transform(_group_arrays(text, fused), lambda row: _winner(row, len(rules), named))
-    return F.when(_has_marks(text), exact.cast(NO_HITS)).otherwise(fast.cast(NO_HITS))
+    def search(present: Sequence[Rule]) -> Column:
+        return F.transform(
+            _marked_pieces(text, rules, present),
+            lambda p: named(
+                F.length(p) - F.length(F.ltrim(p, F.lit(_END))),
+                F.substring_index(F.ltrim(p, F.lit(_END)), _END, 1),
+            ),
+        ).cast(NO_HITS)
+
+    exact = F.transform(_group_arrays(text, fuse(rules)), lambda row: _winner(row, len(rules), named))
+    return F.when(_has_marks(text), exact.cast(NO_HITS)).otherwise(_by_content(text, rules, search, nothing))
 
 
 def count_code(codes: Column, rule_idx: int) -> Column:
     return F.size(F.filter(codes, lambda c: c == rule_idx)).cast("bigint")
 
 
-def independent_count(text: Column, pattern: str) -> Column:
+def independent_count(text: Column, rule: Rule) -> Column:
     """Non-overlapping matches of one rule, zero-length ones included."""
-    return F.regexp_count(text, F.lit(pattern)).cast("bigint")
+    nothing = F.lit(0).cast("bigint")
+    found = F.coalesce(F.regexp_count(text, F.lit(rule.java)).cast("bigint"), nothing)
+    return found if rule.needs is None else F.when(F.contains(text, F.lit(rule.needs)), found).otherwise(nothing)
 
 
 def early_codes(chunks: Column, rules: RuleSet, threshold: int) -> Column:
@@ -109,7 +143,7 @@ def early_codes(chunks: Column, rules: RuleSet, threshold: int) -> Column:
     def step(acc: Column, chunk: Column) -> Column:
         codes = F.concat(acc["codes"], fused_codes(chunk, rules))
         return F.when(acc["settled"], acc).otherwise(
-            _let(codes, lambda c: F.struct(c.alias("codes"), settled(c).alias("settled")))
+            bind(codes, lambda c: F.struct(c.alias("codes"), settled(c).alias("settled")))
         )
 
     return F.aggregate(chunks, start, step)["codes"]
@@ -152,7 +186,7 @@ def early_stop(codes: Column, n_rules: int, threshold: int) -> Column:
         hit = F.filter(F.array(*per_rule), lambda f: f["match_count"] > 0)
         return _by_first(hit)
 
-    return _let(_let(ordinals, settle), findings)
+    return bind(bind(ordinals, settle), findings)
 
 
 def full_findings(codes: Column, n_rules: int) -> Column:
@@ -173,7 +207,7 @@ def full_findings(codes: Column, n_rules: int) -> Column:
 def sequential_whole(text: Column, rules: RuleSet, threshold: int) -> Column:
     """Rule after rule over one text, ending with the rule that reaches the threshold."""
     need = max(threshold, 1)
-    counts = F.array(*[independent_count(text, r.java) for r in rules]) if len(rules) else None
+    counts = F.array(*[independent_count(text, r) for r in rules]) if len(rules) else None
     if counts is None:
         return F.array().cast(f"array<{FINDING_TYPE}>")
 
@@ -190,7 +224,7 @@ def sequential_whole(text: Column, rules: RuleSet, threshold: int) -> Column:
         )
         return F.filter(rows, lambda f: (f["match_count"] > 0) & (f["rule_idx"] <= stop))
 
-    return _let(counts, findings)
+    return bind(counts, findings)
 
 
 def sequential_chunked(chunks: Column, rules: RuleSet, threshold: int) -> Column:
@@ -207,8 +241,8 @@ def sequential_chunked(chunks: Column, rules: RuleSet, threshold: int) -> Column
     )
 
     def step(acc: Column, chunk: Column) -> Column:
-        found = F.array(*[independent_count(chunk, r.java) for r in rules])
-        return F.when(acc["settled"], acc).otherwise(_let(found, lambda n: absorb(acc, n)))
+        found = F.array(*[independent_count(chunk, r) for r in rules])
+        return F.when(acc["settled"], acc).otherwise(bind(found, lambda n: absorb(acc, n)))
 
     def absorb(acc: Column, found: Column) -> Column:
         total = F.zip_with(acc["counts"], found, lambda a, b: a + b)
@@ -239,11 +273,15 @@ def sequential_chunked(chunks: Column, rules: RuleSet, threshold: int) -> Column
         )
         return _by_first(F.filter(rows, lambda f: f["match_count"] > 0))
 
-    return _let(done, findings)
+    return bind(done, findings)
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and use it by name inside ``body``."""
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it by name inside ``body``.
+
+    Unlike an alias in an earlier projection, this survives a filter that the optimizer
+    pushes down by substituting the alias: an expensive value stays a single occurrence.
+    """
     return F.transform(F.array(value), body)[0]
 
 

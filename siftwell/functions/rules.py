@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from re import _parser
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ class Rule:
     body: str
     groups: int
     matches_empty: bool
+    # A string every match contains, or None. A text without it cannot match the rule.
+    needs: str | None
 
     @property
     def java(self) -> str:
@@ -105,7 +108,8 @@ def make_rules(raw: Iterable[Mapping[str, str] | tuple[str | None, str]]) -> Rul
                 pattern=pattern,
                 body=to_java(pattern),
                 groups=compiled.groups,
-                matches_empty=compiled.match("") is not None or _can_be_empty(pattern),
+                matches_empty=compiled.match("") is not None or _min_width(pattern) == 0,
+                needs=required_text(pattern),
             )
         )
     return RuleSet(tuple(rules))
@@ -115,16 +119,31 @@ def default_rules() -> RuleSet:
     return make_rules(DEFAULT_RULES)
 
 
-def _can_be_empty(pattern: str) -> bool:
-    """Minimum width zero, lookarounds included: ``\\b`` and ``(?=x)`` count as empty."""
-    parser = getattr(re, "_parser", None)
-    return bool(parser) and parser.parse(pattern).getwidth()[0] == 0
+def _min_width(pattern: str) -> int:
+    """Shortest possible match, lookarounds included: ``\\b`` and ``(?=x)`` have width zero."""
+    return _parser.parse(pattern).getwidth()[0]
 
 
-def fuse(rules: RuleSet) -> Fused:
+def required_text(pattern: str) -> str | None:
+    """The longest run of plain characters on the one path every match takes."""
+    parsed = _parser.parse(pattern)
+    if parsed.state.flags & (re.IGNORECASE | re.VERBOSE):
+        return None
+    runs, run = [], ""
+    for kind, value in parsed:
+        if str(kind) == "LITERAL":
+            run += chr(value)
+        else:
+            runs.append(run)
+            run = ""
+    return max([*runs, run], key=len) or None
+
+
+def fuse(rules: Iterable[Rule]) -> Fused:
     """``(p0)|(p1)|...``: one left-to-right scan where earlier rules win at the same start."""
-    if not rules.fusable:
-        bad = [r.name for r in rules if r.matches_empty]
+    rules = list(rules)
+    bad = [r.name for r in rules if r.matches_empty]
+    if bad:
         raise RuleError(f"rules that match the empty string cannot be fused: {bad}")
     offsets, parts, next_group = [], [], 1
     for rule in rules:

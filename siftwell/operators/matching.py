@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import matching as m
 from siftwell.functions.rules import RuleSet
 from siftwell.operators.ordinals import first_n
+from siftwell.session import spread
 
 FUSED, INDEPENDENT = "fused", "independent"
 
@@ -41,7 +42,7 @@ def name_findings(findings: DataFrame, rules: RuleSet) -> DataFrame:
 def hits_fused(texts: DataFrame, keys: Sequence[str], rules: RuleSet, text: str = "text") -> DataFrame:
     """``(keys..., pos, rule_idx, matched)``: one row per hit, ``pos`` from 0 within the text."""
     hit = F.posexplode(m.fused_hits(F.col(text), rules)).alias("pos", "hit")
-    return texts.select(*keys, hit).select(*keys, "pos", "hit.rule_idx", "hit.matched")
+    return spread(texts.select(*keys, text)).select(*keys, hit).select(*keys, "pos", "hit.rule_idx", "hit.matched")
 
 
 def hits_independent(texts: DataFrame, keys: Sequence[str], rules: RuleSet, text: str = "text") -> DataFrame:
@@ -53,7 +54,7 @@ def hits_independent(texts: DataFrame, keys: Sequence[str], rules: RuleSet, text
         ]
     )
     return (
-        texts.select(*keys, F.explode(per_rule).alias("r"))
+        spread(texts.select(*keys, text)).select(*keys, F.explode(per_rule).alias("r"))
         .select(*keys, "r.rule_idx", F.posexplode("r.found").alias("pos", "matched"))
         .select(*keys, "pos", "rule_idx", "matched")
     )
@@ -64,15 +65,14 @@ def match_independent(texts: DataFrame, keys: Sequence[str], rules: RuleSet, tex
 
     Documents meet rules through a literal array of per-rule counts, so nothing is joined.
     """
-    counts = F.array(*[m.independent_count(F.col(text), r.java) for r in rules])
-    return texts.select(*keys, F.posexplode(counts).alias("rule_idx", "match_count"))
+    counts = F.array(*[m.independent_count(F.col(text), r) for r in rules])
+    return spread(texts.select(*keys, text)).select(*keys, F.posexplode(counts).alias("rule_idx", "match_count"))
 
 
 def fused_counts(texts: DataFrame, keys: Sequence[str], rules: RuleSet, text: str = "text") -> DataFrame:
     """As :func:`match_independent` with one fused pass over each text."""
-    codes = texts.select(*keys, m.fused_codes(F.col(text), rules).alias("_codes"))
-    counts = F.array(*[m.count_code(F.col("_codes"), r.idx) for r in rules])
-    return codes.select(*keys, F.posexplode(counts).alias("rule_idx", "match_count"))
+    counted = m.bind(m.fused_codes(F.col(text), rules), lambda c: F.array(*[m.count_code(c, r.idx) for r in rules]))
+    return spread(texts.select(*keys, text)).select(*keys, F.posexplode(counted).alias("rule_idx", "match_count"))
 
 
 def counts(
@@ -125,28 +125,27 @@ def row_findings(
 
     ``chunks`` names an ``array<string>`` column and takes the place of ``text``.
     """
+    k, limit = len(rules), threshold if early else 2**31 - 1
     fused = pick_mode(rules, mode) == FUSED
-    if chunks is not None and fused:
-        codes = m.early_codes(F.col(chunks), rules, threshold) if early else F.flatten(
-            F.transform(F.col(chunks), lambda c: m.fused_codes(c, rules))
-        )
-    elif fused:
-        codes = m.fused_codes(F.col(text), rules)
-    elif chunks is not None:
-        found = m.sequential_chunked(F.col(chunks), rules, threshold if early else 2**31 - 1)
-        return texts.select(*keys, found.alias("found"))
+    if not fused and chunks is not None:
+        found = m.sequential_chunked(F.col(chunks), rules, limit)
+    elif not fused:
+        found = m.sequential_whole(F.col(text), rules, limit)
     else:
-        found = m.sequential_whole(F.col(text), rules, threshold if early else 2**31 - 1)
-        return texts.select(*keys, found.alias("found"))
-    # A separate projection, so that the codes are computed once and then counted.
-    staged = texts.select(*keys, codes.alias("_codes"))
-    found = m.early_stop(F.col("_codes"), len(rules), threshold) if early else m.full_findings(F.col("_codes"), len(rules))
-    return staged.select(*keys, found.alias("found"))
+        if chunks is None:
+            codes = m.fused_codes(F.col(text), rules)
+        elif early:
+            codes = m.early_codes(F.col(chunks), rules, threshold)
+        else:
+            codes = F.flatten(F.transform(F.col(chunks), lambda c: m.fused_codes(c, rules)))
+        found = m.bind(codes, lambda c: m.early_stop(c, k, threshold) if early else m.full_findings(c, k))
+    source = spread(texts.select(*keys, text)) if chunks is None else texts
+    return source.select(*keys, found.alias("found"))
 
 
 def explode_findings(found: DataFrame, keys: Sequence[str], rules: RuleSet) -> DataFrame:
     """Long form ``(keys..., rule_idx, rule_name, match_count, first_ord)``."""
-    rows = found.select(*keys, F.explode("found").alias("f")).select(
-        *keys, "f.rule_idx", "f.match_count", "f.first_ord"
-    )
-    return name_findings(rows, rules)
+    # An inner explode would make the optimizer test the array's size before the explode,
+    # and so compute the whole array twice; the outer one leaves the test to the rows.
+    rows = found.select(*keys, F.explode_outer("found").alias("f")).where("f IS NOT NULL")
+    return name_findings(rows.select(*keys, "f.rule_idx", "f.match_count", "f.first_ord"), rules)

@@ -9,7 +9,10 @@ many tasks as there are ranges.
 The range borders only steer the balance. Any borders give the same numbers, so a task
 that is run again, or a sample that differs, cannot change the result.
 
-The input is read for the sample, for the range counts and for the rows, so it should be a
+Where the largest group is small, which one count over the key columns tells, an ordinary
+window is used instead; it needs a single pass.
+
+The input is read for these counts, for the sample and for the rows, so it should be a
 table or a checkpoint rather than the end of a long plan.
 """
 
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 
 _SAMPLE_PER_RANGE = 32
 _MAX_RANGES = 256
+# A group of this many rows is sorted by one task without trouble.
+SMALL_GROUP = 100_000
 
 
 def range_borders(df: DataFrame, order: str, ranges: int) -> list:
@@ -45,6 +50,12 @@ def range_borders(df: DataFrame, order: str, ranges: int) -> list:
     return sorted(set(values[step::step]))
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows in the largest group; only the key columns are read."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")) if keys else df.agg(F.count("*").alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
 def _range_of(order: str, borders: list, dtype) -> Column:
     if not borders:
         return F.lit(0)
@@ -61,6 +72,7 @@ def running_total(
     ranges: int | None = None,
     width: int | None = None,
     below: int | None = None,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Add ``out``: the total ``weight`` of the rows before this one in its group.
 
@@ -70,6 +82,13 @@ def running_total(
     ``below`` keeps only rows whose total is under it; whole ranges beyond it are dropped
     before the rows are sorted.
     """
+    value = F.lit(1).cast("bigint") if weight is None else F.coalesce(weight.cast("bigint"), F.lit(0).cast("bigint"))
+    nothing = F.lit(0).cast("bigint")
+    if largest_group(df, keys) <= small_group:
+        whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        simple = df.withColumn("_w", value).withColumn(out, F.coalesce(F.sum("_w").over(whole), nothing)).drop("_w")
+        return simple if below is None else simple.where(F.col(out) < below)
+
     first = order[0]
     n = ranges or min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 8), _MAX_RANGES)
     dtype = df.schema[first].dataType
@@ -77,7 +96,6 @@ def running_total(
         bucket = F.floor(F.col(first) / F.lit(float(width))).cast("bigint")
     else:
         bucket = _range_of(first, range_borders(df, first, n), dtype)
-    value = F.lit(1).cast("bigint") if weight is None else F.coalesce(weight.cast("bigint"), F.lit(0).cast("bigint"))
     # One struct for key and range: nulls in a key compare equal inside it, and the join and
     # the window below then ask for the same partitioning.
     rows = df.withColumn("_w", value).withColumn("_g", F.struct(*keys, bucket.alias("_range")))
@@ -88,14 +106,14 @@ def running_total(
         .orderBy("_g._range")
         .rowsBetween(W.unboundedPreceding, -1)
     )
-    offsets = totals.select("_g", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("bigint")).alias("_offset"))
+    offsets = totals.select("_g", F.coalesce(F.sum("_sum").over(before), nothing).alias("_offset"))
     if below is not None:
         offsets = offsets.where(F.col("_offset") < below)
 
     inside = W.partitionBy("_g").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     numbered = (
         rows.join(offsets, "_g")
-        .withColumn(out, F.col("_offset") + F.coalesce(F.sum("_w").over(inside), F.lit(0).cast("bigint")))
+        .withColumn(out, F.col("_offset") + F.coalesce(F.sum("_w").over(inside), nothing))
         .drop("_g", "_w", "_offset")
     )
     return numbered if below is None else numbered.where(F.col(out) < below)

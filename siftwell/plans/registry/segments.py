@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.chunks import chunk_array
+from siftwell.functions.matching import independent_count
 from siftwell.functions.text import cap_chars_array, physical_lines
 from siftwell.operators import matching as ops
 from siftwell.operators.chunking import cap_chars, cap_segments, chunk_lines, chunk_units
@@ -24,6 +25,7 @@ from siftwell.plans.registry.base import (
 )
 from siftwell.plans.registry.matching import DOC, _documents, _shown
 from siftwell.plans.scan import scan_rows, scan_units
+from siftwell.session import spread
 from siftwell.sources.segments import (
     csv_segments,
     ordered_parts,
@@ -65,7 +67,7 @@ def chunk_lines_in_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cap_segments",
-    f"WITH {_SEGMENTS_SQL} SELECT doc_id, seg_no AS position, text FROM segs WHERE seg_no < {LINE_CAP}",
+    f"WITH {_SEGMENTS_SQL} SELECT doc_id, CAST(seg_no AS BIGINT) AS position, text FROM segs WHERE seg_no < {LINE_CAP}",
 )
 def cap_segments_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = cap_segments(text_segments(_documents(spark, sf_dir), DOC), DOC, ["seg_no"], LINE_CAP)
@@ -292,10 +294,10 @@ _LINE_TEXT = (
 )
 def row_counts_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of the largest table as a text of its own, counted per rule."""
-    lineitem = table(spark, sf_dir, "lineitem")
+    lineitem = spread(table(spark, sf_dir, "lineitem"))
     rules = corpus_rules()
     texts = lineitem.select("l_returnflag", "l_linestatus", row_text(lineitem, _LINE_COLUMNS).alias("text"))
-    counted = texts.select("l_returnflag", "l_linestatus", *[F.regexp_count("text", F.lit(r.java)).alias(r.name) for r in rules])
+    counted = texts.select("l_returnflag", "l_linestatus", *[independent_count(F.col("text"), r).alias(r.name) for r in rules])
     return counted.groupBy("l_returnflag", "l_linestatus").agg(*[F.sum(r.name).alias(f"n_{r.name}") for r in rules])
 
 
@@ -313,7 +315,11 @@ def stream_lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("utf16_carve")
+@query(
+    "utf16_carve",
+    # All characters of the corpus take one unit, so 20,000 bytes are 10,000 characters.
+    "SELECT doc_id, regexp_replace(substr(text, 1, 10000), '[\\x00-\\x1f]', '', 'g') AS text FROM documents",
+)
 def utf16_carve_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as raw UTF-16LE, carved back; the first 20,000 bytes are the format's own limit."""
     return _documents(spark, sf_dir).select("doc_id", utf16_carve(F.encode(F.col("text"), "UTF-16LE")).alias("text"))

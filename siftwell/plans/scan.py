@@ -17,6 +17,7 @@ from siftwell.operators.chunking import SEGMENT_CAP, chunk_lines, chunk_units
 from siftwell.operators.matching import FUSED, findings, name_findings, pick_mode, row_findings
 from siftwell.operators.ordinals import first_n
 from siftwell.operators.verdicts import classify, row_verdicts, verdicts
+from siftwell.session import spread
 from siftwell.sources.catalog import catalog_scan, read_contents
 from siftwell.sources.profiles import SUPPORTED_EXTENSIONS, with_profile
 from siftwell.sources.segments import Extractor, csv_records, extract_segments, row_segments, text_of, unit_lines
@@ -36,8 +37,9 @@ def scan_text(
 
 def text_chunks(df: DataFrame, keys: Sequence[str], lines_per_chunk: int, cap: int | None, text: str) -> DataFrame:
     """``(keys..., chunks)`` of plain text: physical lines, capped, cut and glued back."""
-    lines = head_lines(physical_lines(text_of(df, text)), cap)
-    staged = df.select(*keys, lines.alias("_lines"))
+    texts = spread(df.select(*keys, text))
+    lines = head_lines(physical_lines(text_of(texts, text)), cap)
+    staged = texts.select(*keys, lines.alias("_lines"))
     return staged.select(*keys, chunk_array(F.col("_lines"), lines_per_chunk, "").alias("chunks"))
 
 
@@ -67,7 +69,7 @@ def chunk_findings(
     """
     need = max(threshold, 1)
     if pick_mode(rules, mode) == FUSED:
-        staged = chunks.select(*keys, "chunk_no", m.fused_codes(F.col("text"), rules).alias("_codes"))
+        staged = spread(chunks.select(*keys, "chunk_no", "text")).select(*keys, "chunk_no", m.fused_codes(F.col("text"), rules).alias("_codes"))
         kept = staged.select(*keys, "chunk_no", "_codes", m.early_stop(F.col("_codes"), len(rules), need).alias("_f"))
         length = F.aggregate("_f", F.lit(0).cast("bigint"), lambda a, f: a + f["match_count"])
         hits = kept.select(
@@ -77,7 +79,7 @@ def chunk_findings(
         )
         return findings(hits, keys, rules, need)
     per_rule = F.array(
-        *[F.struct(F.lit(r.idx).alias("rule_idx"), m.independent_count(F.col("text"), r.java).alias("n")) for r in rules]
+        *[F.struct(F.lit(r.idx).alias("rule_idx"), m.independent_count(F.col("text"), r).alias("n")) for r in rules]
     )
     counted = chunks.select(*keys, "chunk_no", F.explode(per_rule).alias("c")).where("c.n > 0")
     hits = counted.select(

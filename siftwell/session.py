@@ -33,3 +33,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siftwell-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a source too small to be split over them.
+
+    A file is read by one task per split, so a few hundred megabytes of text can leave most
+    cores idle in front of a pattern match. Only where the estimated input is below one
+    split per core are the rows dealt out again; that bounds what is moved. A large input
+    already has more splits than cores and is returned as it is, without a shuffle.
+    """
+    spark = df.sparkSession
+    if df.isStreaming:
+        return df
+    try:
+        estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        # Spark Connect has no plan statistics on the client.
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if estimate < cores * split else df

@@ -98,11 +98,21 @@ def row_text(df: DataFrame, columns: Sequence[str], skip_empty: bool = False) ->
     return join_cells([cell_to_str(F.col(c), df.schema[c].dataType) for c in columns], skip_empty)
 
 
+def row_has_text(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Does any cell of a row print something? Decided on the cells, without joining them."""
+    filled = F.lit(False)
+    for name in columns:
+        text = isinstance(df.schema[name].dataType, (T.StringType, T.VarcharType, T.CharType))
+        shows = F.coalesce(non_blank(F.col(name)), F.lit(False)) if text else F.col(name).isNotNull()
+        filled = filled | shows
+    return filled
+
+
 def row_segments(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], skip_empty: bool = False
 ) -> DataFrame:
     """``(keys..., text)``: one segment per non-blank row of any table."""
-    return df.select(*keys, row_text(df, columns, skip_empty).alias("text")).where(non_blank(F.col("text")))
+    return df.where(row_has_text(df, columns)).select(*keys, row_text(df, columns, skip_empty).alias("text"))
 
 
 def ordered_parts(
@@ -136,10 +146,8 @@ def unit_lines(df: DataFrame, keys: Sequence[str], unit: str, text: str = "text"
 
 def unit_segments(df: DataFrame, keys: Sequence[str], unit: str, text: str = "text") -> DataFrame:
     """``(keys..., unit_no, seg_no, text)``; ``seg_no`` counts within the unit."""
-    return (
-        unit_lines(df, keys, unit, text)
-        .select(*keys, F.col(unit).alias("unit_no"), F.posexplode("lines").alias("seg_no", "text"))
-    )
+    lines = F.posexplode(stripped_lines(F.col(text))).alias("seg_no", "text")
+    return df.select(*keys, F.col(unit).alias("unit_no"), lines)
 
 
 def stream_lines(content: Column, n_bytes: int) -> Column:
