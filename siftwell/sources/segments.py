@@ -52,24 +52,30 @@ def text_segments(df: DataFrame, keys: Sequence[str], text: str = "text") -> Dat
     return _exploded(df, keys, physical_lines(text_of(df, text)))
 
 
-@F.pandas_udf(RECORDS_TYPE)
-def _quoted_records(texts: pd.Series) -> pd.DataFrame:
-    """Records of the documents that use quotes; null in, null out."""
-    records, errors = [], []
-    for text in texts:
-        if text is None:
-            records.append(None)
-            errors.append(None)
-            continue
-        rows, error = [], None
-        try:
-            for fields in csv.reader(io.StringIO(text)):
-                rows.append(" ".join(fields))
-        except csv.Error as problem:
-            error = str(problem)
-        records.append(rows)
-        errors.append(error)
-    return pd.DataFrame({"records": records, "error": errors})
+def _record_parser() -> Callable[[Column], Column]:
+    """Parser of the documents that use quotes; null in, null out.
+
+    A nested function travels to the workers by value, so the package need not be installed
+    on them.
+    """
+
+    @F.pandas_udf(RECORDS_TYPE)
+    def quoted_records(texts: pd.Series) -> pd.DataFrame:
+        records, errors = [], []
+        for text in texts:
+            rows, error = None, None
+            if text is not None:
+                rows = []
+                try:
+                    for fields in csv.reader(io.StringIO(text)):
+                        rows.append(" ".join(fields))
+                except csv.Error as problem:
+                    error = str(problem)
+            records.append(rows)
+            errors.append(error)
+        return pd.DataFrame({"records": records, "error": errors})
+
+    return quoted_records
 
 
 def csv_records(text: Column) -> Column:
@@ -80,7 +86,7 @@ def csv_records(text: Column) -> Column:
     travel to it as null. An error keeps the records before it.
     """
     quoted = text.contains('"')
-    parsed = _quoted_records(F.when(quoted, text))
+    parsed = _record_parser()(F.when(quoted, text))
     plain = F.transform(split_lines(text), lambda line: F.replace(line, F.lit(","), F.lit(" ")))
     return F.when(quoted, parsed).otherwise(
         F.struct(plain.alias("records"), F.lit(None).cast("string").alias("error"))
@@ -155,20 +161,20 @@ def stream_lines(content: Column, n_bytes: int) -> Column:
     return stripped_lines(lossy_utf8(F.substring(content, 1, n_bytes)))
 
 
-@F.pandas_udf(T.StringType())
-def _carve(contents: pd.Series) -> pd.Series:
-    def units(data: bytes | None) -> str | None:
-        if data is None:
-            return None
-        text = bytes(data[: len(data) // 2 * 2]).decode("utf-16-le", errors="replace")
-        return "".join("\n" if ch == "\r" else ch for ch in text if ch == "\r" or (ch >= " " and ch != "\ufeff"))
+def utf16_carve(content: Column, n_bytes: int = UTF16_PREFIX_BYTES) -> Column:
+    """Text from raw UTF-16LE units: printable ones kept, CR as newline, the rest dropped."""
 
-    return contents.map(units)
+    @F.pandas_udf(T.StringType())
+    def carve(contents: pd.Series) -> pd.Series:
+        def units(data: bytes | None) -> str | None:
+            if data is None:
+                return None
+            text = bytes(data[: len(data) // 2 * 2]).decode("utf-16-le", errors="replace")
+            return "".join("\n" if ch == "\r" else ch for ch in text if ch == "\r" or (ch >= " " and ch != "\ufeff"))
 
+        return contents.map(units)
 
-def utf16_carve(content: Column, n_bytes: int = UTF16_PREFIX_BYTES) -> Column:
-    """Text from raw UTF-16LE units: printable ones kept, CR as newline, the rest dropped."""
-    return _carve(F.substring(content, 1, n_bytes))
+    return carve(F.substring(content, 1, n_bytes))
 
 
 Extractor = Callable[[str, bytes], Iterable[tuple[int, str]]]
