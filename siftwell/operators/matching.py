@@ -139,7 +139,7 @@ def row_findings(
         else:
             codes = F.flatten(F.transform(F.col(chunks), lambda c: m.fused_codes(c, rules)))
         found = m.bind(codes, lambda c: m.early_stop(c, k, threshold) if early else m.full_findings(c, k))
-    source = spread(texts.select(*keys, text)) if chunks is None else texts
+    source = spread(texts.select(*dict.fromkeys([*keys, text]))) if chunks is None else texts
     return source.select(*keys, found.alias("found"))
 
 

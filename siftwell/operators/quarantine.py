@@ -21,19 +21,25 @@ def flagged_keys(verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def quarantine(
-    source: DataFrame, verdicts: DataFrame, keys: Sequence[str], mode: str = "move"
+    source: DataFrame, verdicts: DataFrame | None, keys: Sequence[str], mode: str = "move"
 ) -> tuple[DataFrame, DataFrame]:
     """``(quarantined, remaining)``: the flagged source rows, and what the source then holds.
 
     Nothing is changed in place. ``copy`` leaves the source whole, ``move`` takes the
     flagged rows out of it. Flagged items that are no longer in the source are skipped.
+
+    With ``verdicts=None`` the source carries ``is_sensitive`` itself (see ``with_verdicts``)
+    and is split by a filter: no join, so the payload is never shuffled.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
-    flagged = flagged_keys(verdicts, keys)
-    taken = source.join(flagged, list(keys), "left_semi")
-    remaining = source if mode == "copy" else source.join(flagged, list(keys), "left_anti")
-    return taken, remaining
+    if verdicts is None:
+        taken, rest = source.where("is_sensitive"), source.where("NOT is_sensitive")
+    else:
+        flagged = flagged_keys(verdicts, keys)
+        taken = source.join(flagged, list(keys), "left_semi")
+        rest = source.join(flagged, list(keys), "left_anti")
+    return taken, source if mode == "copy" else rest
 
 
 def numbered_name(name: Column, number: Column) -> Column:

@@ -23,7 +23,7 @@ from siftwell.plans.registry.base import (
 )
 from siftwell.plans.registry.catalog import BASE_SQL, CATALOG_SQL, EXT_SQL, MAX_BYTES, derived_catalog
 from siftwell.plans.registry.matching import DOC, _documents
-from siftwell.plans.scan import scan_text
+from siftwell.plans.scan import scan_text, with_verdicts
 from siftwell.session import checkpointed
 from siftwell.sinks.encryption import decrypt_payload, encrypt_payload
 from siftwell.sinks.scan_log import scan_log_rows
@@ -123,6 +123,16 @@ def quarantine_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quarantine(source, _verdicts(spark, sf_dir), DOC, "move")[1]
 
 
+@query(
+    "quarantine_in_place",
+    f"WITH {_VERDICT_SQL} SELECT d.doc_id, d.text, d.lang, d.source FROM documents d JOIN verdicts v USING (doc_id) WHERE NOT v.is_sensitive",
+)
+def quarantine_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same split with the verdict beside the row, so that no text is shuffled by key."""
+    judged = with_verdicts(table(spark, sf_dir, "documents").drop("n_chars"), corpus_rules(), THRESHOLD)
+    return quarantine(judged, None, DOC, "move")[1].drop("is_sensitive", "details")
+
+
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged paths with their names in the quarantine folder."""
     flagged = derived_catalog(spark, sf_dir).join(_verdicts(spark, sf_dir).where("is_sensitive"), "doc_id", "left_semi")

@@ -14,7 +14,7 @@ from siftwell.functions.rules import RuleSet
 from siftwell.functions.text import head_lines, lossy_utf8, non_blank, physical_lines, universal_newlines
 from siftwell.operators.catalog import skip_scanned
 from siftwell.operators.chunking import SEGMENT_CAP, chunk_lines, chunk_units
-from siftwell.operators.matching import FUSED, findings, name_findings, pick_mode, row_findings
+from siftwell.operators.matching import FUSED, findings, pick_mode, row_findings
 from siftwell.operators.ordinals import first_n
 from siftwell.operators.verdicts import classify, row_verdicts, verdicts
 from siftwell.session import spread
@@ -35,6 +35,16 @@ def scan_text(
     return row_verdicts(found, keys, rules, threshold)
 
 
+def with_verdicts(
+    df: DataFrame, rules: RuleSet, threshold: int, text: str = "text", mode: str = FUSED
+) -> DataFrame:
+    """All columns of ``df`` plus ``is_sensitive`` and ``details``, added in place without a join."""
+    columns = list(df.columns)
+    others = [c for c in columns if c != text]
+    found = row_findings(df, [*others, text], rules, threshold, mode, text)
+    return row_verdicts(found, [*others, text], rules, threshold).select(*columns, "is_sensitive", "details")
+
+
 def text_chunks(df: DataFrame, keys: Sequence[str], lines_per_chunk: int, cap: int | None, text: str) -> DataFrame:
     """``(keys..., chunks)`` of plain text: physical lines, capped, cut and glued back."""
     texts = spread(df.select(*keys, text))
@@ -222,11 +232,6 @@ def scan_files(
     )
 
 
-def long_findings(found: DataFrame, keys: Sequence[str], rules: RuleSet) -> DataFrame:
-    """Name a ``(keys..., rule_idx, ...)`` findings table."""
-    return name_findings(found, rules)
-
-
 def status_of(df: DataFrame, max_bytes: int, elapsed_ms: Column | None = None) -> DataFrame:
     """Add ``status`` to a table with ``size_bytes`` and ``is_sensitive``."""
     return df.withColumn("status", classify(F.col("size_bytes"), F.col("is_sensitive"), max_bytes, elapsed_ms))

@@ -27,6 +27,7 @@ from siftwell.functions.text import (
     universal_newlines,
 )
 from siftwell.operators.ordinals import positions
+from siftwell.session import spread
 from siftwell.sources.profiles import UTF16_PREFIX_BYTES
 
 RECORDS_TYPE = T.StructType(
@@ -49,7 +50,8 @@ def _exploded(df: DataFrame, keys: Sequence[str], segments: Column) -> DataFrame
 
 def text_segments(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Physical lines of a text or binary column, newline kept."""
-    return _exploded(df, keys, physical_lines(text_of(df, text)))
+    texts = spread(df.select(*keys, text))
+    return _exploded(texts, keys, physical_lines(text_of(texts, text)))
 
 
 def _record_parser() -> Callable[[Column], Column]:
@@ -95,7 +97,8 @@ def csv_records(text: Column) -> Column:
 
 def csv_segments(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Records of a CSV text column, blank ones included so that a cap can count them."""
-    staged = df.select(*keys, csv_records(text_of(df, text)).alias("_r"))
+    texts = spread(df.select(*keys, text))
+    staged = texts.select(*keys, csv_records(text_of(texts, text)).alias("_r"))
     return _exploded(staged, keys, F.col("_r.records"))
 
 
