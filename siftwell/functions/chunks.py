@@ -46,42 +46,29 @@ def unit_chunk_ids(sizes: Column, size: Column | int) -> Column:
     return F.aggregate(sizes, start, step)["ids"]
 
 
-def unit_chunk_array(units: Column, size: Column | int, joiner: Column | str = "\n") -> Column:
-    """Chunk texts of an ``array<array<string>>`` of units.
+def unit_chunk_array(segments: Column, size: Column | int, joiner: Column | str = "\n") -> Column:
+    """Chunk texts of an ordered ``array<struct<unit_no, text>>``.
 
-    The fold collects finished chunks and the one being filled, so a document of many
-    pages is walked once.
+    A chunk is closed when a new unit starts and it holds at least ``size`` segments. The
+    fold collects finished chunks and the one being filled, so a document of many pages is
+    walked once.
     """
     n = F.lit(size) if isinstance(size, int) else size
     sep = F.lit(joiner) if isinstance(joiner, str) else joiner
     empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("done"), empty.alias("open"))
+    start = F.struct(empty.alias("done"), empty.alias("open"), F.lit(None).cast("int").alias("unit"))
 
-    def step(acc: Column, unit: Column) -> Column:
-        held = F.concat(acc["open"], unit)
-        full = F.size(held) >= n
+    def step(acc: Column, segment: Column) -> Column:
+        close = (segment["unit_no"] != acc["unit"]) & (F.size(acc["open"]) >= n)
+        text = F.array(segment["text"])
         return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(_glue(held, sep)))).otherwise(acc["done"]).alias("done"),
-            F.when(full, empty).otherwise(held).alias("open"),
+            F.when(close, F.concat(acc["done"], F.array(_glue(acc["open"], sep)))).otherwise(acc["done"]).alias("done"),
+            F.when(close, text).otherwise(F.concat(acc["open"], text)).alias("open"),
+            segment["unit_no"].alias("unit"),
         )
 
     def finish(acc: Column) -> Column:
         rest = F.array(_glue(acc["open"], sep))
         return F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], rest)).otherwise(acc["done"])
 
-    return F.aggregate(units, start, step, finish)
-
-
-def cap_units(units: Column, cap: int) -> Column:
-    """Keep the first ``cap`` segments of an array of units, cutting inside a unit if needed."""
-    start = F.struct(F.array().cast("array<array<string>>").alias("kept"), F.lit(0).alias("held"))
-
-    def step(acc: Column, unit: Column) -> Column:
-        head = F.slice(unit, F.lit(1), F.least(F.size(unit), F.lit(cap) - acc["held"]))
-        return F.struct(
-            F.concat(acc["kept"], F.array(head)).alias("kept"), (acc["held"] + F.size(head)).alias("held")
-        )
-
-    return F.when(
-        F.aggregate(units, F.lit(0), lambda a, u: a + F.size(u)) > cap, F.aggregate(units, start, step)["kept"]
-    ).otherwise(units)
+    return F.aggregate(segments, start, step, finish)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.numbers import percent_done
 from siftwell.functions.paths import path_key
 from siftwell.operators.ordinals import positions
 
@@ -52,9 +53,11 @@ def with_batch(catalog: DataFrame, size: int = BATCH_SIZE, order: str = "path")
 def with_progress(results: DataFrame, order: Sequence[str]) -> DataFrame:
     """Add ``completed`` (1, 2, ...), ``total`` and ``pct``, the whole percent completed."""
     numbered = positions(results, [], order, out="_pos")
-    total = results.agg(F.count("*").alias("total"))
-    done = numbered.withColumn("completed", F.col("_pos") + 1).drop("_pos")
-    # One row with one number: attached by a broadcast of fixed size.
-    return done.join(F.broadcast(total)).withColumn(
-        "pct", ((F.col("completed") * 100 - (F.col("completed") * 100) % F.col("total")) / F.col("total")).cast("bigint")
+    completed = F.col("_pos") + 1
+    total = F.lit(results.count()).cast("bigint")
+    return numbered.select(
+        *results.columns,
+        completed.alias("completed"),
+        total.alias("total"),
+        percent_done(completed, total).alias("pct"),
     )

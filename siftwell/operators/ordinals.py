@@ -73,6 +73,7 @@ def running_total(
     width: int | None = None,
     below: int | None = None,
     small_group: int = SMALL_GROUP,
+    stages: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``out``: the total ``weight`` of the rows before this one in its group.
 
@@ -80,8 +81,10 @@ def running_total(
     of ``order`` defines the ranges; ``width`` cuts integers that are dense into equal
     ranges without sampling. Rows must be unique in ``keys + order`` for stable numbers.
     ``below`` keeps only rows whose total is under it; whole ranges beyond it are dropped
-    before the rows are sorted.
+    before the rows are sorted. ``stages`` are columns with few values that come before
+    ``order``; each of their values has ranges of its own.
     """
+    order = [*stages, *order]
     value = F.lit(1).cast("bigint") if weight is None else F.coalesce(weight.cast("bigint"), F.lit(0).cast("bigint"))
     nothing = F.lit(0).cast("bigint")
     if largest_group(df, keys) <= small_group:
@@ -89,7 +92,7 @@ def running_total(
         simple = df.withColumn("_w", value).withColumn(out, F.coalesce(F.sum("_w").over(whole), nothing)).drop("_w")
         return simple if below is None else simple.where(F.col(out) < below)
 
-    first = order[0]
+    first = order[len(stages)]
     n = ranges or min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 8), _MAX_RANGES)
     dtype = df.schema[first].dataType
     if width:
@@ -98,12 +101,12 @@ def running_total(
         bucket = _range_of(first, range_borders(df, first, n), dtype)
     # One struct for key and range: nulls in a key compare equal inside it, and the join and
     # the window below then ask for the same partitioning.
-    rows = df.withColumn("_w", value).withColumn("_g", F.struct(*keys, bucket.alias("_range")))
+    rows = df.withColumn("_w", value).withColumn("_g", F.struct(*keys, *stages, bucket.alias("_range")))
 
     totals = rows.groupBy("_g").agg(F.sum("_w").alias("_sum"))
     before = (
         W.partitionBy(*[F.col(f"_g.{k}") for k in keys])
-        .orderBy("_g._range")
+        .orderBy(*[F.col(f"_g.{c}") for c in (*stages, "_range")])
         .rowsBetween(W.unboundedPreceding, -1)
     )
     offsets = totals.select("_g", F.coalesce(F.sum("_sum").over(before), nothing).alias("_offset"))

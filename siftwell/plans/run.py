@@ -13,6 +13,7 @@ from siftwell.functions.rules import RuleSet, check_on_spark
 from siftwell.operators.matching import FUSED
 from siftwell.operators.quarantine import build_manifest, resolve_names
 from siftwell.operators.reporting import run_report
+from siftwell.operators.verdicts import DETAILS
 from siftwell.plans.scan import scan_files
 from siftwell.sinks.encryption import encrypt_payload
 from siftwell.sinks.quarantine import partition_for, write_bundle, write_manifest, write_quarantine
@@ -23,10 +24,16 @@ from siftwell.sources.scan_log import read_scan_log
 from siftwell.sources.segments import Extractor
 from siftwell.sources.settings import Settings
 
+PLACED = "scan_day string, run_id string"
+VERDICT_SCHEMA = (
+    "path string, size_bytes bigint, size_mb double, is_sensitive boolean, "
+    f"details {DETAILS}, error string, status string, {PLACED}"
+)
 MANIFEST_SCHEMA = (
     "seq bigint, src_path string, dest_path string, original_name string, backup_name string, renamed boolean, "
-    "mode string, scan_date date, scan_day string, run_id string"
+    f"mode string, scan_date date, {PLACED}"
 )
+QUARANTINE_SCHEMA = f"path string, content binary, dest_path string, {PLACED}"
 
 
 @dataclass(frozen=True)
@@ -79,7 +86,7 @@ def run_scan(
     scanned = scan_files(spark, roots, rules, settings, log, extensions, extractors, mode, style)
     write_quarantine(scanned, f"{target}/verdicts", day, run_id)
     mine = (F.col("scan_day") == folder) & (F.col("run_id") == run_id)
-    verdicts = spark.read.parquet(f"{target}/verdicts").where(mine)
+    verdicts = spark.read.schema(VERDICT_SCHEMA).parquet(f"{target}/verdicts").where(mine)
 
     flagged = verdicts.where("is_sensitive").select("path")
     earlier = _if_there(lambda: spark.read.schema(MANIFEST_SCHEMA).parquet(f"{target}/manifest"))
@@ -96,7 +103,7 @@ def run_scan(
     contents = read_contents(spark, roots, flagged, settings.max_bytes)
     held = contents.join(manifest.select(F.col("src_path").alias("path"), "dest_path"), "path")
     write_quarantine(held, f"{target}/quarantine", day, run_id)
-    stored = _if_there(lambda: spark.read.parquet(f"{target}/quarantine").where(mine))
+    stored = spark.read.schema(QUARANTINE_SCHEMA).parquet(f"{target}/quarantine").where(mine)
     bundled = stored if key is None else encrypt_payload(stored, "content", key)
     bundle = write_bundle(bundled.select("path", "dest_path", "content"), f"{target}/{folder}", run_ts, "content")
     append_scan_log(verdicts, f"{target}/scan_log", day, run_id, style=style)

@@ -153,36 +153,36 @@ def _native_chunks(files: DataFrame) -> DataFrame:
 def _extracted_chunks(extracted: DataFrame) -> DataFrame:
     """``(path, chunks, error)`` for what user extractors produced, cut by each profile."""
     pieces = F.col("extracted")
-    stripped = F.transform(pieces, lambda p: F.struct(p["unit_no"].alias("unit_no"), p["text"].alias("text")))
-    kept = F.when(F.col("drop_blank"), F.filter(stripped, lambda p: non_blank(p["text"]))).otherwise(stripped)
+    kept = F.when(F.col("drop_blank"), F.filter(pieces, lambda p: non_blank(p["text"]))).otherwise(pieces)
     capped = F.when(F.col("segment_cap").isNull(), kept).otherwise(F.slice(kept, F.lit(1), F.col("segment_cap")))
     staged = extracted.select("path", "chunk_size", "chunk_at", "joiner", "error", capped.alias("_kept"))
     texts = F.transform("_kept", lambda p: p["text"])
-    ids = F.array_distinct(F.transform("_kept", lambda p: p["unit_no"]))
-    units = F.transform(
-        ids, lambda u: F.transform(F.filter("_kept", lambda p: p["unit_no"] == u), lambda p: p["text"])
-    )
-    size = F.coalesce(F.col("chunk_size"), F.greatest(F.size(texts), F.lit(1)))
-    by_unit = unit_chunk_array(units, size, F.col("joiner"))
+    size = F.coalesce(F.col("chunk_size"), F.greatest(F.size("_kept"), F.lit(1)))
+    by_unit = unit_chunk_array(F.col("_kept"), size, F.col("joiner"))
     chunks = F.when(F.col("chunk_at") == "unit", by_unit).otherwise(chunk_array(texts, size, F.col("joiner")))
     return staged.select("path", chunks.alias("chunks"), "error")
 
 
-def file_chunks(contents: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
+def file_chunks(
+    contents: DataFrame,
+    extractors: dict[str, Extractor] | None = None,
+    chunk_sizes: dict[str, int] | None = None,
+) -> DataFrame:
     """``(path, chunks, error)`` from ``(path, content)``: every format by its profile.
 
     Text and CSV are cut natively. The other formats need an extractor; without one a
-    listed format has no text, like an unknown one.
+    listed format has no text, like an unknown one. ``chunk_sizes`` replaces the chunk size
+    of a format, for instance ``{".pdf": PDF_FAST_CHUNK}``.
     """
     own = set() if extractors is None else {"." + e.lower().lstrip(".") for e in extractors}
-    profiled = with_profile(contents)
+    profiled = with_profile(contents, chunk_sizes=chunk_sizes)
     native = _native_chunks(
         profiled.where(F.col("kind").isin("lines", "records") & ~F.col("ext").isin(list(own) or [""]))
     )
     if not own:
         return native
     extracted = extract_segments(contents, extractors)
-    return native.unionByName(_extracted_chunks(with_profile(extracted)))
+    return native.unionByName(_extracted_chunks(with_profile(extracted, chunk_sizes=chunk_sizes)))
 
 
 def scan_contents(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.paths import extension
@@ -46,23 +46,19 @@ def profiles_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PROFILES), PROFILE_SCHEMA)
 
 
-def with_profile(catalog: DataFrame, path: str = "path", strict: bool = False) -> DataFrame:
+def with_profile(
+    catalog: DataFrame, path: str = "path", strict: bool = False, chunk_sizes: dict[str, int] | None = None
+) -> DataFrame:
     """Add ``ext`` and the profile columns; an unknown extension gets nulls, hence no text.
 
     The profile table has thirteen fixed rows, so broadcasting it is safe at any scale.
-    ``strict`` treats ``.md`` as a listed extension that is never read.
+    ``strict`` treats ``.md`` as a listed extension that is never read. ``chunk_sizes``
+    replaces chunk sizes by extension.
     """
     spark = catalog.sparkSession
     table = profiles_df(spark)
     if strict:
         table = table.where(F.col("ext") != ".md")
+    for ext, size in (chunk_sizes or {}).items():
+        table = table.withColumn("chunk_size", F.when(F.col("ext") == ext, F.lit(size)).otherwise(F.col("chunk_size")))
     return catalog.withColumn("ext", extension(F.col(path))).join(F.broadcast(table), "ext", "left")
-
-
-def profile_value(ext: Column, field: str) -> Column:
-    """One profile field as a CASE over the extension, for use inside an expression."""
-    column = [name.split()[0] for name in PROFILE_SCHEMA.split(", ")].index(field)
-    picked = None
-    for row in PROFILES:
-        picked = F.when(ext == row[0], F.lit(row[column])) if picked is None else picked.when(ext == row[0], F.lit(row[column]))
-    return picked

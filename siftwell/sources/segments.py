@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,23 +128,15 @@ def ordered_parts(
 ) -> DataFrame:
     """Several segment tables per document, one after the other: all of rank 0, then rank 1, ...
 
-    The position is found per (document, part, range of the order column), so a document
-    whose parts make up most of the table does not end up in one task. The length of the
-    earlier parts is added as an offset.
+    Adds ``position``. It is found per (document, part, range of the order column), so a
+    document whose parts make up most of the table does not end up in one task.
     """
     ranked = None
     for rank, df in parts:
         one = df.select(*keys, F.lit(rank).alias("part_rank"), F.col(order).alias("ord"), F.col(text).alias("text"))
         ranked = one if ranked is None else ranked.unionByName(one)
-    numbered = positions(ranked, [*keys, "part_rank"], ["ord"], out="_in_part")
-    sizes = ranked.groupBy(*keys, "part_rank").agg(F.count("*").alias("_n"))
-    earlier = W.partitionBy(*keys).orderBy("part_rank").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys, "part_rank", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint")).alias("_offset")
-    )
-    return numbered.join(offsets, [*keys, "part_rank"]).select(
-        *keys, "part_rank", "ord", (F.col("_offset") + F.col("_in_part")).alias("position"), "text"
-    )
+    numbered = positions(ranked, keys, ["ord"], stages=["part_rank"])
+    return numbered.select(*keys, "part_rank", "ord", "position", "text")
 
 
 def unit_lines(df: DataFrame, keys: Sequence[str], unit: str, text: str = "text") -> DataFrame:

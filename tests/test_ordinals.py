@@ -43,6 +43,17 @@ def test_running_totals_equal_a_loop(skewed, small_group):
     assert {r.p: r.t for r in cut.collect()} == {p: t for p, t in expected.items() if t < 100}
 
 
+@pytest.mark.parametrize("small_group", [0, 10**6])
+def test_stages_come_before_the_order(skewed, small_group):
+    rows, df = skewed
+    staged = positions(df, ["k"], ["p"], ranges=8, small_group=small_group, stages=["w"])
+    expected, seen = {}, {}
+    for k, p, w in sorted(rows, key=lambda r: (r[2], r[1])):
+        expected[p] = seen.get(k, 0)
+        seen[k] = expected[p] + 1
+    assert {r.p: r.position for r in staged.collect()} == expected
+
+
 def test_dense_integers_need_no_sample(spark):
     df = spark.range(5000).select(F.col("id"), (F.col("id") % 2).alias("k"))
     got = positions(df, ["k"], ["id"], width=100, small_group=0)

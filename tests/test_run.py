@@ -48,3 +48,11 @@ def test_two_runs_of_a_day(spark, tmp_path):
     back = restore(manifest, held.select("dest_path", "content"), spark.createDataFrame([], "path string, content binary"))
     assert {(_base(r.path), bytes(r.content).decode()[-1]) for r in back.collect()} == {("f.txt", "a"), ("f.txt", "b")}
     assert manifest.where(F.col("mode") != "copy").isEmpty()
+
+
+def test_a_run_without_findings(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("nothing")
+    run = run_scan(spark, [str(tmp_path / "in")], str(tmp_path / "out"), RULES, Settings(), "2024-06-01 10:00:00", "r1")
+    assert run.bundle is None and run.manifest.isEmpty()
+    assert {r.metric: r.value for r in run.report.collect()}["safe"] == 1

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 import model
 from siftwell.functions.cells import cell_to_str, join_cells
-from siftwell.functions.chunks import cap_units, chunk_array, unit_chunk_array
+from siftwell.functions.chunks import chunk_array, unit_chunk_array
 from siftwell.functions.text import UNICODE_SPACES, binary_prefix_text, physical_lines, split_lines, strip, universal_newlines
 from siftwell.operators.chunking import cap_segments, chunk_units
 from siftwell.plans.scan import file_chunks, scan_rows, scan_units
@@ -116,12 +116,13 @@ def test_utf16_carve(spark):
 def test_chunk_array_and_units(spark):
     rng = random.Random(1)
     docs = [[[f"{d}.{u}.{i}" for i in range(rng.randrange(5))] for u in range(rng.randrange(9))] for d in range(200)]
-    df = spark.createDataFrame([(d, u) for d, u in enumerate(docs)], "d int, units array<array<string>>")
-    for size, cap in ((5, 1000), (1, 1000), (4, 7)):
-        cut = unit_chunk_array(cap_units(F.col("units"), cap), size)
-        rows = df.select("d", cut.alias("c"), chunk_array(F.flatten("units"), size, "|").alias("s")).orderBy("d").collect()
-        for row, units in zip(rows, docs):
-            assert row.c == ["\n".join(c) for c in model.cut_units(units, size, cap)]
+    flat = [[(u, text) for u, unit in enumerate(units) for text in unit] for units in docs]
+    df = spark.createDataFrame(list(enumerate(flat)), "d int, segs array<struct<unit_no:int,text:string>>")
+    for size in (5, 1, 4):
+        texts = F.transform("segs", lambda s: s["text"])
+        cut = unit_chunk_array(F.col("segs"), size).alias("c")
+        for row, units in zip(df.select("d", cut, chunk_array(texts, size, "|").alias("s")).orderBy("d").collect(), docs):
+            assert row.c == ["\n".join(c) for c in model.cut_units(units, size)]
             assert row.s == model.cut([x for u in units for x in u], size, "|")
 
 
