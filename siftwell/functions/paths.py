@@ -19,6 +19,8 @@ SYSTEM_DIRS = (
 
 # A drive letter, or a UNC server and share.
 _DRIVE = r"^(?:[A-Za-z]:|[\\/]{2}[^\\/]+[\\/][^\\/]+)"
+# Listings may name local files as URIs.
+_FILE_URI = r"^file:/+(?=[A-Za-z]:)"
 
 
 def base_name(path: Column) -> Column:
@@ -72,6 +74,7 @@ def _first_component(path: Column) -> Column:
 
 def not_system_dir(path: Column) -> Column:
     """False for paths whose first component after the drive is a system directory."""
+    path = F.regexp_replace(path, _FILE_URI, "")
     return ~(path.rlike(_DRIVE) & _first_component(path).isin(list(SYSTEM_DIRS)))
 
 

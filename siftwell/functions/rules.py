@@ -43,6 +43,8 @@ class Rule:
     matches_empty: bool
     # A string every match contains, or None. A text without it cannot match the rule.
     needs: str | None
+    # What a match can start with, as the body of a character class, or None if unknown.
+    starts: str | None
 
     @property
     def java(self) -> str:
@@ -110,6 +112,7 @@ def make_rules(raw: Iterable[Mapping[str, str] | tuple[str | None, str]]) -> Rul
                 groups=compiled.groups,
                 matches_empty=compiled.match("") is not None or _min_width(pattern) == 0,
                 needs=required_text(pattern),
+                starts=first_characters(pattern),
             )
         )
     return RuleSet(tuple(rules))
@@ -139,6 +142,72 @@ def required_text(pattern: str) -> str | None:
     return max([*runs, run], key=len) or None
 
 
+_ANY = r"\u0000-\uffff"
+_COMMON = "aeinst "
+_CATEGORIES = {"CATEGORY_DIGIT": r"\d", "CATEGORY_SPACE": r"\s", "CATEGORY_WORD": r"\w"}
+
+
+def first_characters(pattern: str) -> str | None:
+    """A character class body that holds the first character of every match."""
+    parsed = _parser.parse(pattern)
+    if parsed.state.flags & (re.IGNORECASE | re.ASCII):
+        return None
+    return _first_of(parsed)
+
+
+def _first_of(items) -> str | None:
+    for kind, value in items:
+        name = str(kind)
+        if name == "AT":
+            continue
+        if name == "LITERAL":
+            return _class_char(value)
+        if name == "IN":
+            return _class_body(value)
+        if name == "SUBPATTERN" and not value[1] and not value[2]:
+            return _first_of(value[3])
+        if name == "BRANCH":
+            parts = [_first_of(branch) for branch in value[1]]
+            return None if None in parts else "".join(parts)
+        if name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0:
+            return _first_of(value[2])
+        return None
+    return None
+
+
+def _class_char(code: int) -> str:
+    # This escape means the same in both dialects; beyond it the guard does without.
+    return "\\u%04x" % code if code <= 0xFFFF else _ANY
+
+
+def _class_body(items) -> str | None:
+    body = ""
+    for kind, value in items:
+        name = str(kind)
+        if name == "LITERAL":
+            body += _class_char(value)
+        elif name == "RANGE":
+            body += _class_char(value[0]) + "-" + _class_char(value[1])
+        elif name == "CATEGORY" and str(value) in _CATEGORIES:
+            body += _CATEGORIES[str(value)]
+        else:
+            return None
+    return body
+
+
+def _start_guard(rules: list[Rule]) -> str:
+    """A lookahead that passes over positions where no rule can start.
+
+    One class test replaces an attempt at every alternative. It is left out where it would
+    let most of ordinary text pass.
+    """
+    starts = [r.starts for r in rules]
+    if len(rules) < 2 or None in starts:
+        return ""
+    allowed = f"[{''.join(starts)}]"
+    return "" if any(re.match(allowed, c) for c in _COMMON) else f"(?={allowed})"
+
+
 def fuse(rules: Iterable[Rule]) -> Fused:
     """``(p0)|(p1)|...``: one left-to-right scan where earlier rules win at the same start."""
     rules = list(rules)
@@ -150,7 +219,9 @@ def fuse(rules: Iterable[Rule]) -> Fused:
         offsets.append(next_group)
         parts.append("(" + to_java(rule.pattern, group_shift=next_group, name_tag=f"r{rule.idx}x") + ")")
         next_group += 1 + rule.groups
-    return Fused(DIALECT + "|".join(parts), tuple(offsets))
+    guard = _start_guard(rules)
+    body = "|".join(parts)
+    return Fused(DIALECT + (f"{guard}(?:{body})" if guard else body), tuple(offsets))
 
 
 def check_on_spark(spark: SparkSession, rules: RuleSet) -> None:

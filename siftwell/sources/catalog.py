@@ -33,7 +33,8 @@ def catalog_scan(
     files = list_files(spark, roots)
     if max_bytes is not None:
         files = files.where(F.col("size_bytes") <= max_bytes)
-    return files.where(ext_in(F.col("path"), extensions)).where(~ext_in(F.col("path"), ["log"]))
+    wanted = ext_in(F.col("path"), extensions) & ~ext_in(F.col("path"), ["log"])
+    return files.where(wanted & not_system_dir(F.col("path")))
 
 
 def filter_catalog(

@@ -43,6 +43,7 @@ def test_roots(spark):
 def test_system_directories(spark):
     found = ["C:\\ProgramData\\x\\f.txt", "D:\\data\\windows\\f.txt", "C:\\Windows\\f", "relative\\f", "\\\\s\\h\\Windows\\f", "/windows/f"]
     assert _apply(spark, found, paths.not_system_dir) == [False, True, False, True, False, True]
+    assert _apply(spark, ["file:/C:/Windows/f", "file:///D:/data/f", "file:/windows/f"], paths.not_system_dir) == [False, True, True]
     of_drive = _apply(spark, found, lambda c: paths.not_system_dir_of_root(c, F.lit("C:")))
     assert of_drive == [False, True, False, True, True, True]
     of_folder = _apply(spark, found, lambda c: paths.not_system_dir_of_root(c, F.lit("C:\\ProgramData")))

@@ -1,13 +1,23 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions.matching import independent_count
-from siftwell.functions.rules import RuleError, check_on_spark, default_rules, fuse, make_rules, required_text, to_java
+from siftwell.functions.rules import (
+    RuleError,
+    check_on_spark,
+    default_rules,
+    first_characters,
+    fuse,
+    make_rules,
+    required_text,
+    to_java,
+)
 from siftwell.operators.matching import INDEPENDENT, counts, hits_fused, hits_independent, pick_mode
 from siftwell.sources.settings import Settings, load_config, parse_config
 
@@ -128,6 +138,29 @@ def test_required_text_is_on_every_path():
     assert required_text(r"(abc)?x+yz") == "yz"
 
 
+def test_first_characters_cover_every_match():
+    rng = random.Random(1)
+    patterns = [r"\d{3}", "[A-Z]b?", "(?:ab|c)+d", r"\bfoo", "(a|b)c", "x*y", "[^a]b", r"(?:[0-9]|[x-z])+?q", "(?i)k", r"\s+a", "😀"]
+    for pattern in patterns:
+        starts = first_characters(pattern)
+        text = "".join(rng.choice("abcdfoxyzqAK09 \n😀") for _ in range(5000))
+        if starts is not None:
+            assert all(re.match(f"[{starts}]", m.group()) or ord(m.group()[0]) > 0xFFFF for m in re.finditer(pattern, text))
+    assert [first_characters(p) for p in ("x*y", "[^a]b", "(?i)k")] == [None, None, None]
+
+
+def test_the_guard_skips_only_where_nothing_can_start(spark):
+    rules = make_rules([("number", r"\d{2}"), ("capital", "[A-Z]b?"), ("mark", "[!?]+")])
+    assert "(?=[" in fuse(rules).java
+    assert "(?=[" not in fuse(make_rules([("word", "[a-z]+"), ("number", r"\d")])).java
+    text = "ab 12 Ab １２ !? 3 B"
+    whole = re.compile(r"(\d{2})|([A-Z]b?)|([!?]+)")
+    expected = {}
+    for m in whole.finditer(text):
+        expected[m.lastindex - 1] = expected.get(m.lastindex - 1, 0) + 1
+    assert _total(spark, text, rules=rules) == expected
+
+
 def test_rules_are_refused_before_any_job():
     for bad in ("text", {"pattern": "a"}, [1], [{"name": "n"}], [{"name": "n", "pattern": "("}], [{"pattern": 3}]):
         with pytest.raises(RuleError):
