@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftwell.functions import deep
 from siftwell.functions.rules import Fused, Rule, RuleSet, fuse
 from siftwell.functions.text import REST
 
@@ -81,6 +82,8 @@ def fused_codes(text: Column, rules: RuleSet) -> Column:
     nothing = F.array().cast("array<int>")
     if not len(rules):
         return nothing
+    if rules.deep:
+        return deep.codes(F.array(text), rules, None)
 
     def search(present: Sequence[Rule]) -> Column:
         return F.transform(
@@ -96,6 +99,8 @@ def fused_hits(text: Column, rules: RuleSet) -> Column:
     nothing = F.array().cast(NO_HITS)
     if not len(rules):
         return nothing
+    if rules.deep:
+        return deep.hits(text, rules).cast(NO_HITS)
 
     def named(i: Column | int, matched: Column) -> Column:
         index = F.lit(i) if isinstance(i, int) else i
@@ -125,6 +130,31 @@ def independent_count(text: Column, rule: Rule) -> Column:
     return found if rule.needs is None else F.when(F.contains(text, F.lit(rule.needs)), found).otherwise(nothing)
 
 
+def independent_counts(text: Column, rules: RuleSet) -> Column:
+    """``array<bigint>``: one count per rule."""
+    if rules.deep:
+        return _sizes(deep.matches(F.array(text), rules)[0])
+    return F.array(*[independent_count(text, r) for r in rules])
+
+
+def independent_matches(text: Column, rules: RuleSet) -> Column:
+    """``array<array<string>>``: the matches of each rule."""
+    if rules.deep:
+        return deep.matches(F.array(text), rules)[0]
+    return F.array(*[F.regexp_extract_all(text, F.lit(r.java), F.lit(0)) for r in rules])
+
+
+def _sizes(matches: Column) -> Column:
+    return F.transform(matches, lambda found: F.size(found).cast("bigint"))
+
+
+def chunk_codes(chunks: Column, rules: RuleSet) -> Column:
+    """``array<int>`` of all hits over an array of chunks."""
+    if rules.deep:
+        return deep.codes(chunks, rules, None)
+    return F.flatten(F.transform(chunks, lambda c: fused_codes(c, rules)))
+
+
 def early_codes(chunks: Column, rules: RuleSet, threshold: int) -> Column:
     """Rule indexes over an array of chunks, leaving later chunks unscanned once settled.
 
@@ -132,6 +162,8 @@ def early_codes(chunks: Column, rules: RuleSet, threshold: int) -> Column:
     the threshold, which is where a sequential scanner would stop reading.
     """
     need = max(threshold, 1)
+    if rules.deep:
+        return deep.codes(chunks, rules, need)
     start = F.struct(F.array().cast("array<int>").alias("codes"), F.lit(False).alias("settled"))
 
     def settled(codes: Column) -> Column:
@@ -207,8 +239,8 @@ def full_findings(codes: Column, n_rules: int) -> Column:
 def sequential_whole(text: Column, rules: RuleSet, threshold: int) -> Column:
     """Rule after rule over one text, ending with the rule that reaches the threshold."""
     need = max(threshold, 1)
-    counts = F.array(*[independent_count(text, r) for r in rules]) if len(rules) else None
-    if counts is None:
+    counts = independent_counts(text, rules)
+    if not len(rules):
         return F.array().cast(f"array<{FINDING_TYPE}>")
 
     def findings(c: Column) -> Column:
@@ -241,7 +273,7 @@ def sequential_chunked(chunks: Column, rules: RuleSet, threshold: int) -> Column
     )
 
     def step(acc: Column, chunk: Column) -> Column:
-        found = F.array(*[independent_count(chunk, r) for r in rules])
+        found = _sizes(chunk) if rules.deep else independent_counts(chunk, rules)
         return F.when(acc["settled"], acc).otherwise(bind(found, lambda n: absorb(acc, n)))
 
     def absorb(acc: Column, found: Column) -> Column:
@@ -262,7 +294,7 @@ def sequential_chunked(chunks: Column, rules: RuleSet, threshold: int) -> Column
             (F.size(reached) > 0).alias("settled"),
         )
 
-    done = F.aggregate(chunks, start, step)
+    done = F.aggregate(deep.matches(chunks, rules) if rules.deep else chunks, start, step)
 
     def findings(d: Column) -> Column:
         rows = F.transform(

@@ -45,6 +45,8 @@ class Rule:
     needs: str | None
     # What a match can start with, as the body of a character class, or None if unknown.
     starts: str | None
+    # Repeats a group so often that the JVM matcher, which recurses, could exhaust its stack.
+    deep: bool
 
     @property
     def java(self) -> str:
@@ -72,6 +74,10 @@ class RuleSet:
         """Zero-length matches cannot say which alternative they came from."""
         return not any(r.matches_empty for r in self.rules)
 
+    @property
+    def deep(self) -> bool:
+        return any(r.deep for r in self.rules)
+
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(r.idx, r.name, r.pattern) for r in self.rules], RULES_SCHEMA)
 
@@ -113,6 +119,7 @@ def make_rules(raw: Iterable[Mapping[str, str] | tuple[str | None, str]]) -> Rul
                 matches_empty=compiled.match("") is not None or _min_width(pattern) == 0,
                 needs=required_text(pattern),
                 starts=first_characters(pattern),
+                deep=_repeats_deeply(_parser.parse(pattern)),
             )
         )
     return RuleSet(tuple(rules))
@@ -127,6 +134,31 @@ def _min_width(pattern: str) -> int:
     return _parser.parse(pattern).getwidth()[0]
 
 
+# Group repetitions the JVM's default stack holds with a wide margin.
+_SAFE_REPEATS = 500
+_ONE_CHARACTER = ("LITERAL", "NOT_LITERAL", "IN", "ANY", "CATEGORY")
+
+
+def _repeats_deeply(items, times: int = 1) -> bool:
+    for kind, value in items:
+        name = str(kind)
+        if name.endswith("REPEAT"):
+            body, often = value[2], times * int(value[1])
+            if len(body) == 1 and str(body[0][0]) in _ONE_CHARACTER:
+                continue
+            if often > _SAFE_REPEATS or _repeats_deeply(body, often):
+                return True
+        elif name == "SUBPATTERN" and _repeats_deeply(value[3], times):
+            return True
+        elif name == "BRANCH" and any(_repeats_deeply(branch, times) for branch in value[1]):
+            return True
+        elif name in ("ASSERT", "ASSERT_NOT") and _repeats_deeply(value[1], times):
+            return True
+        elif name == "ATOMIC_GROUP" and _repeats_deeply(value, times):
+            return True
+    return False
+
+
 def required_text(pattern: str) -> str | None:
     """The longest run of plain characters on the one path every match takes."""
     parsed = _parser.parse(pattern)

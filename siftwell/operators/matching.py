@@ -47,16 +47,10 @@ def hits_fused(texts: DataFrame, keys: Sequence[str], rules: RuleSet, text: str
 
 def hits_independent(texts: DataFrame, keys: Sequence[str], rules: RuleSet, text: str = "text") -> DataFrame:
     """As :func:`hits_fused`, each rule on its own; ``pos`` counts within the rule."""
-    per_rule = F.array(
-        *[
-            F.struct(F.lit(r.idx).alias("rule_idx"), F.regexp_extract_all(F.col(text), F.lit(r.java), F.lit(0)).alias("found"))
-            for r in rules
-        ]
-    )
-    return (
-        spread(texts.select(*keys, text)).select(*keys, F.explode(per_rule).alias("r"))
-        .select(*keys, "r.rule_idx", F.posexplode("r.found").alias("pos", "matched"))
-        .select(*keys, "pos", "rule_idx", "matched")
+    matches = m.independent_matches(F.col(text), rules)
+    per_rule = spread(texts.select(*keys, text)).select(*keys, F.posexplode(matches).alias("rule_idx", "found"))
+    return per_rule.select(*keys, "rule_idx", F.posexplode("found").alias("pos", "matched")).select(
+        *keys, "pos", "rule_idx", "matched"
     )
 
 
@@ -65,7 +59,7 @@ def match_independent(texts: DataFrame, keys: Sequence[str], rules: RuleSet, tex
 
     Documents meet rules through a literal array of per-rule counts, so nothing is joined.
     """
-    counts = F.array(*[m.independent_count(F.col(text), r) for r in rules])
+    counts = m.independent_counts(F.col(text), rules)
     return spread(texts.select(*keys, text)).select(*keys, F.posexplode(counts).alias("rule_idx", "match_count"))
 
 
@@ -137,7 +131,7 @@ def row_findings(
         elif early:
             codes = m.early_codes(F.col(chunks), rules, threshold)
         else:
-            codes = F.flatten(F.transform(F.col(chunks), lambda c: m.fused_codes(c, rules)))
+            codes = m.chunk_codes(F.col(chunks), rules)
         found = m.bind(codes, lambda c: m.early_stop(c, k, threshold) if early else m.full_findings(c, k))
     source = spread(texts.select(*dict.fromkeys([*keys, text]))) if chunks is None else texts
     return source.select(*keys, found.alias("found"))

@@ -88,16 +88,12 @@ def chunk_findings(
             F.posexplode(F.slice("_codes", F.lit(1), length.cast("int"))).alias("pos", "rule_idx"),
         )
         return findings(hits, keys, rules, need)
-    per_rule = F.array(
-        *[F.struct(F.lit(r.idx).alias("rule_idx"), m.independent_count(F.col("text"), r).alias("n")) for r in rules]
-    )
-    counted = chunks.select(*keys, "chunk_no", F.explode(per_rule).alias("c")).where("c.n > 0")
-    hits = counted.select(
-        *keys,
-        "chunk_no",
-        "c.rule_idx",
-        F.explode(F.sequence(F.lit(1), F.least(F.col("c.n"), F.lit(need)).cast("int"))).alias("pos"),
+    counts = m.independent_counts(F.col("text"), rules)
+    counted = spread(chunks.select(*keys, "chunk_no", "text")).select(
+        *keys, "chunk_no", F.posexplode(counts).alias("rule_idx", "n")
     )
+    numbers = F.sequence(F.lit(1), F.least(F.col("n"), F.lit(need)).cast("int"))
+    hits = counted.where("n > 0").select(*keys, "chunk_no", "rule_idx", F.explode(numbers).alias("pos"))
     return findings(hits, keys, rules, need, order=("chunk_no", "rule_idx", "pos"))
 
 

@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Inputs above this are never dealt out again, however many cores there are.
+SPREAD_LIMIT_BYTES = 8 * 1024**3
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with the settings the engine is tested under."""
@@ -39,9 +42,9 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a source too small to be split over them.
 
     A file is read by one task per split, so a few hundred megabytes of text can leave most
-    cores idle in front of a pattern match. Only where the estimated input is below one
-    split per core are the rows dealt out again; that bounds what is moved. A large input
-    already has more splits than cores and is returned as it is, without a shuffle.
+    cores idle in front of a pattern match. Only where the estimated input fills less than a
+    quarter of the cores with splits, and is small in itself, are the rows dealt out again.
+    Anything larger is returned as it is, without a shuffle.
     """
     spark = df.sparkSession
     if df.isStreaming:
@@ -53,4 +56,4 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return df.repartition(cores) if estimate < cores * split else df
+    return df.repartition(cores) if estimate < min(cores * split // 4, SPREAD_LIMIT_BYTES) else df

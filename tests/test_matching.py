@@ -137,3 +137,34 @@ def test_the_pattern_is_applied_once_per_row(spark, sf_dir):
     found = ops.row_findings(docs, ["doc_id"], rules, 3)
     plan = ops.explode_findings(found, ["doc_id"], rules)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 1
+
+
+DEEP = [r"(?:ab|c)+", r"\d", r"(?:[A-Z]b?){2,}"]
+
+
+@pytest.mark.parametrize("mode", [ops.FUSED, ops.INDEPENDENT])
+def test_deeply_repeating_rules_equal_the_loop(spark, mode):
+    rules = make_rules([(f"r{i}", p) for i, p in enumerate(DEEP)])
+    assert [r.deep for r in rules] == [True, False, True] and not RULES.deep
+    fused = mode == ops.FUSED
+    texts = _texts(120, 21)
+    df = _table(spark, texts)
+    assert _rows(scan_text(df, KEY, rules, 3, mode=mode)) == {i: model.scan([t], DEEP, 3, fused) for i, t in enumerate(texts)}
+    expected = {i: model.scan(model.cut(model.lines_of(t), 2), DEEP, 3, fused) for i, t in enumerate(texts)}
+    assert _rows(scan_chunked(df, KEY, rules, 3, lines_per_chunk=2, mode=mode)) == expected
+    found = chunk_findings(chunk_lines(text_segments(df, KEY), KEY, 2, ""), KEY, rules, 3, mode)
+    assert _rows(verdicts(df, found, KEY, rules, 3)) == expected
+    full = {(r.d, r.rule_idx): r.match_count for r in ops.counts(df, KEY, rules, mode).collect()}
+    hits = ops.hits_fused(df, KEY, rules) if fused else ops.hits_independent(df, KEY, rules)
+    assert {(r.d, r.rule_idx): r["count"] for r in hits.groupBy("d", "rule_idx").count().collect()} == full
+    counted = {}
+    for d, t in enumerate(texts):
+        for rule in model.hits_in(t, DEEP, fused):
+            counted[d, rule] = counted.get((d, rule), 0) + 1
+    assert full == counted
+
+
+def test_long_repetitions_do_not_exhaust_the_stack(spark):
+    df = _table(spark, ["ab" * 200_000, "x"])
+    rows = _rows(scan_chunked(df, KEY, make_rules([("r0", r"(?:ab|c)+d?")]), 1))
+    assert rows == {0: (True, [(0, 1)]), 1: (False, [])}
