@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat_format, language_id, licenses, mixing, packing, quality
+from siftwell.llm import chat_format, language_id, licenses, mixing, packing, quality, vector_dedup
 from siftwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +155,19 @@ FROM counts"""
 @query("op7_quality_rules", _quality_sql())
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
+
+
+VECTOR_SQL = """
+WITH RECURSIVE raw AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+vecs AS (SELECT * FROM raw WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id"""
+
+
+@query("op9_vector_dedup", VECTOR_SQL)
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.linked(table(spark, sf_dir, "embeddings"))
