@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat_format, language_id, licenses, mixing, packing, quality, vector_dedup
+from siftwell.llm import chat_format, language_id, licenses, mixing, packing, quality, suffix_dedup, vector_dedup
 from siftwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +171,20 @@ FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN counts c ON c.a = e.v
 @query("op9_vector_dedup", VECTOR_SQL)
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
+SUFFIX_SQL = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT doc_id, unnest(range(len(words) - 49)) AS start, words FROM split WHERE len(words) >= 50),
+hashed AS (SELECT doc_id, start, md5(array_to_string(words[start + 1 : start + 50], ' ')) AS h FROM windows),
+seen AS (SELECT doc_id, start, min(doc_id) OVER w AS least, max(doc_id) OVER w AS most FROM hashed WINDOW w AS (PARTITION BY h)),
+hits AS (SELECT doc_id, start, doc_id <> least AS redundant FROM seen WHERE least <> most),
+marked AS (SELECT *, CASE WHEN start - lag(start) OVER w <= 50 THEN 0 ELSE 1 END AS fresh FROM hits WINDOW w AS (PARTITION BY doc_id, redundant ORDER BY start)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, redundant ORDER BY start ROWS UNBOUNDED PRECEDING) AS run FROM marked)
+SELECT doc_id, CAST(min(start) AS BIGINT) AS start_word, CAST(max(start) + 50 AS BIGINT) AS end_word, CAST(max(start) + 50 - min(start) AS BIGINT) AS n_words, redundant
+FROM runs GROUP BY doc_id, redundant, run"""
+
+
+@query("op5_suffix_dedup", SUFFIX_SQL)
+def _suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
