@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import language_id, mixing, packing
+from siftwell.llm import language_id, mixing, order_minhash, packing, suffix_dedup
 
 # No SQL for suffix automata, sketches and tokenizers: the pipeline is tested against plain Python versions.
 ORACLE_SQL = None
@@ -16,6 +16,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.keep_languages(docs, model)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return order_minhash.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents stay in the first of them only."""
+    return suffix_dedup.without_repeats(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate asks for."""
     return mixing.mix(docs)
@@ -30,6 +40,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("language", identify_language),
+    ("near copies", drop_near_copies),
+    ("repeats", cut_repeats),
     ("mix", mix_sources),
     ("pack", pack_sequences),
 ]

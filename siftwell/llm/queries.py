@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat_format, language_id, licenses, mixing, order_minhash, packing, quality, suffix_dedup, vector_dedup
+from siftwell.llm import chat_format, compact_windows, language_id, licenses, mixing, order_minhash, packing, quality, suffix_dedup, vector_dedup
 from siftwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,3 +193,8 @@ def _suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_order_minhash")
 def _near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_compact_windows")
+def _near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(table(spark, sf_dir, "documents"))
