@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwell.llm.common import Words, checkpointed, document_key, numbers, outer_id, record_batches, signed, text_slices, written
+from siftwell.llm.common import Words, checkpointed, document_key, numbers, outer_id, record_batches, signed, small, text_slices, written
 
 PASSAGE = 50
 ANCHOR = 25
-# Anchors with more suffixes than this are compared by grouped sums instead of within a task.
+# Suffixes of one anchor that are compared at once. More are dealt out; what their tasks leave open is compared after.
 HOT = 2000
 # Rows that a task sorts at a time; the suffixes of an anchor stay together.
 ROWS = 1 << 16
@@ -108,23 +108,32 @@ def _suffixes(passage: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-_SPANS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("redundant", pa.bool_())])
-_SPANS_DDL = "id long, th long, start int, stop int, redundant boolean"
+_SPANS = pa.schema([
+    ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("redundant", pa.bool_()),
+    ("g", pa.int64()), ("h", pa.int32()), ("repeated", pa.bool_()),
+])
+_SPANS_DDL = "id long, th long, start int, stop int, redundant boolean, g long, h int, repeated boolean"
 
 
 def _compare(table: pa.Table, passage: int) -> Iterator[pa.RecordBatch]:
-    """Spans of windows that agree between documents, among all suffixes of some anchors."""
+    """Spans of windows that agree between documents, among the suffixes of some anchors.
+
+    Where an anchor's suffixes are dealt out, a window that no lower document of its part has is left open: it comes
+    out by itself, with its hash.
+    """
     table = table.combine_chunks()
     windows = table["windows"].chunk(0) if table["windows"].num_chunks else pa.array([], pa.list_(pa.int32()))
     lengths = windows.value_lengths().to_numpy(zero_copy_only=False)
     flat = windows.flatten().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(lengths)), lengths)
     begin = np.cumsum(lengths) - lengths
-    ids, g = table["id"].to_numpy(), table["g"].to_numpy()
+    ids, g, parts, salt = (table[n].to_numpy() for n in ("id", "g", "parts", "salt"))
     start = table["start"].to_numpy()[row] + (np.arange(len(flat)) - begin[row])
     own = ids[row]
-    order = np.lexsort((own, flat, g[row]))
-    same = (g[row][order][1:] == g[row][order][:-1]) & (flat[order][1:] == flat[order][:-1])
+    order = np.lexsort((own, flat, salt[row], g[row]))
+    same = np.ones(max(len(order) - 1, 0), dtype=bool)
+    for key in (g[row], salt[row], flat):
+        same &= key[order][1:] == key[order][:-1]
     heads = np.flatnonzero(np.concatenate([[True], ~same]))
     run = np.cumsum(np.concatenate([[True], ~same])) - 1
     least = own[order][heads][run]
@@ -132,7 +141,13 @@ def _compare(table: pa.Table, passage: int) -> Iterator[pa.RecordBatch]:
     repeated, redundant = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
     repeated[order] = least != most
     redundant[order] = (least != most) & (own[order] != least)
-    at = np.flatnonzero(repeated)
+    dealt = parts[row] > 1
+    left = np.flatnonzero(dealt & ~redundant)
+    if len(left):
+        columns = {"id": own[left], "th": table["th"].to_numpy()[row[left]], "start": start[left].astype(np.int32), "stop": (start[left] + passage).astype(np.int32)}
+        columns |= {"redundant": np.zeros(len(left), bool), "g": g[row[left]], "h": flat[left], "repeated": repeated[left]}
+        yield from record_batches(columns, _SPANS)
+    at = np.flatnonzero(repeated & ~(dealt & ~redundant))
     if not len(at):
         return
     fresh = (row[at][1:] != row[at][:-1]) | (start[at][1:] != start[at][:-1] + 1) | (redundant[at][1:] != redundant[at][:-1])
@@ -140,6 +155,7 @@ def _compare(table: pa.Table, passage: int) -> Iterator[pa.RecordBatch]:
     last = np.append(first[1:], len(at)) - 1
     f, to = at[first], at[last]
     columns = {"id": own[f], "th": table["th"].to_numpy()[row[f]], "start": start[f].astype(np.int32), "stop": (start[to] + passage).astype(np.int32), "redundant": redundant[f]}
+    columns |= {"g": pa.nulls(len(f), pa.int64()), "h": pa.nulls(len(f), pa.int32()), "repeated": np.ones(len(f), bool)}
     yield from record_batches(columns, _SPANS)
 
 
@@ -153,8 +169,9 @@ def _neighbours(passage: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             if sum(map(len, held)) < ROWS:
                 continue
             table = pa.Table.from_batches(held)
-            g = table["g"].to_numpy()
-            whole = int(np.searchsorted(g, g[-1]))
+            g, salt = table["g"].to_numpy(), table["salt"].to_numpy()
+            others = np.flatnonzero((g != g[-1]) | (salt != salt[-1]))
+            whole = int(others[-1]) + 1 if len(others) else 0
             if whole:
                 yield from _compare(table.slice(0, whole), passage)
             held = table.slice(whole).combine_chunks().to_batches()
@@ -169,22 +186,21 @@ def _spans(docs: DataFrame, passage: int, anchor: int) -> DataFrame:
     keyed = docs.select(*document_key(), "text")
     found = keyed.mapInArrow(_anchors(passage, anchor), "id long, th long, g long")
     found = written(found, "anchors")
-    seen = found.groupBy("g").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
-    seen = seen.where("least <> most").select("g", (F.col("n") > HOT).alias("hot"))
-    asked = found.join(seen, "g").groupBy("id", "th").agg(F.collect_set("g").alias("gs"), F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hot_gs"))
+    seen = found.groupBy("g").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least <> most")
+    seen = written(seen.select("g", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "repeated")
+    asked = found.join(seen.select("g"), "g").groupBy("id", "th").agg(F.collect_set("g").alias("gs"))
     suffixes = keyed.join(asked, ["id", "th"]).select("id", "th", "text", "gs").mapInArrow(
         _suffixes(passage, anchor), "id long, th long, g long, start int, windows array<int>"
     )
-    suffixes = written(suffixes, "suffixes")
-    hot = checkpointed(seen.where("hot").select("g"))
-    common = suffixes.join(F.broadcast(hot), "g", "left_anti") if hot.count() else suffixes
-    spans = common.repartition("g").sortWithinPartitions("g").mapInArrow(_neighbours(passage), _SPANS_DDL)
-    if hot.count():
-        windows = suffixes.join(F.broadcast(hot), "g").select("id", "th", "g", "start", F.posexplode("windows").alias("o", "h"))
-        agree = windows.groupBy("g", "h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
-        hit = windows.join(agree, ["g", "h"]).withColumn("start", F.col("start") + F.col("o"))
-        spans = spans.unionByName(hit.select("id", "th", "start", (F.col("start") + passage).cast("int").alias("stop"), (F.col("id") != F.col("least")).alias("redundant")))
-    return spans
+    suffixes = suffixes.join(small(checkpointed(seen.where("parts > 1"))), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = suffixes.withColumn("salt", F.pmod(F.col("th"), F.col("parts")).cast("int")).repartition("g", "salt").sortWithinPartitions("g", "salt")
+    compared = dealt.select("id", "th", "g", "parts", "salt", "start", "windows").mapInArrow(_neighbours(passage), _SPANS_DDL)
+    compared = written(compared, "compared")
+    still_open = compared.where("g is not null")
+    agree = still_open.groupBy("g", "h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("repeated").alias("known"))
+    hit = still_open.join(agree.where("least <> most or known"), ["g", "h"])
+    columns = ["id", "th", "start", "stop"]
+    return compared.where("g is null").select(*columns, "redundant").unionByName(hit.select(*columns, (F.col("id") != F.col("least")).alias("redundant")))
 
 
 def _merged(spans: DataFrame, by: list[str]) -> DataFrame:
