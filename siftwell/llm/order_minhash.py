@@ -7,9 +7,10 @@ alignment of their shingle sequences: with ``m`` aligned of ``a`` and ``b`` shin
 reach ``similarity``.
 
 Equal texts are one node. Buckets propose pairs in rounds: rows of a bucket that already share a class are not compared,
-every node proposes a bounded number of its best pairs by a 64-fold MinHash estimate, doubling twice each round, and the rounds end
-when no bucket has an untested pair of two classes left whose estimate is ``SLACK`` or more (four standard deviations
-below the bound). So groups of many copies cost pairs in proportion to their size, and no link between classes is left out.
+a pair counts in the first sketch where it meets, and every node proposes a bounded number of its best pairs by a 256-fold
+MinHash estimate, four times as many each round. The rounds end when no bucket has an untested pair of two classes left whose
+estimate is ``SLACK`` or more (three standard deviations below the bound). So no link between classes is left out but by
+that estimate.
 
 Texts without words, null ones too, are classes of their own. Texts of fewer than five words are one shingle. A null id
 is one document with the id null; rows that repeat id and text share their class. Empty tables give empty results;
@@ -34,10 +35,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 SAMPLE = 3
-ESTIMATORS = 64
-SLACK = 0.6
+ESTIMATORS = 256
+SLACK = 0.72
 # An estimate from which a pair is taken as one, to choose whom a node is compared with first.
-LIKELY = 0.9
+LIKELY = 0.84
 PROPOSALS = 2
 ROWS = 8192
 # Shingles expected below the threshold that preselects the lowest ones of a text.
@@ -89,7 +90,7 @@ _SKETCH_DDL = "id long, th long, wh long, n int, keys array<long>, sig binary"
 
 
 def _sketch(shingle: int, sketches: int, sample: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    factors = _odd(ESTIMATORS, seed + 1)
+    factors = (_odd(ESTIMATORS, seed + 1) >> np.uint64(31)).astype(np.uint32) | np.uint32(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,9 +104,10 @@ def _sketch(shingle: int, sketches: int, sample: int, seed: int) -> Callable[[It
                 counts = np.diff(borders)
                 whole = words.spans(words.first[:-1][some], words.first[1:][some])
                 labelled = _labelled(shingles, np.repeat(np.arange(len(some)), counts))
-                sig = np.empty((len(some), ESTIMATORS), dtype=np.uint16)
+                sig = np.empty((len(some), ESTIMATORS), dtype=np.uint8)
+                short = (labelled >> np.uint64(32)).astype(np.uint32)
                 for j, factor in enumerate(factors):
-                    sig[:, j] = mix(np.minimum.reduceat(labelled * factor, borders[:-1])) & np.uint64(0xFFFF)
+                    sig[:, j] = mix(np.minimum.reduceat(short * factor, borders[:-1]).astype(np.uint64)) & np.uint64(0xFF)
                 # A text of fewer shingles than a sample has one key, all its words.
                 enough = counts >= sample
                 keys = np.repeat(whole[:, None], sketches, axis=1)
@@ -129,13 +131,18 @@ def _propose(similarity: float, proposals: int) -> Callable[[Iterator[pd.DataFra
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(frames, GROUP, ROWS):
-            sig = np.frombuffer(b"".join(frame["sig"]), dtype=np.uint16).reshape(len(frame), ESTIMATORS)
+            sig = np.frombuffer(b"".join(frame["sig"]), dtype=np.uint8).reshape(len(frame), ESTIMATORS)
+            keys, sketch = np.zeros((len(frame), frame["keys"].map(len).max()), dtype=np.int64), frame["j"].to_numpy()
+            for r, own in enumerate(frame["keys"]):
+                keys[r, : len(own)] = own
             node, label, n = frame["node"].to_numpy(), frame["class"].to_numpy(), frame["n"].to_numpy()
             tested = {(a, b) for a, others in zip(node, frame["tested"], strict=True) if others is not None for b in others}
             found = []
             for a, b in pair_slices(frame):
                 fit = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
                 a, b = a[fit], b[fit]
+                first = ~((keys[a] == keys[b]) & (np.arange(keys.shape[1]) < sketch[a][:, None])).any(axis=1)
+                a, b = a[first], b[first]
                 estimate = (sig[a] == sig[b]).mean(axis=1)
                 near = estimate >= SLACK
                 found.append((a[near], b[near], estimate[near]))
@@ -226,10 +233,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")
     ).withColumn("node", F.xxhash64("th", "wh"))
     nodes = written(nodes, "nodes")
-    slots = nodes.select("node", F.explode("keys").alias("key"))
+    slots = nodes.select("node", F.posexplode("keys").alias("j", "key"))
     crowded = slots.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = slots.join(crowded, "key").join(nodes.select("node", "n", "sig"), "node")
-    members = written(members.select("key", "size", "node", "n", "sig"), "members")
+    members = slots.join(crowded, "key").join(nodes.select("node", "n", "sig", "keys"), "node")
+    members = written(members.select("key", "size", "j", "node", "n", "sig", "keys"), "members")
     inside = checkpointed(members.select("node").distinct())
     wanted = small(checkpointed(nodes.select("id", "th", "node").join(inside, "node", "left_semi")))
     texts = keyed.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("node", "text")
@@ -249,7 +256,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
         else:
             rows = rows.join(tested.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tested")), "node", "left")
         rows = blocked(rows, F.col("size"), across=labels is not None)
-        sorted_rows = rows.select(*GROUP, "block", "node", "class", "n", "sig", "tested").repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
+        sorted_rows = rows.select(*GROUP, "block", "node", "class", "n", "sig", "tested", "j", "keys").repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
         proposed = checkpointed(sorted_rows.mapInPandas(_propose(similarity, proposals), "a long, b long").distinct())
         if proposed.isEmpty():
             if labels is not None or not members.where(F.col("size") > 512).limit(1).count():
