@@ -21,15 +21,12 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import checkpointed, written
 from siftwell.llm.components import components
+from siftwell.llm.pairs import FEW, GROUP, blocked, whole_groups
 
 TABLES = 72
 BITS = 18
 WIDTH = 2.0
 COSINE = 0.95
-# Rows of one block of a bucket. Larger buckets are split, and all pairs of their blocks compared by different tasks.
-BLOCK = 512
-# Groups up to this size are compared side by side, larger ones as matrix products.
-FEW = 32
 # Rows a task compares at a time; a group, two blocks at most, stays whole.
 ROWS = 8192
 
@@ -128,24 +125,8 @@ def _links(cosine: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
     """Compare the groups of a sorted partition, some thousand rows of whole groups at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["t", "key", "low", "high"]
-        held: list[pd.DataFrame] = []
-
-        def grouped() -> tuple[pd.DataFrame, int]:
-            frame = pd.concat(held, ignore_index=True)
-            marks = frame[names].to_numpy()
-            frame["group"] = np.concatenate([[0], np.cumsum((marks[1:] != marks[:-1]).any(axis=1))])
-            return frame, int(np.searchsorted(frame["group"], frame["group"].iloc[-1]))
-
-        for frame in frames:
-            held.append(frame)
-            if sum(map(len, held)) >= ROWS:
-                whole, last = grouped()
-                if last:
-                    yield _compared(whole.iloc[:last], cosine)
-                held = [whole.iloc[last:].drop(columns="group")]
-        if held and sum(map(len, held)):
-            yield _compared(grouped()[0], cosine)
+        for frame in whole_groups(frames, ["t", *GROUP], ROWS):
+            yield _compared(frame.reset_index(drop=True), cosine)
 
     return run
 
@@ -170,13 +151,8 @@ def linked(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, bit
     slots = keyed.select("node", F.posexplode("keys").alias("t", "key"))
     crowded = slots.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = slots.join(crowded, ["t", "key"])
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), parts).cast("int"))
-    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    low, high = F.least("block", "with"), F.greatest("block", "with")
-    members = members.select("node", "t", "key", "block", low.alias("low"), high.alias("high"))
-    group = ["t", "key", "low", "high"]
-    blocks = members.join(keyed, "node").repartition(*group).sortWithinPartitions(*group)
+    members = blocked(members, F.col("size")).select("node", "t", "block", *GROUP)
+    blocks = members.join(keyed, "node").repartition("t", *GROUP).sortWithinPartitions("t", *GROUP)
     found = checkpointed(blocks.mapInPandas(_links(cosine), "node long, links long, other long"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
