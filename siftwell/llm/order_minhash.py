@@ -41,6 +41,8 @@ SLACK = 0.72
 LIKELY = 0.84
 PROPOSALS = 2
 ROWS = 8192
+# Rows of one block of a bucket.
+BLOCK = 2048
 # Shingles expected below the threshold that preselects the lowest ones of a text.
 PRESELECTED = 24.0
 
@@ -235,9 +237,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     nodes = written(nodes, "nodes")
     slots = nodes.select("node", F.posexplode("keys").alias("j", "key"))
     crowded = slots.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = slots.join(crowded, "key").join(nodes.select("node", "n", "sig", "keys"), "node")
-    members = written(members.select("key", "size", "j", "node", "n", "sig", "keys"), "members")
+    members = written(slots.join(crowded, "key").select("key", "size", "j", "node"), "members")
     inside = checkpointed(members.select("node").distinct())
+    facts = written(nodes.select("node", "n", "sig", "keys").join(inside, "node", "left_semi"), "facts")
     wanted = small(checkpointed(nodes.select("id", "th", "node").join(inside, "node", "left_semi")))
     texts = keyed.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("node", "text")
     sequences = written(texts.mapInArrow(_sequences(shingle), "node long, x array<int>"), "sequences")
@@ -245,23 +247,23 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     tested = links = labels = None
     proposals = PROPOSALS
     while True:
-        rows = members.withColumn("class", F.col("node")) if labels is None else (
-            members.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-        )
-        if labels is not None:
-            open_keys = rows.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("m")).where("l <> m").select("key")
-            rows = rows.join(open_keys, "key", "left_semi")
-        if tested is None:
-            rows = rows.withColumn("tested", F.array().cast("array<long>"))
+        # Narrow rows first; estimates' hashes join what is left of the buckets.
+        if labels is None:
+            rows = members.withColumn("class", F.col("node")).withColumn("tested", F.array().cast("array<long>"))
         else:
-            rows = rows.join(tested.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tested")), "node", "left")
-        rows = blocked(rows, F.col("size"), across=labels is not None)
+            partners = tested.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tested"))
+            state = inside.join(labels, "node", "left").join(partners, "node", "left")
+            state = state.select("node", F.coalesce("component", "node").alias("class"), "tested")
+            rows = members.join(small(checkpointed(state)), "node")
+            open_keys = rows.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("m")).where("l <> m").select("key")
+            rows = rows.join(small(checkpointed(open_keys)), "key", "left_semi")
+        rows = blocked(rows, F.col("size"), across=labels is not None, block=BLOCK).join(facts, "node")
         sorted_rows = rows.select(*GROUP, "block", "node", "class", "n", "sig", "tested", "j", "keys").repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
         proposed = checkpointed(sorted_rows.mapInPandas(_propose(similarity, proposals), "a long, b long").distinct())
         if proposed.isEmpty():
-            if labels is not None or not members.where(F.col("size") > 512).limit(1).count():
+            if labels is not None or members.where(F.col("size") > BLOCK).isEmpty():
                 break
-            labels = checkpointed(inside.select("node", F.col("node").alias("component")))
+            tested, labels = proposed, checkpointed(inside.select("node", F.col("node").alias("component")))
             continue
         pairs = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         left, right = sequences.select(F.col("node").alias("a"), "x"), sequences.select(F.col("node").alias("b"), F.col("x").alias("y"))

@@ -15,9 +15,9 @@ GROUP = ["key", "low", "high"]
 FEW = 32
 
 
-def blocked(members: DataFrame, size: Column, across: bool = True, seed: int = 7) -> DataFrame:
+def blocked(members: DataFrame, size: Column, across: bool = True, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """Add ``block, low, high``: a row goes to every pair of blocks that its own is part of (or to its own only)."""
-    parts = F.ceil(size / BLOCK).cast("int")
+    parts = F.ceil(size / block).cast("int")
     rows = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), parts).cast("int"))
     if not across:
         return rows.withColumn("low", F.col("block")).withColumn("high", F.col("block"))
@@ -48,7 +48,7 @@ def whole_groups(frames: Iterator[pd.DataFrame], names: list[str], rows: int) ->
         yield grouped()[0]
 
 
-def pair_slices(frame: pd.DataFrame, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pair_slices(frame: pd.DataFrame, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of all pairs within each group (of one block, or across its two), at most about ``most`` at once."""
     group, block = frame["group"].to_numpy(), frame["block"].to_numpy()
     one = frame["low"].to_numpy() == frame["high"].to_numpy()
