@@ -8,7 +8,7 @@ reach ``similarity``.
 
 Equal texts are one node. Buckets propose pairs in rounds: rows of a bucket that already share a class are not compared,
 a pair counts in the first sketch where it meets, and every node proposes a bounded number of its best pairs by a 256-fold
-MinHash estimate, four times as many each round. The rounds end when no bucket has an untested pair of two classes left whose
+MinHash estimate, sixteen times as many each round. The rounds end when no bucket has an untested pair of two classes left whose
 estimate is ``SLACK`` or more (three standard deviations below the bound). So no link between classes is left out but by
 that estimate.
 
@@ -39,7 +39,7 @@ ESTIMATORS = 256
 SLACK = 0.72
 # An estimate from which a pair is taken as one, to choose whom a node is compared with first.
 LIKELY = 0.84
-PROPOSALS = 2
+PROPOSALS = 4
 ROWS = 8192
 # Rows of one block of a bucket.
 BLOCK = 2048
@@ -244,7 +244,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     texts = keyed.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("node", "text")
     sequences = written(texts.mapInArrow(_sequences(shingle), "node long, x array<int>"), "sequences")
 
-    tested = links = labels = None
+    tested = labels = None
     proposals = PROPOSALS
     while True:
         # Narrow rows first; estimates' hashes join what is left of the buckets.
@@ -269,10 +269,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
         left, right = sequences.select(F.col("node").alias("a"), "x"), sequences.select(F.col("node").alias("b"), F.col("x").alias("y"))
         checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long, near boolean")
         near = checkpointed(checked.where("near").select("a", "b"))
-        links = near if links is None else links.unionByName(near)
         tested = proposed if tested is None else tested.unionByName(proposed)
-        labels = checkpointed(components(links))
-        proposals *= 4
+        if labels is None:
+            labels = checkpointed(components(near))
+        else:
+            # Later links join classes, not documents.
+            old = labels.select("node", "component")
+            ends = near.join(old.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+            ends = ends.join(old.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+            renamed = joined.select(F.col("node").alias("class"), F.col("component").alias("to"))
+            every = inside.join(old, "node", "left").select("node", F.coalesce("component", "node").alias("class"))
+            labels = checkpointed(every.join(renamed, "class", "left").select("node", F.coalesce("to", "class").alias("component")))
+        proposals *= 16
 
     named = nodes.select("node", "id", "th", "wh")
     if labels is None:
