@@ -162,6 +162,9 @@ def _propose(similarity: float, proposals: int) -> Callable[[Iterator[pd.DataFra
             heads = np.searchsorted(own[order], own[order], side="left")
             best = order[np.arange(len(order)) - heads < proposals]
             chosen = np.union1d(lead, best)
+            # A pair that both ends propose is proposed once.
+            ends = np.stack([np.minimum(own[chosen], other[chosen]), np.maximum(own[chosen], other[chosen])])
+            chosen = chosen[np.unique(ends, axis=1, return_index=True)[1]]
             yield pd.DataFrame({"a": node[own[chosen]], "b": node[other[chosen]]})
 
     return run
