@@ -10,6 +10,7 @@ results; other columns of the input are ignored. A long text is tokenised by its
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,17 +25,25 @@ from siftwell.llm.common import checkpointed, small, text_slices, written
 SEQUENCE = 2048
 END_ID = 1
 # Words whose tokens a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 _TOKENS_DDL = "doc_id long, part long, place long, n long, ids binary"
 
 
+def _stem(word: str) -> tuple[str, str]:
+    """A word as the part to look up and the mark behind it (often none)."""
+    mark = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() else ""
+    stem = word[: len(word) - len(mark)]
+    return (stem.lower() if stem.isascii() and "<|" not in stem else stem), mark
+
+
 def _tokenise(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Tokens of each text, by words.
 
     The vocabulary drops white space and never joins across it, so the tokens of a text are those of its words between
-    spaces and line feeds; each different word goes through the tokenizer once.
+    spaces and line feeds; each different word goes through the tokenizer once. It lowers case, and a full stop or comma
+    after a letter is a token of its own, so words that differ in these alone share a stem.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -42,6 +51,7 @@ def _tokenise(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        packed_ids = [struct.pack("<I", i) for i in range(tokenizer.get_vocab_size())]
         part, place = TaskContext.get().partitionId(), 0
         known: dict[str, bytes] = {}
         for batch in batches:
@@ -49,9 +59,13 @@ def _tokenise(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 texts = [(t or "").replace("\n", " ").split(" ") for t in rows.column(1).to_pylist()]
                 if len(known) > REMEMBERED:
                     known = {}
-                new = list({w for words in texts for w in words if w not in known})
-                for word, got in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[word] = np.array(got.ids, dtype="<u4").tobytes()
+                new = {w for words in texts for w in words if w not in known}
+                split = {w: _stem(w) for w in new}
+                fresh = list({part for parts in split.values() for part in parts if part not in known})
+                for part, got in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+                    known[part] = b"".join([packed_ids[i] for i in got.ids])
+                for word, (stem, mark) in split.items():
+                    known[word] = known[stem] + known[mark]
                 ids = [b"".join([known[w] for w in words]) + end for words in texts]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 places = place + np.cumsum(n) - n
