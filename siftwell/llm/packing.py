@@ -61,9 +61,9 @@ def _tokenise(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     known = {}
                 new = {w for words in texts for w in words if w not in known}
                 split = {w: _stem(w) for w in new}
-                fresh = list({part for parts in split.values() for part in parts if part not in known})
-                for part, got in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                    known[part] = b"".join([packed_ids[i] for i in got.ids])
+                fresh = list({piece for pieces in split.values() for piece in pieces if piece not in known})
+                for piece, got in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+                    known[piece] = b"".join([packed_ids[i] for i in got.ids])
                 for word, (stem, mark) in split.items():
                     known[word] = known[stem] + known[mark]
                 ids = [b"".join([known[w] for w in words]) + end for words in texts]
