@@ -16,16 +16,13 @@ from siftwell.functions.chunks import unit_chunk_ids
 from siftwell.functions.text import non_blank
 from siftwell.operators.ordinals import first_n, running_total
 
-SEGMENT_CAP = 10_000
-CHAR_CAP = 10_000_000
-
 
 def drop_blank(segments: DataFrame, text: str = "text") -> DataFrame:
     return segments.where(non_blank(F.col(text)))
 
 
 def cap_segments(
-    segments: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = SEGMENT_CAP, count_blank: bool = True
+    segments: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, count_blank: bool = True
 ) -> DataFrame:
     """The first ``n`` segments of each document.
 
@@ -37,7 +34,7 @@ def cap_segments(
 
 
 def cap_chars(
-    segments: DataFrame, keys: Sequence[str], order: Sequence[str], max_chars: int = CHAR_CAP, text: str = "text"
+    segments: DataFrame, keys: Sequence[str], order: Sequence[str], max_chars: int, text: str = "text"
 ) -> DataFrame:
     """Keep a segment iff the segments before it hold fewer than ``max_chars`` characters."""
     return running_total(
@@ -66,14 +63,17 @@ def _assemble(segments: DataFrame, keys: Sequence[str], position: str, joiner: s
 
 
 def capped_units(
-    units: DataFrame, keys: Sequence[str], unit: str, lines: str = "lines", cap: int = SEGMENT_CAP
+    units: DataFrame, keys: Sequence[str], unit: str, lines: str = "lines", cap: int | None = None
 ) -> DataFrame:
     """The units that hold a document's first ``cap`` segments, the last one cut to fit.
 
     Every unit that counts has at least one segment, so the first ``cap`` non-empty units
     are enough, and only those are ordered. Adds ``before``, the segments ahead of the unit.
+    Without a cap all units that count are returned as they are, and ``before`` is not needed.
     """
     filled = units.where(F.size(lines) > 0)
+    if cap is None:
+        return filled
     head = first_n(filled, keys, [unit], cap, out="_unit_pos").drop("_unit_pos")
     placed = running_total(head, keys, [unit], weight=F.size(lines), out="before", below=cap)
     room = F.lit(cap) - F.col("before")
@@ -89,12 +89,12 @@ def chunk_units(
     n: int,
     joiner: str = "\n",
     lines: str = "lines",
-    cap: int = SEGMENT_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
     """``(keys..., chunk_no, text)`` where a chunk closes at the end of the unit that fills it.
 
-    The segment cap of the unit formats bounds the units of a document, so the fold runs
-    over at most ``cap`` (unit, size) pairs; the texts themselves are joined per chunk.
+    The fold runs over the (unit, size) pairs of a document, two integers each; the texts
+    themselves are joined per chunk. A ``cap`` reads a document's first segments only.
     """
     capped = capped_units(units, keys, unit, lines, cap)
     sizes = capped.groupBy(*keys).agg(

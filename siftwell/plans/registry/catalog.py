@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from siftwell.functions import numbers, paths
 from siftwell.operators import catalog as ops
 from siftwell.plans.registry.base import query, table
-from siftwell.sources.catalog import filter_catalog, list_files
-from siftwell.sources.profiles import PROFILES, SUPPORTED_EXTENSIONS, with_profile
+from siftwell.sources.catalog import filter_catalog
+from siftwell.sources.profiles import SUPPORTED_EXTENSIONS, with_profile
 
 DRIVES = ("C:", "D:")
 DIRS = ("\\Users\\a\\", "\\Windows\\", "\\Program Files\\x\\", "\\ProgramData\\", "\\Data\\")
@@ -188,13 +188,15 @@ def root_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "format_profiles",
-    f"""WITH {CATALOG_SQL}, profile(ext, kind, chunk_size, segment_cap) AS (VALUES {", ".join(
-        f"('{p[0]}', '{p[1]}', {p[2] or 'NULL'}, {p[4] or 'NULL'})" for p in PROFILES)})
-    SELECT path, lower({EXT_SQL}) AS ext, kind, chunk_size, segment_cap
+    f"""WITH {CATALOG_SQL}, profile(ext, kind, chunk_size) AS (VALUES
+        ('.txt', 'lines', 500), ('.md', 'lines', 500), ('.csv', 'records', 100), ('.docx', 'parts', 200), ('.xlsx', 'rows', 100),
+        ('.xls', 'rows', 100), ('.pptx', 'units', 50), ('.pdf', 'units', 5), ('.doc', 'utf16', NULL), ('.wps', 'streams', NULL),
+        ('.ppt', 'streams', NULL), ('.dps', 'streams', NULL), ('.et', 'rows', NULL))
+    SELECT path, lower({EXT_SQL}) AS ext, kind, chunk_size
     FROM catalog LEFT JOIN profile ON profile.ext = lower({EXT_SQL})""",
 )
 def format_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_profile(derived_catalog(spark, sf_dir)).select("path", "ext", "kind", "chunk_size", "segment_cap")
+    return with_profile(derived_catalog(spark, sf_dir)).select("path", "ext", "kind", "chunk_size")
 
 
 def scan_log_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,9 +245,3 @@ def scalar_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
         numbers.batch_count(F.col("event_id"), 1000).alias("batches"),
         numbers.percent_done(F.col("user_id"), F.col("user_id") + F.col("event_id") + 1).alias("pct"),
     )
-
-
-@query("list_files")
-def list_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table files themselves; checked against the directory in the tests."""
-    return list_files(spark, [sf_dir]).select("path", "size_bytes")

@@ -37,7 +37,6 @@ from siftwell.sources.segments import (
     unit_segments,
     utf16_carve,
 )
-from siftwell.sources.profiles import STREAM_PREFIX_BYTES
 
 CONV = ["conv_id"]
 UNIT_CHUNK = 5
@@ -147,7 +146,7 @@ _FIELD = r'(?:"((?:[^"]|"")*)(?:"([^,\n]*))?|([^,\n]*))(,|\n|\z)'
     GROUP BY doc_id, seg_no""",
 )
 def csv_segments_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return csv_segments(_documents(spark, sf_dir), DOC)
+    return csv_segments(_documents(spark, sf_dir), DOC).drop("error")
 
 
 _UNITS_SQL = f"""
@@ -248,7 +247,7 @@ _SCAN_ROWS_SQL = f"""WITH placed AS (
         SELECT {{key}}, row_number() OVER (PARTITION BY {{key}} ORDER BY o_orderkey) - 1 AS p, {_ORDER_TEXT} AS line FROM orders),
     chunks AS (
         SELECT {{key}}, p // 100 AS chunk_no, string_agg(line, chr(10) ORDER BY p) AS text
-        FROM placed WHERE p < 10000 GROUP BY {{key}}, p // 100),
+        FROM placed GROUP BY {{key}}, p // 100),
     {{hits}}, {{found}} {{final}}"""
 
 
@@ -311,14 +310,14 @@ def stream_lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as raw streams, read within the stream limit and decoded leniently."""
     content = F.encode(F.col("text"), "UTF-8")
     return _documents(spark, sf_dir).select(
-        "doc_id", F.posexplode(stream_lines(content, STREAM_PREFIX_BYTES)).alias("seg_no", "text")
+        "doc_id", F.posexplode(stream_lines(content)).alias("seg_no", "text")
     )
 
 
 @query(
     "utf16_carve",
     # All characters of the corpus take one unit, so 20,000 bytes are 10,000 characters.
-    "SELECT doc_id, regexp_replace(substr(text, 1, 10000), '[\\x00-\\x1f]', '', 'g') AS text FROM documents",
+    "SELECT doc_id, regexp_replace(text, '[\\x00-\\x1f]', '', 'g') AS text FROM documents",
 )
 def utf16_carve_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as raw UTF-16LE, carved back; the first 20,000 bytes are the format's own limit."""

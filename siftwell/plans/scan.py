@@ -13,9 +13,9 @@ from siftwell.functions.numbers import size_mb
 from siftwell.functions.rules import RuleSet
 from siftwell.functions.text import head_lines, lossy_utf8, non_blank, physical_lines, universal_newlines
 from siftwell.operators.catalog import skip_scanned
-from siftwell.operators.chunking import SEGMENT_CAP, chunk_lines, chunk_units
+from siftwell.operators.chunking import chunk_lines, chunk_units
 from siftwell.operators.matching import FUSED, findings, pick_mode, row_findings
-from siftwell.operators.ordinals import first_n
+from siftwell.operators.ordinals import first_n, positions
 from siftwell.operators.verdicts import classify, row_verdicts, verdicts
 from siftwell.session import spread
 from siftwell.sources.catalog import catalog_scan, read_contents
@@ -59,7 +59,7 @@ def scan_chunked(
     rules: RuleSet,
     threshold: int,
     lines_per_chunk: int = TEXT_CHUNK_LINES,
-    cap: int | None = SEGMENT_CAP,
+    cap: int | None = None,
     text: str = "text",
     mode: str = FUSED,
 ) -> DataFrame:
@@ -104,7 +104,7 @@ def scan_units(
     rules: RuleSet,
     threshold: int,
     lines_per_chunk: int = 5,
-    cap: int = SEGMENT_CAP,
+    cap: int | None = None,
     text: str = "text",
     mode: str = FUSED,
 ) -> DataFrame:
@@ -122,13 +122,13 @@ def scan_rows(
     rules: RuleSet,
     threshold: int,
     rows_per_chunk: int = 100,
-    cap: int = SEGMENT_CAP,
+    cap: int | None = None,
     skip_empty: bool = False,
     mode: str = FUSED,
 ) -> DataFrame:
     """Verdicts over groups of structured rows, each group read like a spreadsheet."""
     rows = row_segments(df, [*dict.fromkeys([*keys, order])], columns, skip_empty)
-    capped = first_n(rows, keys, [order], cap)
+    capped = positions(rows, keys, [order]) if cap is None else first_n(rows, keys, [order], cap)
     chunks = chunk_lines(capped, keys, rows_per_chunk, "\n", position="position")
     found = chunk_findings(chunks, keys, rules, threshold, mode)
     return verdicts(df.select(*keys).dropDuplicates(list(keys)), found, keys, rules, threshold)
@@ -163,22 +163,24 @@ def file_chunks(
     contents: DataFrame,
     extractors: dict[str, Extractor] | None = None,
     chunk_sizes: dict[str, int] | None = None,
+    caps: dict[str, int] | None = None,
 ) -> DataFrame:
     """``(path, chunks, error)`` from ``(path, content)``: every format by its profile.
 
     Text and CSV are cut natively. The other formats need an extractor; without one a
     listed format has no text, like an unknown one. ``chunk_sizes`` replaces the chunk size
-    of a format, for instance ``{".pdf": PDF_FAST_CHUNK}``.
+    of a format, for instance ``{".pdf": PDF_FAST_CHUNK}``. All segments are read unless
+    ``caps`` limits them by extension.
     """
     own = set() if extractors is None else {"." + e.lower().lstrip(".") for e in extractors}
-    profiled = with_profile(contents, chunk_sizes=chunk_sizes)
+    profiled = with_profile(contents, chunk_sizes=chunk_sizes, caps=caps)
     native = _native_chunks(
         profiled.where(F.col("kind").isin("lines", "records") & ~F.col("ext").isin(list(own) or [""]))
     )
     if not own:
         return native
     extracted = extract_segments(contents, extractors)
-    return native.unionByName(_extracted_chunks(with_profile(extracted, chunk_sizes=chunk_sizes)))
+    return native.unionByName(_extracted_chunks(with_profile(extracted, chunk_sizes=chunk_sizes, caps=caps)))
 
 
 def scan_contents(
@@ -187,9 +189,10 @@ def scan_contents(
     threshold: int,
     extractors: dict[str, Extractor] | None = None,
     mode: str = FUSED,
+    caps: dict[str, int] | None = None,
 ) -> DataFrame:
     """``(path, is_sensitive, details, error)`` for files with readable text."""
-    chunks = file_chunks(contents, extractors)
+    chunks = file_chunks(contents, extractors, caps=caps)
     found = row_findings(chunks, ["path", "error"], rules, threshold, mode, chunks="chunks")
     return row_verdicts(found, ["path", "error"], rules, threshold)
 

@@ -27,7 +27,6 @@ from siftwell.functions.text import (
 )
 from siftwell.operators.ordinals import positions
 from siftwell.session import spread
-from siftwell.sources.profiles import UTF16_PREFIX_BYTES
 
 RECORDS_TYPE = T.StructType(
     [T.StructField("records", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())]
@@ -63,6 +62,7 @@ def _record_parser() -> Callable[[Column], Column]:
     @F.pandas_udf(RECORDS_TYPE)
     def quoted_records(texts: pd.Series) -> pd.DataFrame:
         records, errors = [], []
+        csv.field_size_limit(2**31 - 1)
         for text in texts:
             rows, error = None, None
             if text is not None:
@@ -95,10 +95,16 @@ def csv_records(text: Column) -> Column:
 
 
 def csv_segments(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """Records of a CSV text column, blank ones included so that a cap can count them."""
+    """Records of a CSV text column, blank ones included so that a cap can count them.
+
+    ``error`` says why a document ends early; one that has no record before its error is a
+    row without ``seg_no``. The outer explode keeps the parser from running twice.
+    """
     texts = spread(df.select(*keys, text))
     staged = texts.select(*keys, csv_records(text_of(texts, text)).alias("_r"))
-    return _exploded(staged, keys, F.col("_r.records"))
+    rows = staged.select(*keys, F.posexplode_outer("_r.records").alias("seg_no", "text"), F.col("_r.error").alias("error"))
+    rows = rows.where(F.col("seg_no").isNotNull() | F.col("error").isNotNull())
+    return rows.select(*keys, F.lit(0).alias("unit_no"), "seg_no", "text", "error")
 
 
 def row_text(df: DataFrame, columns: Sequence[str], skip_empty: bool = False) -> Column:
@@ -150,13 +156,13 @@ def unit_segments(df: DataFrame, keys: Sequence[str], unit: str, text: str = "te
     return df.select(*keys, F.col(unit).alias("unit_no"), lines)
 
 
-def stream_lines(content: Column, n_bytes: int) -> Column:
-    """Stripped, non-blank lines in the first ``n_bytes`` of a binary stream."""
-    return stripped_lines(lossy_utf8(F.substring(content, 1, n_bytes)))
+def stream_lines(content: Column, n_bytes: int | None = None) -> Column:
+    """Stripped, non-blank lines of a binary stream, or of its first ``n_bytes``."""
+    return stripped_lines(lossy_utf8(content if n_bytes is None else F.substring(content, 1, n_bytes)))
 
 
-def utf16_carve(content: Column, n_bytes: int = UTF16_PREFIX_BYTES) -> Column:
-    """Text from raw UTF-16LE units: printable ones kept, CR as newline, the rest dropped."""
+def utf16_carve(content: Column, n_bytes: int | None = None) -> Column:
+    """Text from raw UTF-16LE units, or from the first ``n_bytes``: printable ones kept, CR as newline, the rest dropped."""
 
     @F.pandas_udf(T.StringType())
     def carve(contents: pd.Series) -> pd.Series:
@@ -168,7 +174,7 @@ def utf16_carve(content: Column, n_bytes: int = UTF16_PREFIX_BYTES) -> Column:
 
         return contents.map(units)
 
-    return carve(F.substring(content, 1, n_bytes))
+    return carve(content if n_bytes is None else F.substring(content, 1, n_bytes))
 
 
 Extractor = Callable[[str, bytes], Iterable[tuple[int, str]]]

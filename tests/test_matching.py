@@ -104,10 +104,11 @@ def test_chunk_borders_cut_matches(spark):
     assert scan_chunked(df, KEY, rules, 1).first().is_sensitive
 
 
-def test_lines_beyond_the_cap_are_not_read(spark):
+def test_lines_beyond_a_cap_are_not_read_and_all_are_without(spark):
     rules = make_rules([("hit", "HIT")])
     df = _table(spark, ["x\n" * 10_000 + "HIT", "x\n" * 9_999 + "HIT"])
-    assert [r.is_sensitive for r in scan_chunked(df, KEY, rules, 1).orderBy("d").collect()] == [False, True]
+    assert [r.is_sensitive for r in scan_chunked(df, KEY, rules, 1, cap=10_000).orderBy("d").collect()] == [False, True]
+    assert [r.is_sensitive for r in scan_chunked(df, KEY, rules, 1).orderBy("d").collect()] == [True, True]
 
 
 def test_one_document_with_most_chunks(spark):

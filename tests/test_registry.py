@@ -8,12 +8,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from siftwell.plans.registry import QUERIES, SQL
+from siftwell.sources.catalog import list_files
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
 ).split()
-WITHOUT_SQL = {"list_files"}
 
 
 @pytest.fixture(scope="module")
@@ -32,15 +33,12 @@ def _sorted(rows):
     return sorted(rows, key=lambda row: tuple((v is None, str(v)) for v in row))
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(name, spark, sf_dir, duck):
-    df = driver.queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     got = [tuple(_plain(row[c]) for c in columns) for row in df.collect()]
-    if name not in driver.oracle_sql():
-        assert name in WITHOUT_SQL
-        return
-    result = duck.sql(driver.oracle_sql()[name])
+    result = duck.sql(SQL[name])
     assert sorted(result.columns) == columns
     order = [result.columns.index(c) for c in columns]
     expected = [tuple(_plain(row[i]) for i in order) for row in result.fetchall()]
@@ -53,6 +51,5 @@ def test_entry_has_rows(spark):
 
 
 def test_listed_files_are_the_directory(spark, sf_dir):
-    rows = driver.queries()["list_files"](spark, sf_dir).collect()
-    found = {os.path.basename(r.path): r.size_bytes for r in rows}
+    found = {os.path.basename(r.path): r.size_bytes for r in list_files(spark, [sf_dir]).collect()}
     assert found == {n: os.path.getsize(f"{sf_dir}/{n}") for n in os.listdir(sf_dir)}

@@ -62,17 +62,25 @@ def test_csv_records_equal_the_standard_reader(spark):
 
 
 def test_a_bad_record_keeps_those_before_it(spark):
-    text = 'a,"b"\n' + "x" * 200_000
+    text = 'a,"b"\nc\rd'
     [(records, error)] = _column(spark, [text], csv_records)
-    assert records == ["a b"] and "limit" in error
+    assert records == ["a b"] and "new-line" in error
+    rows = csv_segments(spark.createDataFrame([(1, text)], "d int, text string"), ["d"]).collect()
+    assert [(r.text, r.error) for r in rows] == [("a b", None), ("c", None), ("d", None)]
+
+
+def test_a_long_quoted_field_is_read(spark):
+    text = 'a,"' + "x" * 200_000 + '"\nhit'
+    rows = csv_segments(spark.createDataFrame([(1, text)], "d int, text string"), ["d"]).collect()
+    assert [len(r.text) for r in rows] == [200_002, 3] and rows[0].error is None
 
 
 def test_blank_csv_records_use_up_the_cap_and_blank_rows_do_not(spark):
     text = "\n" * 10_000 + "hit\n"
     df = spark.createDataFrame([(1, text)], "d int, text string")
-    kept = cap_segments(csv_segments(df, ["d"]), ["d"], ["seg_no"])
+    kept = cap_segments(csv_segments(df, ["d"]), ["d"], ["seg_no"], 10_000)
     assert kept.where("text = 'hit'").count() == 0
-    kept = cap_segments(csv_segments(df, ["d"]), ["d"], ["seg_no"], count_blank=False)
+    kept = cap_segments(csv_segments(df, ["d"]), ["d"], ["seg_no"], 10_000, count_blank=False)
     assert [(r.text, r.position) for r in kept.collect()] == [("hit", 0)]
 
 
