@@ -38,7 +38,7 @@ THRESHOLDS = (
     Rule("word_count", "n_words", "one", 50.0, 1_000_000.0),
     Rule("symbol_ratio", "n_symbols", "n_words", 0.0, 0.1),
     Rule("stop_words", "n_stop_words", "one", 2.0, float("inf")),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", 0.0, 0.3),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", 0.0, 0.5),
     Rule("repeated_words", "n_repeat_words", "n_words", 0.0, 0.5),
 )
 

@@ -148,7 +148,7 @@ counts AS (
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words AND n_words <= 1000000
     AND word_chars / n_words BETWEEN 2.0 AND 12.0 AND n_symbols / n_words <= 0.1 AND n_stop_words >= 2
-    AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.3 AND n_repeat_words / n_words <= 0.5 AS kept
+    AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5 AND n_repeat_words / n_words <= 0.5 AS kept
 FROM counts"""
 
 
