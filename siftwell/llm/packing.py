@@ -10,6 +10,7 @@ results; other columns of the input are ignored. A long text is tokenised by its
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -26,24 +27,32 @@ SEQUENCE = 2048
 END_ID = 1
 # Words whose tokens a worker remembers.
 REMEMBERED = 400_000
+# Marks that the vocabulary keeps apart from a letter before them; those of its special tokens are not among them.
+MARKS = ".,!?;:*$%&#"
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LOWER = re.compile("[a-zß-öø-ÿ]+")
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 _TOKENS_DDL = "doc_id long, part long, place long, n long, ids binary"
 
 
 def _stem(word: str) -> tuple[str, str]:
-    """A word as the part to look up and the mark behind it (often none)."""
-    mark = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() else ""
-    stem = word[: len(word) - len(mark)]
-    return (stem.lower() if stem.isascii() and "<|" not in stem else stem), mark
+    """A word as the part to look up and the marks behind it (often none)."""
+    stem = word.rstrip(MARKS)
+    if not stem[-1:].isalpha():
+        stem = word
+    mark = word[len(stem) :]
+    lowered = _LATIN.fullmatch(stem) or (stem.isascii() and "<|" not in stem)
+    return (stem.lower() if lowered else stem), mark
 
 
 def _tokenise(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Tokens of each text, by words.
 
     The vocabulary drops white space and never joins across it, so the tokens of a text are those of its words between
-    spaces and line feeds; each different word goes through the tokenizer once. It lowers case, and a full stop or comma
-    after a letter is a token of its own, so words that differ in these alone share a stem.
+    spaces and line feeds; each different word goes through the tokenizer once. It lowers case, and a run of marks
+    after a letter stands by itself, so words that differ in these alone share a stem. A stem of Latin letters
+    alone is one word of the tokenizer's model, which takes it without the rules that split and normalise.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -51,6 +60,9 @@ def _tokenise(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        model = tokenizer.model
+        # Letters as the model sees them.
+        letters = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
         packed_ids = [struct.pack("<I", i) for i in range(tokenizer.get_vocab_size())]
         part, place = TaskContext.get().partitionId(), 0
         known: dict[str, bytes] = {}
@@ -61,8 +73,12 @@ def _tokenise(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     known = {}
                 new = {w for words in texts for w in words if w not in known}
                 split = {w: _stem(w) for w in new}
-                fresh = list({piece for pieces in split.values() for piece in pieces if piece not in known})
-                for piece, got in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+                fresh = {piece for pieces in split.values() for piece in pieces if piece not in known}
+                plain = {piece for piece in fresh if _LOWER.fullmatch(piece)}
+                for piece in plain:
+                    known[piece] = b"".join([packed_ids[token.id] for token in model.tokenize(piece.translate(letters) if not piece.isascii() else piece)])
+                other = list(fresh - plain)
+                for piece, got in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
                     known[piece] = b"".join([packed_ids[i] for i in got.ids])
                 for word, (stem, mark) in split.items():
                     known[word] = known[stem] + known[mark]
