@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 21
 # Tables up to this many rows of a few numbers each may be broadcast; their rows are counted first.
 BROADCAST_ROWS = 500_000
+# Rows of a few numbers each that one task takes of a table cut to its size.
+TASK_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``df``, a few numbers a row, checkpointed; later stages read it in tasks of some ``TASK_ROWS`` rows, not in many tiny ones."""
+    df = checkpointed(df)
+    return df.coalesce(1 + df.count() // TASK_ROWS)
+
+
 def small(df: DataFrame) -> DataFrame:
     """A broadcast hint for a counted, written table of few rows; the table as it is beyond the bound."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import checkpointed
+from siftwell.llm.common import gathered
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,9 +30,9 @@ def components(links: DataFrame) -> DataFrame:
     Links to oneself and repeated links do no harm; null ends are ignored.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = checkpointed(edges)
+    edges = gathered(edges)
     while True:
-        edges = checkpointed(_small_star(_large_star(edges).distinct()).where("u <> v").distinct())
+        edges = gathered(_small_star(_large_star(edges).distinct()).where("u <> v").distinct())
         # Done when all links lead to a node that has none itself: only stars are left.
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out")).unionAll(edges.select("v", F.lit(0)))
         if ends.groupBy("node").agg(F.min("out").alias("l"), F.max("out").alias("m")).where("l <> m").isEmpty():

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Words, checkpointed, document_key, mix, numbers, outer_id, record_batches, signed, small, text_slices, written
+from siftwell.llm.common import Words, checkpointed, document_key, gathered, mix, numbers, outer_id, record_batches, signed, small, text_slices, written
 from siftwell.llm.components import components
 from siftwell.llm.pairs import GROUP, blocked, pair_slices, whole_groups
 
@@ -165,7 +165,8 @@ def _propose(similarity: float, proposals: int) -> Callable[[Iterator[pd.DataFra
             # A pair that both ends propose is proposed once.
             ends = np.stack([np.minimum(own[chosen], other[chosen]), np.maximum(own[chosen], other[chosen])])
             chosen = chosen[np.unique(ends, axis=1, return_index=True)[1]]
-            yield pd.DataFrame({"a": node[own[chosen]], "b": node[other[chosen]]})
+            x, y = node[own[chosen]], node[other[chosen]]
+            yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return run
 
@@ -241,9 +242,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     slots = nodes.select("node", F.posexplode("keys").alias("j", "key"))
     crowded = slots.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(slots.join(crowded, "key").select("key", "size", "j", "node"), "members")
-    inside = checkpointed(members.select("node").distinct())
+    inside = gathered(members.select("node").distinct())
     facts = written(nodes.select("node", "n", "sig", "keys").join(inside, "node", "left_semi"), "facts")
-    wanted = small(checkpointed(nodes.select("id", "th", "node").join(inside, "node", "left_semi")))
+    wanted = small(gathered(nodes.select("id", "th", "node").join(inside, "node", "left_semi")))
     texts = keyed.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("node", "text")
     sequences = written(texts.mapInArrow(_sequences(shingle), "node long, x array<int>"), "sequences")
 
@@ -257,24 +258,23 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
             partners = tested.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tested"))
             state = inside.join(labels, "node", "left").join(partners, "node", "left")
             state = state.select("node", F.coalesce("component", "node").alias("class"), "tested")
-            rows = members.join(small(checkpointed(state)), "node")
+            rows = members.join(small(gathered(state)), "node")
             open_keys = rows.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("m")).where("l <> m").select("key")
-            rows = rows.join(small(checkpointed(open_keys)), "key", "left_semi")
+            rows = rows.join(small(gathered(open_keys)), "key", "left_semi")
         rows = blocked(rows, F.col("size"), across=labels is not None, block=BLOCK).join(facts, "node")
         sorted_rows = rows.select(*GROUP, "block", "node", "class", "n", "sig", "tested", "j", "keys").repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
-        proposed = checkpointed(sorted_rows.mapInPandas(_propose(similarity, proposals), "a long, b long").distinct())
+        proposed = gathered(sorted_rows.mapInPandas(_propose(similarity, proposals), "a long, b long").distinct())
         if proposed.isEmpty():
             if labels is not None or members.where(F.col("size") > BLOCK).isEmpty():
                 break
-            tested, labels = proposed, checkpointed(inside.select("node", F.col("node").alias("component")))
+            tested, labels = proposed, inside.select("node", F.col("node").alias("component"))
             continue
-        pairs = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         left, right = sequences.select(F.col("node").alias("a"), "x"), sequences.select(F.col("node").alias("b"), F.col("x").alias("y"))
-        checked = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long, near boolean")
-        near = checkpointed(checked.where("near").select("a", "b"))
+        checked = proposed.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long, near boolean")
+        near = gathered(checked.where("near").select("a", "b"))
         tested = proposed if tested is None else tested.unionByName(proposed)
         if labels is None:
-            labels = checkpointed(components(near))
+            labels = gathered(components(near))
         else:
             # Later links join classes, not documents.
             old = labels.select("node", "component")
@@ -283,7 +283,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
             joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
             renamed = joined.select(F.col("node").alias("class"), F.col("component").alias("to"))
             every = inside.join(old, "node", "left").select("node", F.coalesce("component", "node").alias("class"))
-            labels = checkpointed(every.join(renamed, "class", "left").select("node", F.coalesce("to", "class").alias("component")))
+            labels = gathered(every.join(renamed, "class", "left").select("node", F.coalesce("to", "class").alias("component")))
         proposals *= 16
 
     named = nodes.select("node", "id", "th", "wh")
