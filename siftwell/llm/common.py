@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,12 @@ def _span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     return mix((sums[ends] - sums[starts]) * _power(pow(base, -1, 1 << 64), n + 1)[starts])
 
 
+def byte_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans ``[start, end)``."""
+    values = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
+    return _span_sums(values, starts, ends, _BYTE_BASE)
+
+
 class Words:
     """Hashes of the words of some rows. Words of row ``r`` are ``first[r]:first[r + 1]``."""
 
@@ -136,12 +143,15 @@ class Words:
         self.starts = np.flatnonzero(begins)
         self.ends = np.flatnonzero(lasts) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        values = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
-        self.hashes = _span_sums(values, self.starts, self.ends, _BYTE_BASE)
+        self._data = data
         self._sums: np.ndarray | None = None
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return byte_spans(self._data, self.starts, self.ends)
+
     def __len__(self) -> int:
-        return len(self.hashes)
+        return len(self.starts)
 
     def rows(self) -> np.ndarray:
         """The row of each word."""
