@@ -41,6 +41,8 @@ SLACK = 0.72
 LIKELY = 0.84
 PROPOSALS = 4
 ROWS = 8192
+# Pairs that are compared at once.
+PAIRS = 1 << 15
 # Rows of one block of a bucket.
 BLOCK = 2048
 # Shingles expected below the threshold that preselects the lowest ones of a text.
@@ -140,14 +142,14 @@ def _propose(similarity: float, proposals: int) -> Callable[[Iterator[pd.DataFra
             node, label, n = frame["node"].to_numpy(), frame["class"].to_numpy(), frame["n"].to_numpy()
             tested = {(a, b) for a, others in zip(node, frame["tested"], strict=True) if others is not None for b in others}
             found = []
-            for a, b in pair_slices(frame):
+            for a, b in pair_slices(frame, PAIRS):
                 fit = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
                 a, b = a[fit], b[fit]
                 first = ~((keys[a] == keys[b]) & (np.arange(keys.shape[1]) < sketch[a][:, None])).any(axis=1)
                 a, b = a[first], b[first]
                 estimate = (sig[a] == sig[b]).mean(axis=1)
                 near = estimate >= SLACK
-                found.append((a[near], b[near], estimate[near]))
+                found.append((a[near].astype(np.int32), b[near].astype(np.int32), estimate[near].astype(np.float32)))
             if not found:
                 continue
             a, b, estimate = (np.concatenate(x) for x in zip(*found, strict=True))
