@@ -1,8 +1,8 @@
 """Rules as data: validation, dialect, and fusion into one alternation.
 
 Rules are written in Python's regular-expression dialect and run on the JVM. Every
-pattern gets the prefix ``(?U)(?d)`` so that ``\\d``, ``\\w`` and ``\\s`` are Unicode-aware and
-``$`` only looks past a final ``\\n``; the few constructs that are spelled differently are
+pattern gets the prefix ``(?U)(?d)`` so that ``\\d`` and case are Unicode-aware and ``$`` only looks
+past a final ``\\n``; ``\\w``, ``\\s`` and ``\\b`` are written out as classes; the few constructs that are spelled differently are
 rewritten one token at a time.
 """
 
@@ -180,7 +180,7 @@ _CATEGORIES = {"CATEGORY_DIGIT": r"\d", "CATEGORY_SPACE": r"\s", "CATEGORY_WORD"
 
 
 def first_characters(pattern: str) -> str | None:
-    """A character class body that holds the first character of every match."""
+    """A character class body, in Python's dialect, that holds the first character of every match."""
     parsed = _parser.parse(pattern)
     if parsed.state.flags & (re.IGNORECASE | re.ASCII):
         return None
@@ -237,7 +237,7 @@ def _start_guard(rules: list[Rule]) -> str:
     if len(rules) < 2 or None in starts:
         return ""
     allowed = f"[{''.join(starts)}]"
-    return "" if any(re.match(allowed, c) for c in _COMMON) else f"(?={allowed})"
+    return "" if any(re.match(allowed, c) for c in _COMMON) else f"(?={to_java(allowed)})"
 
 
 def fuse(rules: Iterable[Rule]) -> Fused:
@@ -261,6 +261,13 @@ def check_on_spark(spark: SparkSession, rules: RuleSet) -> None:
     patterns = [(r.name, r.java) for r in rules]
     if rules.fusable and len(rules):
         patterns.append(("all rules fused", fuse(rules).java))
+    if not patterns:
+        return
+    try:
+        spark.range(1).select(*[F.regexp_count(F.lit(""), F.lit(pattern)) for _, pattern in patterns]).collect()
+        return
+    except Exception:  # noqa: BLE001 - which rule it was is found out below
+        pass
     for name, pattern in patterns:
         try:
             spark.range(1).select(F.regexp_count(F.lit(""), F.lit(pattern))).collect()
@@ -269,8 +276,13 @@ def check_on_spark(spark: SparkSession, rules: RuleSet) -> None:
 
 
 _FLAGS = {"i": "iu", "m": "m", "s": "s", "x": "x", "u": "", "a": ""}
-_QUANTIFIER = re.compile(r"\{(\d+(,\d*)?|,\d+)\}")
+_QUANTIFIER = re.compile(r"\{(\d+(,\d*)?|,\d*)\}")
 _LEADING_FLAGS = re.compile(r"\(\?([aiLmsux]+)\)")
+# What a word character is in Python: letters and numbers, no marks. Java's own class takes marks.
+_WORD = r"\p{L}\p{N}_"
+_ASCII_WORD = "a-zA-Z0-9_"
+# Python's white space holds four separators that Unicode's property leaves out.
+_SPACE = r"\s\x1c-\x1f"
 
 
 def _java_flags(flags: str) -> str:
@@ -284,18 +296,24 @@ def to_java(pattern: str, group_shift: int = 0, name_tag: str = "") -> str:
     if leading:
         scoped, pattern = leading.group(1), pattern[leading.end() :]
     out, i, in_class = [], 0, False
+    # (ASCII classes, verbose) of the groups around the current position.
+    modes = [("a" in scoped, "x" in scoped)]
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\":
-            text, i = _escape(pattern, i, in_class, group_shift)
+            text, i = _escape(pattern, i, in_class, group_shift, modes[-1][0])
             out.append(text)
         elif in_class:
             if ch == "]":
                 in_class = False
                 out.append(ch)
             else:
-                out.append("\\" + ch if ch in "[&" else ch)
+                # White space and # in a class count, in verbose patterns too.
+                out.append("\\" + ch if ch in "[&#" else "\\x%02x" % ord(ch) if ch in " \t\n\r\v\f" else ch)
             i += 1
+        elif ch == "#" and modes[-1][1]:
+            end = pattern.find("\n", i)
+            i = len(pattern) if end < 0 else end
         elif ch == "[":
             in_class = True
             opening = "[^" if pattern.startswith("[^", i) else "["
@@ -305,8 +323,11 @@ def to_java(pattern: str, group_shift: int = 0, name_tag: str = "") -> str:
                 out.append("\\]")
                 i += 1
         elif pattern.startswith("(?", i):
+            start = i
             text, i = _group(pattern, i, name_tag)
             out.append(text)
+            if pattern[i - 1] != ")":
+                modes.append(_modes_inside(pattern[start:i], modes[-1]))
         elif ch == "{":
             quantifier = _QUANTIFIER.match(pattern, i)
             if quantifier:
@@ -316,6 +337,10 @@ def to_java(pattern: str, group_shift: int = 0, name_tag: str = "") -> str:
                 out.append("\\{")
                 i += 1
         else:
+            if ch == "(":
+                modes.append(modes[-1])
+            elif ch == ")":
+                modes.pop()
             out.append("\\}" if ch == "}" else ch)
             i += 1
     body = "".join(out)
@@ -324,8 +349,30 @@ def to_java(pattern: str, group_shift: int = 0, name_tag: str = "") -> str:
     return f"(?{flags}:{body})" if flags else body
 
 
-def _escape(pattern: str, i: int, in_class: bool, group_shift: int) -> tuple[str, int]:
+def _modes_inside(opening: str, outside: tuple[bool, bool]) -> tuple[bool, bool]:
+    """(ASCII classes, verbose) behind the opening of a group, such as ``(?a-x:``."""
+    flags = re.compile(r"\(\?([aiLmsux]*)(?:-([imsx]+))?:").fullmatch(opening)
+    if not flags:
+        return outside
+    on, off = flags.group(1), flags.group(2) or ""
+    return ("a" in on or (outside[0] and "u" not in on), "x" in on or (outside[1] and "x" not in off))
+
+
+def _escape(pattern: str, i: int, in_class: bool, group_shift: int, ascii_only: bool) -> tuple[str, int]:
     code = pattern[i + 1]
+    word = _ASCII_WORD if ascii_only else _WORD
+    if code == "v":
+        return "\\x0b", i + 2
+    if code in "wW":
+        return (word if in_class and code == "w" else f"[{'^' if code == 'W' else ''}{word}]"), i + 2
+    if code in "sS" and not ascii_only:
+        return (_SPACE if in_class and code == "s" else f"[{'^' if code == 'S' else ''}{_SPACE}]"), i + 2
+    if code == "b" and in_class:
+        return "\\x08", i + 2
+    if code == "b":
+        return f"(?:(?<=[{word}])(?![{word}])|(?<![{word}])(?=[{word}]))", i + 2
+    if code == "B":
+        return f"(?:(?<=[{word}])(?=[{word}])|(?!\\A\\z)(?<![{word}])(?![{word}]))", i + 2
     if code == "Z" and not in_class:
         return "\\z", i + 2
     if code == "U":

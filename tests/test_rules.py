@@ -99,6 +99,40 @@ def test_dialect_counts_like_python(spark, pattern, texts):
     assert _count(spark, pattern, texts) == [len([*re.finditer(pattern, t)]) for t in texts]
 
 
+_ESCAPES = (r"\d", r"\D", r"\s", r"\S", r"\w", r"\W", r"\a", r"\f", r"\n", r"\r", r"\t", r"\v", r"\x41", r"\\", r"\.", r"\-")
+_EDGES = (r"\b.", r"\B.", r"\Aa", r".\Z", r"\w+", r"\b\w+\b", r"[^\W\d]+", r"[^\s\w]", r"(?a:\w+)\w", r"(?a)\b\w", r"(?a)\s")
+_ODD = (r"a\vb", r"[\v]", r"[\b]", r"xy{,}z", r"(?x)a[ ]b", r"(?x)a[#]b # [(", r"(?x: a b )c d", r"[\x1c-\x1f]")
+_SAMPLES = (
+    "a\x1cb\x1fc d", "e\u0301x m\u0301", "x\u00b2 1\uff11 \u0661", "a\nb a\x0bb\x0c\r\t\x07\x08", "xz xyyz", "a b a#b abc d",
+    "_A-B.\\", "\u4e2d\u6587 \u2160\u00bd", "\u00a0\u2003\x85\u200b", "", "...", "\u0903a\u203fb",
+)
+
+
+def test_every_escape_counts_like_python(spark):
+    singles = [*_ESCAPES, *_EDGES, *_ODD]
+    patterns = [*singles, *(f"[{e}]" for e in _ESCAPES), *(f"[^{e}q]" for e in _ESCAPES), *(f"[q{e}]+" for e in _ESCAPES)]
+    rules = make_rules([(str(i), p) for i, p in enumerate(patterns)])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(_SAMPLES)], "d int, text string")
+    columns = [F.regexp_count("text", F.lit(r.java)).alias(f"c{r.idx}") for r in rules]
+    counted = {row.d: row for row in df.select("d", *columns).collect()}
+    wrong = [
+        (r.pattern, t) for r in rules for d, t in enumerate(_SAMPLES)
+        if counted[d][f"c{r.idx}"] != len([*re.finditer(r.pattern, t)])
+    ]
+    assert not wrong
+
+
+def test_escapes_count_like_python_when_fused(spark):
+    patterns = [r"a\vb", r"(\w)\1", r"[^\W\d]+", r"\s", r"\d+"]
+    rules = make_rules([(str(i), p) for i, p in enumerate(patterns)])
+    joined = re.compile("|".join(f"(?P<g{i}>{p})".replace(r"\1", r"(?P=one)").replace(r"(\w)", r"(?P<one>\w)") for i, p in enumerate(patterns)))
+    for text in _SAMPLES:
+        expected = {i: 0 for i in range(len(patterns))}
+        for m in joined.finditer(text):
+            expected[next(i for i in expected if m.group(f"g{i}") is not None)] += 1
+        assert {k: v for k, v in _total(spark, text, rules=rules).items() if v} == {k: v for k, v in expected.items() if v}
+
+
 def test_back_references_and_names_survive_fusion(spark):
     patterns = [("pair", r"(\d)\1"), ("twice", r"([a-z])\1"), ("named", r"(?P<q>[A-Z])(?P=q)"), ("again", r"(?P<q>[!?])(?P=q)")]
     rules = make_rules(patterns)
