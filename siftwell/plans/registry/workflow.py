@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +22,7 @@ from siftwell.plans.registry.base import (
 from siftwell.plans.registry.catalog import BASE_SQL, CATALOG_SQL, EXT_SQL, MAX_BYTES, derived_catalog
 from siftwell.plans.registry.matching import DOC, _documents
 from siftwell.plans.scan import scan_text, with_verdicts
-from siftwell.session import checkpointed
+from siftwell.session import checkpointed, shared_folder
 from siftwell.sinks.encryption import decrypt_payload, encrypt_payload
 from siftwell.sinks.scan_log import scan_log_rows
 from siftwell.streaming.accumulate import accumulate_stream
@@ -213,8 +211,7 @@ def encrypt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The early-stopped counts again, from a stream over the documents table."""
     schema = table(spark, sf_dir, "documents").schema
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    work = f"{shared.rstrip('/')}/accumulate-{spark.range(1).selectExpr('uuid() AS u').first().u}"
+    work = f"{shared_folder(spark).rstrip('/')}/accumulate-{spark.range(1).selectExpr('uuid() AS u').first().u}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     pieces = stream.select("doc_id", F.lit(0).alias("chunk_no"), "text")
     updates = accumulate_stream(pieces, "doc_id", corpus_rules(), THRESHOLD)

@@ -25,16 +25,26 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named in ``spark.checkpoint.dir``.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``. Only where nothing is
-    set (a local test run) is a scratch folder chosen here.
+    A local session without one gets a scratch folder. On a cluster that would be another
+    folder on each machine, so there the setting is required.
     """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="siftwell-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siftwell-ckpt-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
