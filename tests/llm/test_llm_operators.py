@@ -199,6 +199,38 @@ def test_near_passages_are_found(docs, empty):
     assert compact_windows.near_passages(empty).count() == 0
 
 
+def passages_around(line: list[str], seed: int) -> list[tuple[int, str]]:
+    """Pairs ``2k, 2k + 1`` of texts that share 50 words around a line which all of them hold."""
+    texts = []
+    for k in range(12):
+        before, after = words_of(seed + 10 * k, 5), words_of(seed + 10 * k + 1, 5)
+        texts += [(2 * k + i, " ".join([*words_of(seed + 10 * k + 2 + i, 60), *before, *line, *after, *words_of(seed + 10 * k + 4 + i, 60)])) for i in (0, 1)]
+    return texts
+
+
+def test_near_passages_beside_a_frequent_line(spark):
+    rows = compact_windows.near_passages(spark.createDataFrame(passages_around(words_of(99, 40), 1000), "doc_id long, text string")).collect()
+    pairs = {frozenset((r.doc_id, r.other_id)) for r in rows}
+    assert {frozenset((2 * k, 2 * k + 1)) for k in range(12)} <= pairs
+
+
+def test_near_passages_of_varied_copies_equal_brute_force(spark):
+    rng, base, texts = random.Random(5), words_of(4000, 120), []
+    for i in range(40):
+        copy = [w if rng.random() > 0.03 else f"new{i}" for w in base]
+        texts.append((i, [*words_of(4100 + i, 30), *copy, *words_of(4200 + i, 30)]))
+    shingles = [np.array([zlib.crc32(" ".join(w[k : k + 5]).encode()) for k in range(len(w) - 4)], dtype=np.uint32).view(np.int32) for _, w in texts]
+    # Words are only replaced, so shingles are aligned where they stand.
+    want = set()
+    for i, x in enumerate(shingles):
+        for j, y in enumerate(shingles[:i]):
+            equal = np.concatenate([[0], np.cumsum(x == y)])
+            if any((m := equal[k:] - equal[:-k])[m >= 0.8 * (2 * k - m) - 1e-9].size for k in range(46, len(x) + 1)):
+                want |= {i, j}
+    rows = compact_windows.near_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")).collect()
+    assert {n for r in rows for n in (r.doc_id, r.other_id)} == want
+
+
 def test_languages_by_held_out_accuracy(spark, sf_dir, docs, empty):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     rows = QUERIES["op10_language_id"](spark, sf_dir).join(table, "doc_id").where("held_out").collect()
