@@ -214,6 +214,16 @@ def test_near_passages_beside_a_frequent_line(spark):
     assert {frozenset((2 * k, 2 * k + 1)) for k in range(12)} <= pairs
 
 
+def test_near_passages_at_later_places_of_a_text(spark):
+    texts = []
+    for k in range(12):
+        line, at = words_of(2000 + k, 40), 3000 + 10 * k
+        passage = [*words_of(at, 5), *line, *words_of(at + 1, 5)]
+        texts += [(2 * k, " ".join([*line, *words_of(at + 2, 150), *passage, *words_of(at + 3, 60)])), (2 * k + 1, " ".join([*line, *words_of(at + 4, 150), *passage, *words_of(at + 5, 60)]))]
+    rows = compact_windows.near_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {frozenset((2 * k, 2 * k + 1)) for k in range(12)} <= {frozenset((r.doc_id, r.other_id)) for r in rows}
+
+
 def test_near_passages_of_varied_copies_equal_brute_force(spark):
     rng, base, texts = random.Random(5), words_of(4000, 120), []
     for i in range(40):
