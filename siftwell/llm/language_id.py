@@ -2,7 +2,8 @@
 
 From a bounded sample of labelled text per language a suffix automaton is built. A text is parsed from left to right
 into the longest phrases that the sample holds; phrases times the logarithm of the sample's length, over the text's
-length, estimate its entropy given that language, and the lowest wins (ties: the first name).
+length, estimate its entropy given that language, and the lowest wins (ties: the first name). A symbol that the sample
+lacks costs its ``LITERAL`` bits besides, so a sample of few symbols does not come out as the shortest code.
 
 Texts are lower-cased; runs of ASCII other than letters are one space. They are parsed in blocks of ``BLOCK``
 symbols, all of them, so a long text is many short parses that run side by side and add up.
@@ -28,6 +29,8 @@ from siftwell.llm.common import text_slices
 SAMPLE_TEXTS = 32
 SAMPLE_CHARS = 800
 BLOCK = 256
+# Bits of a symbol that a sample does not hold.
+LITERAL = 8
 UNKNOWN = "und"
 
 _NEW_PHRASE = np.uint32(1 << 31)
@@ -107,9 +110,10 @@ def _table(symbols: bytes, codes: np.ndarray, width: int) -> np.ndarray:
 def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> Model:
     """Learn from ``text`` and ``lang``: per language the texts whose hash is lowest in each of ``texts`` bins.
 
-    At most ``texts`` x ``chars`` characters per language come to the driver.
+    Texts without a letter teach nothing; of the others the characters from the first letter on are taken, at most
+    ``texts`` x ``chars`` per language, which come to the driver.
     """
-    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
     rows = rows.withColumn("bin", F.pmod("h", F.lit(texts)))
     chosen = rows.groupBy("lang", "bin").agg(F.min("h").alias("h"))
     found = chosen.select("lang", "bin", "h").collect()
@@ -117,7 +121,7 @@ def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHAR
         return Model([], np.zeros(0), np.zeros(256, np.uint8), 1, [])
     wanted = labelled.sparkSession.createDataFrame(found, chosen.schema)
     sample = rows.join(F.broadcast(wanted), ["lang", "bin", "h"], "left_semi")
-    sample = sample.select("lang", "h", F.lower(F.substring("text", 1, chars)).alias("text")).distinct()
+    sample = sample.select("lang", "h", F.lower(F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, chars)).alias("text")).distinct()
     by_lang: dict[str, list[bytes]] = {}
     for r in sorted(sample.collect()):
         data = np.frombuffer(r.text.encode(), dtype=np.uint8)
@@ -157,6 +161,17 @@ def phrases(model: Model, symbols: np.ndarray, borders: np.ndarray) -> np.ndarra
     return counts
 
 
+def missing(model: Model, symbols: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Symbols of each text that the sample of each language lacks."""
+    counts = np.zeros((len(model.names), len(borders) - 1), dtype=np.int64)
+    codes = model.codes[symbols]
+    sums = np.zeros(len(symbols) + 1, dtype=np.int64)
+    for k, table in enumerate(model.tables):
+        np.cumsum((table[: model.width] >> np.uint32(31))[codes], out=sums[1:])
+        counts[k] = np.diff(sums[borders])
+    return counts
+
+
 _PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -171,7 +186,8 @@ def _predict(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 best = np.full(len(known), len(model.names))
                 score = np.zeros(len(known))
                 if model.names:
-                    entropy = phrases(model, symbols, borders) * model.logs[:, None] / np.maximum(np.diff(borders), 1)
+                    bits = phrases(model, symbols, borders) * model.logs[:, None] + missing(model, symbols, borders) * LITERAL
+                    entropy = bits / np.maximum(np.diff(borders), 1)
                     order = np.sort(entropy, axis=0)
                     best[known] = entropy.argmin(axis=0)[known]
                     others = order[1] if len(order) > 1 else np.full(len(known), np.inf)

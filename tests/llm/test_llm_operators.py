@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -254,6 +255,17 @@ def test_languages_by_held_out_accuracy(spark, sf_dir, docs, empty):
     assert language_id.keep_languages(docs, model).columns == docs.columns
 
 
+def test_labels_with_hardly_any_text_attract_nothing(spark):
+    rows = [(k, " ".join(words_of(500 + k, 100)), "en") for k in range(8)]
+    rows += [(20, "", "none"), (21, "ok", "two"), (22, "hola", "four"), (23, " 12 ", "blank"), (24, " " * 900 + " ".join(words_of(600, 100)), None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(frame)
+    assert model.names == ["en", "four", "two"]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(frame, model).collect()}
+    assert [got[k] for k in (*range(8), 24)] == ["en"] * 9 and got[21] == "two" and got[22] == "four"
+    assert language_id.fit(frame.where("doc_id = 24").withColumn("lang", F.lit("late"))).names == ["late"]
+
+
 def test_suffix_automaton_reads_exactly_the_substrings():
     text = b"abcbcabbaacab"
     states = language_id.suffix_automaton(text)
