@@ -1,6 +1,8 @@
 """License scans by sentence rules.
 
-A text is split into sentences, each is normalised and looked up among the known licence sentences; the identifiers
+A text is split into sentences, each is normalised and looked up among the known licence sentences. A line that is
+a known sentence stands by itself; other lines are joined with the next one, as texts are wrapped, up to the end of a
+sentence, a colon at the end of a line, a line without letters or digits, or a line that begins a notice. The identifiers
 found, in text order, are then matched against ordered rules. Each rule takes its identifier sequence out of the list
 wherever it stands, so a longer grant listed first is not reported again by a shorter one. One projection, no shuffle.
 
@@ -61,6 +63,36 @@ RULES = (
     ("CC-BY-4.0", ("cc_by_4_ref",)),
 )
 
+_GNU = "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation"
+_LATER = "either version {} of the license or at your option any later version"
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in "
+    "the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of "
+    "the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+)
+
+# Whole sentences of the licences' standard texts. GPL-2 and LGPL-2.1 part theirs by semicolons, GPL-3 and LGPL-3 by a colon and a comma.
+FULL_SENTENCES = {
+    _MIT: "mit_grant",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd_grant",
+    _GNU.format(""): "gpl_grant",
+    _GNU.format("lesser "): "lgpl_grant",
+    "this library is free software " + _GNU.format("lesser "): "lgpl_grant",
+    "this program is free software " + _GNU.format("lesser "): "lgpl_grant",
+    _LATER.format("2.1"): "lgpl21_later",
+    **{
+        f"{start}{_GNU.format(kind)} {_LATER.format('3')}": name
+        for kind, name in (("", "gpl3_or_later_ref"), ("lesser ", "lgpl3_or_later_ref"))
+        for start in ("", "this program is free software ", "this library is free software ")
+    },
+}
+
+FULL_RULES = (
+    ("LGPL-2.1-or-later", ("lgpl_grant", "lgpl21_later")),
+    ("LGPL-3.0-or-later", ("lgpl_grant", "gpl3_later")),
+    ("LGPL-3.0-or-later", ("lgpl3_or_later_ref",)),
+)
+
 # Only sentences with one of these can be known ones.
 KEYWORDS = "licen[sc]e|permission|redistribution"
 BREAK = r"([.!?;])[\x20\x09-\x0D]+"
@@ -68,11 +100,26 @@ NOISE = r"[^a-z0-9.]+"
 EDGES = r"^[. ]+|[. ]+$"
 
 
-def sentences(text: Column) -> Column:
+# A line that ends a sentence, and one that begins a notice.
+ENDS = r"[.!?;:][^A-Za-z0-9]*$"
+STARTS = "^(permission is hereby|redistribution and use|licensed under|this program is free|this library is free)"
+
+
+def sentences(text: Column, lookup: Column) -> Column:
     """Normalised sentences that may be known: lower case, one space for anything but letters, digits and dots."""
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), BREAK, "$1\n"), "\n")
-    likely = F.filter(F.transform(parts, lambda s: F.lower(s)), lambda s: s.rlike(KEYWORDS))
-    return F.transform(likely, lambda s: F.regexp_replace(F.regexp_replace(s, NOISE, " "), EDGES, ""))
+    def line(part: Column) -> Column:
+        clean = F.regexp_replace(F.regexp_replace(F.lower(part), NOISE, " "), EDGES, "")
+        return let(
+            clean,
+            lambda s: F.when((s == "") | (s.rlike(KEYWORDS) & lookup[s].isNotNull()), F.concat(F.lit("\n"), s, F.lit("\n"))).otherwise(
+                F.concat(F.when(s.rlike(STARTS), "\n").otherwise(""), s, F.when(part.rlike(ENDS), "\n").otherwise(""))
+            ),
+        )
+
+    parts = F.split(F.regexp_replace(text, BREAK, "$1\n"), "\n")
+    joined = F.transform(F.split(F.array_join(F.transform(parts, line), " "), "\n"), lambda s: F.trim(s))
+    likely = F.filter(joined, lambda s: s.rlike(KEYWORDS))
+    return F.when(F.lower(text).rlike(KEYWORDS), likely).otherwise(F.array().cast("array<string>"))
 
 
 def _between(ids: Sequence[str]) -> str:
@@ -80,14 +127,14 @@ def _between(ids: Sequence[str]) -> str:
 
 
 def scan(
-    docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES
+    docs: DataFrame, known: Mapping[str, str] = SENTENCES | FULL_SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES + FULL_RULES
 ) -> DataFrame:
     """Per document: ``doc_id, sentence_ids`` (in text order), ``licenses`` (each once, in rule order), ``unmatched``.
 
     Needs ``doc_id`` and ``text``; one row per input row.
     """
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    found = F.filter(F.transform(sentences(F.col("text")), lambda s: lookup[s]), lambda i: i.isNotNull())
+    found = F.filter(F.transform(sentences(F.col("text"), lookup), lambda s: lookup[s]), lambda i: i.isNotNull())
     ids = docs.select("doc_id", found.alias("ids"))
 
     def tried(left: Column, names: Column, rest: Sequence[tuple[str, Sequence[str]]]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -101,6 +102,40 @@ def test_license_rules_take_longest_sequences_first(spark):
     assert all(re.search(licenses.KEYWORDS, s) for s in licenses.SENTENCES)
 
 
+STANDARD_TEXTS = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+    "BSD": """Copyright (c) 2020, A. Author
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "LGPL-3.0-or-later": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+}
+
+
+def test_standard_licence_texts_wrapped_and_unwrapped(spark):
+    rows, want = [], {}
+    for name, text in STANDARD_TEXTS.items():
+        for width, mark in ((None, ""), (70, ""), (78, ""), (60, " * "), (40, "# ")):
+            lines = [x for line in text.split("\n") for x in (textwrap.wrap(line, width) or [""] if width else [line])]
+            want[len(rows)] = name
+            rows.append((len(rows), "\n".join(mark + x for x in lines)))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.licenses for i, r in got.items()} == want
+    assert {r.unmatched for r in got.values()} == {0}
+
+
 def test_packing_is_exact(docs, empty):
     pieces = packing.pack(docs, TOKENIZER).collect()
     tokenizer = Tokenizer.from_file(TOKENIZER)
