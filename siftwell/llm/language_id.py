@@ -207,11 +207,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep_languages(docs: DataFrame, model: Model) -> DataFrame:
     """Documents in one of the languages, all columns as they were; those that come out as ``und`` go.
 
+    Where no language was learned, those with a letter stay.
     Languages are predicted beside the whole row, so ids may be null or repeated.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     schema = docs.schema
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    if not model.names:
+        return docs.where(letter)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.lower("text").alias("text"), letter.alias("letter"))
     kept = rows.mapInArrow(_keep(shared), f"row {schema.simpleString()}")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

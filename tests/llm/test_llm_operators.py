@@ -301,6 +301,14 @@ def test_labels_with_hardly_any_text_attract_nothing(spark):
     assert language_id.fit(frame.where("doc_id = 24").withColumn("lang", F.lit("late"))).names == ["late"]
 
 
+def test_without_labels_documents_with_letters_stay(spark, sf_dir, docs):
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.identify_language(spark, bare, sf_dir)
+    assert kept.columns == docs.columns
+    ids = lambda rows: Counter(r[0] for r in rows)
+    assert ids(kept.select("doc_id").collect()) == ids(r for r in corpus() if re.search("[a-z]", r[1] or ""))
+
+
 def test_suffix_automaton_reads_exactly_the_substrings():
     text = b"abcbcabbaacab"
     states = language_id.suffix_automaton(text)
