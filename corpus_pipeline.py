@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm import language_id, mixing, order_minhash, packing, suffix_dedup
+from siftwell.llm.common import written
 
 # No SQL for suffix automata, sketches and tokenizers: the pipeline is tested against plain Python versions.
 ORACLE_SQL = None
@@ -50,6 +51,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each over what the one before wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

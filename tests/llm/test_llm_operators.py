@@ -340,6 +340,20 @@ def test_quality_edges(docs, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_pipeline_hands_on_what_a_stage_wrote(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    read = []
+
+    def seen(spark, rows, sf_dir):
+        read.append(rows.inputFiles())
+        return rows.withColumn("node", F.expr("uuid()"))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first one", seen), ("second", seen), ("third", lambda _, rows, __: rows)])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(out.collect(), key=str) == sorted(out.collect(), key=str)
+    assert "siftwell-first-one-" in read[1][0] and "siftwell-third-" in out.inputFiles()[0]
+
+
 def test_pipeline_stages(spark, sf_dir, docs, tmp_path):
     for name, rows in (("given", docs), ("none", docs.limit(0))):
         at = rows
