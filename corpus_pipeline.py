@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwell.llm import language_id, mixing, order_minhash, packing, suffix_dedup
 from siftwell.llm.common import written
 
-# No SQL for suffix automata, sketches and tokenizers: the pipeline is tested against plain Python versions.
+# No SQL for suffix automata, sketches and tokenizers: the stages run on a fixture, their operators have tests of their own.
 ORACLE_SQL = None
 
 

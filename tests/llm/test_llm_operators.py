@@ -194,6 +194,31 @@ def test_near_duplicates_classes(docs, empty):
     assert order_minhash.near_duplicates(empty).count() == order_minhash.one_of_each(empty).count() == 0
 
 
+def test_near_duplicate_classes_equal_all_pairs(spark):
+    rng, texts = random.Random(9), []
+    for family in range(8):
+        base = words_of(5000 + family, 120)
+        texts += [[w if rng.random() > 0.02 else f"new{len(texts)}x{k}" for k, w in enumerate(base)] for _ in range(6)]
+    shingles = [[" ".join(w[k : k + 5]) for k in range(len(w) - 4)] for w in texts]
+    label = list(range(len(texts)))
+    for i, x in enumerate(shingles):
+        for j, y in enumerate(shingles[:i]):
+            if not set(x) & set(y):
+                continue
+            row = [0] * (len(y) + 1)
+            for a in x:
+                new = [0]
+                for at, b in enumerate(y):
+                    new.append(row[at] + 1 if a == b else max(row[at + 1], new[at]))
+                row = new
+            if row[-1] >= 0.8 * (len(x) + len(y) - row[-1]) - 1e-9:
+                low, high = sorted((label[i], label[j]))
+                label = [low if n == high else n for n in label]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(frame).collect()} == dict(enumerate(label))
+    assert 8 < len(set(label)) < len(texts)
+
+
 def test_alignment_equals_dynamic_programming():
     rng = np.random.default_rng(3)
     for _ in range(300):
