@@ -182,6 +182,19 @@ class Words:
         return self.spans(starts, ends), borders
 
 
+class Spans:
+    """Hashes of spans of one sequence of hashes, each computed from prefix sums."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        n = len(hashes)
+        self._sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(hashes * _power(_WORD_BASE, n), out=self._sums[1:])
+        self._back = _power(pow(_WORD_BASE, -1, 1 << 64), n + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._sums[ends] - self._sums[starts]) * self._back[starts])
+
+
 def text_slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """A batch in slices of about ``SLICE_BYTES``: the rows, their UTF-8 bytes, and offsets into them.
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat_format, compact_windows, language_id, licenses, mixing, order_minhash, packing, quality, suffix_dedup, vector_dedup
-from siftwell.llm.common import table
+from siftwell.llm import chat_format, compact_windows, language_id, licenses, merkle_manifest, mixing, order_minhash, packing, periodic_runs, quality, suffix_dedup, vector_dedup
+from siftwell.llm.common import WORD, let, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -198,3 +198,112 @@ def _near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_compact_windows")
 def _near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.near_passages(table(spark, sf_dir, "documents"))
+
+
+# The CRC-32 of the decimal doc_id (reversed polynomial, table of 256), as `crc` of `keyed`; every row has a number.
+CRC_SQL = r"""
+crc_table AS (
+    SELECT list(list_reduce([CAST(i AS BIGINT)] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+    FROM range(256) AS r(i)),
+keyed AS (
+    SELECT row_number() OVER () AS row, *, xor(list_reduce(
+        [4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+    FROM documents, crc_table)"""
+
+RUNS_SQL = rf"""
+WITH {CRC_SQL},
+split AS (SELECT row, doc_id, crc % 10 AS last, crc // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM keyed),
+placed AS (SELECT *, len(w) AS n, g % greatest(len(w), 1) AS a, 1 + (len(w) - g % greatest(len(w), 1)) // (3 + g % 8) AS p FROM split),
+word_rows AS (
+    SELECT row, n, unnest(range(n)) AS pos,
+        unnest(CASE WHEN last = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END) AS word
+    FROM placed),
+pairs AS (SELECT x.row, x.pos, y.pos - x.pos AS q FROM word_rows x JOIN word_rows y ON x.row = y.row AND x.word = y.word AND y.pos > x.pos WHERE 3 * (y.pos - x.pos) <= x.n),
+islands AS (SELECT row, q, pos, pos - row_number() OVER (PARTITION BY row, q ORDER BY pos) AS island FROM pairs),
+stretches AS (SELECT row, q, min(pos) AS start, count(*) + q AS length FROM islands GROUP BY row, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT row, start, length, min(q) AS period FROM stretches GROUP BY row, start, length),
+listed AS (SELECT row, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY row),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY row ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS pos FROM runs),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY pos) AS collapsed FROM word_rows ANTI JOIN gone USING (row, pos) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+    CAST(1000 * length // period AS BIGINT) AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM keyed LEFT JOIN listed USING (row) LEFT JOIN best USING (row) LEFT JOIN kept USING (row)"""
+
+
+@query("op11_periodic_runs", RUNS_SQL)
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(crc / 10).cast("long")
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        start = (g % F.greatest(n, F.lit(1))).cast("int")
+
+        def from_there(a: Column) -> Column:
+            period = F.floor((n - a) / (3 + g % 8)).cast("int") + 1
+            return let(period, lambda p: F.transform(words, lambda word, i: F.when(i < a, word).otherwise(F.get(words, a + (i - a) % p))))
+
+        return F.array_join(let(start, from_there), " ")
+
+    text = F.when(crc % 10 == 0, let(F.regexp_extract_all("text", F.lit(f"({WORD})")), repeated)).otherwise(F.col("text"))
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    best = periodic_runs.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+MERKLE_SQL = rf"""
+WITH RECURSIVE {CRC_SQL},
+fields AS (
+    SELECT row, source, doc_id, crc, text, concat_ws('', coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+        coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head
+    FROM keyed),
+leaves AS (
+    SELECT row, source, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        sha256(head || coalesce(strlen(CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END) || ':' || CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END, '-')) AS claim
+    FROM fields),
+sources AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) AS tree, count(*) AS n FROM leaves GROUP BY source),
+placed AS (SELECT l.*, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves l JOIN sources s ON l.source IS NOT DISTINCT FROM s.source),
+grown(tree, level, pos, digest, n) AS (
+    SELECT tree, 0, pos, leaf, count(*) OVER (PARTITION BY tree) FROM placed
+    UNION ALL SELECT tree, any_value(level) + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), any_value(n + 2) // 3 FROM grown WHERE n > 1 GROUP BY tree, pos // 3),
+subroots AS (SELECT tree, digest AS subroot, level AS height FROM grown WHERE n = 1),
+above(level, pos, digest, n) AS (
+    SELECT 0, tree - 1, subroot, count(*) OVER () FROM subroots
+    UNION ALL SELECT any_value(level) + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), any_value(n + 2) // 3 FROM above WHERE n > 1 GROUP BY pos // 3),
+whole AS (SELECT digest AS root FROM above WHERE n = 1),
+steps AS (
+    SELECT x.tree, x.level, x.pos, coalesce(string_agg(y.digest, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS lefts, coalesce(string_agg(y.digest, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS rights
+    FROM grown x JOIN grown y ON x.tree = y.tree AND x.level = y.level AND x.pos // 3 = y.pos // 3 WHERE x.n > 1 GROUP BY x.tree, x.level, x.pos),
+top_steps AS (
+    SELECT x.level, x.pos, coalesce(string_agg(y.digest, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS lefts, coalesce(string_agg(y.digest, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS rights
+    FROM above x JOIN above y ON x.level = y.level AND x.pos // 3 = y.pos // 3 WHERE x.n > 1 GROUP BY x.level, x.pos),
+folded(row, tree, level, pos, claim, siblings) AS (
+    SELECT row, tree, 0, pos, claim, '' FROM placed
+    UNION ALL SELECT f.row, f.tree, f.level + 1, f.pos // 3, sha256(lefts || claim || rights), siblings || lefts || rights
+    FROM folded f JOIN steps s ON f.tree = s.tree AND f.level = s.level AND f.pos = s.pos),
+to_root(row, level, pos, claim, siblings) AS (
+    SELECT row, 0, f.tree - 1, claim, siblings FROM folded f JOIN subroots s ON f.tree = s.tree AND f.level = s.height
+    UNION ALL SELECT f.row, f.level + 1, f.pos // 3, sha256(lefts || claim || rights), siblings || lefts || rights FROM to_root f JOIN top_steps s ON f.level = s.level AND f.pos = s.pos)
+SELECT p.doc_id, p.leaf, subroot, root, sha256(t.siblings) AS proof_sha256, t.claim AS folded_root, t.claim = root AS verified
+FROM to_root t JOIN placed p USING (row) JOIN subroots s ON s.tree = p.tree CROSS JOIN whole
+WHERE t.level = (SELECT max(level) FROM above)"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def _merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    presented = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.when(presented != F.col("text"), merkle_manifest.leaf(*fields, presented))
+    docs = table(spark, sf_dir, "documents")
+    entries = docs.select("doc_id", "source", merkle_manifest.leaf(*fields, F.col("text")).alias("leaf"), changed.alias("claim"))
+    proved = merkle_manifest.manifest(entries)
+    return proved.select("doc_id", "leaf", "subroot", "root", F.sha2(F.translate("proof", ":/", ""), 256).alias("proof_sha256"), "folded_root", "verified")
