@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import chat_format, compact_windows, language_id, licenses, merkle_manifest, mixing, order_minhash, packing, periodic_runs, quality, suffix_dedup, vector_dedup
+from siftwell.llm import chat_format, compact_windows, language_id, licenses, main_text, merkle_manifest, mixing, order_minhash, packing, periodic_runs, quality, suffix_dedup, vector_dedup
 from siftwell.llm.common import WORD, let, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,3 +307,10 @@ def _merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = docs.select("doc_id", "source", merkle_manifest.leaf(*fields, F.col("text")).alias("leaf"), changed.alias("claim"))
     proved = merkle_manifest.manifest(entries)
     return proved.select("doc_id", "leaf", "subroot", "root", F.sha2(F.translate("proof", ":/", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op13_main_text")
+def _main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = main_text.extracted(pages, main_text.fit(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
