@@ -93,9 +93,9 @@ class Writer:
 
     def article_part(self) -> str:
         draw = self.rng.random()
-        if draw < 0.74:
+        if draw < 0.66:
             return self.paragraph()
-        if draw < 0.81:
+        if draw < 0.73:
             tag = self.rng.choice(("h2", "h3", "h4"))
             return f"<{tag}>{self.keep(self.some(1, 9))}</{tag}>"
         if draw < 0.89:
