@@ -54,7 +54,7 @@ def with_progress(results: DataFrame, order: Sequence[str]) -> DataFrame:
     """Add ``completed`` (1, 2, ...), ``total`` and ``pct``, the whole percent completed."""
     numbered = positions(results, [], order, out="_pos")
     completed = F.col("_pos") + 1
-    total = F.lit(results.count()).cast("bigint")
+    total = results.agg(F.count("*")).scalar()
     return numbered.select(
         *results.columns,
         completed.alias("completed"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import matching as m
 from siftwell.functions.rules import RuleSet
-from siftwell.operators.ordinals import first_n
+from siftwell.operators.ordinals import first_few
 from siftwell.session import spread
 
 FUSED, INDEPENDENT = "fused", "independent"
@@ -88,12 +88,12 @@ def findings(
 
     Counting ends at the hit with which some rule reaches the threshold. A rule's hits
     after its own threshold-th come after that point, so the first ``threshold`` hits per
-    document and rule decide everything. That many are kept by :func:`first_n`, mostly
+    document and rule decide everything. That many are kept by :func:`first_few`, mostly
     before the shuffle, and the windows per document then see at most
     ``rules * threshold`` rows however many hits the document has.
     """
     need = max(threshold, 1)
-    kept = first_n(hits.select(*keys, "rule_idx", *[c for c in order if c != "rule_idx"]), [*keys, "rule_idx"], order, need, "run")
+    kept = first_few(hits.select(*keys, "rule_idx", *[c for c in order if c != "rule_idx"]), [*keys, "rule_idx"], order, need, "run")
     per_doc = W.partitionBy(*keys)
     ordered = kept.withColumn("ord", (F.row_number().over(per_doc.orderBy(*order, "rule_idx")) - 1).cast("bigint"))
     stop = F.min(F.when(F.col("run") == need - 1, F.col("ord"))).over(per_doc)

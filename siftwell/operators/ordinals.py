@@ -1,19 +1,20 @@
 """Row numbers and running totals that do not put a group into one task.
 
 ``row_number() over (partition by key order by ord)`` sends all rows of a key to one task,
-and without a key all rows of the table. Here the order column is cut into ranges first:
-rows are numbered inside ``(key, range)`` and a running total over the few range counts of
-a key gives each range its offset. A key that holds a third of the table is spread over as
-many tasks as there are ranges.
-
-The range borders only steer the balance. Any borders give the same numbers, so a task
-that is run again, or a sample that differs, cannot change the result.
-
-Where the largest group is small, which one count over the key columns tells, an ordinary
-window is used instead; it needs a single pass.
-
-The input is read for these counts, for the sample and for the rows, so it should be a
-table or a checkpoint rather than the end of a long plan.
+and without a key all rows of the table. Here the whole order (the keys, then the order
+columns) is cut into ranges: rows are numbered inside ``(key, range)`` and a running total
+over the few range counts of a key gives each range its offset. A key that holds a third of
+the table, or an order column with one very common value, is spread over as many tasks as it
+has ranges; a small group lies in one range.
+
+It is one plan at all sizes, and nothing runs while it is made. The borders are quantiles of a
+sample that the plan takes itself, as a scalar subquery: the distinct places whose hash is
+below a bound, which is set by the row count so that the sample has the same size for any table.
+Which rows that are depends on their values alone, so every part of the plan, and a task that
+is run again, sees the same borders; and any borders give the same numbers.
+
+The input is read for its count, for the sample, for the totals and for the rows; all but the
+last read the keys and the order only. It should be a table rather than the end of a long plan.
 """
 
 from __future__ import annotations
@@ -24,43 +25,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_SAMPLE_PER_RANGE = 32
-_MAX_RANGES = 256
-# A group of this many rows is sorted by one task without trouble.
-SMALL_GROUP = 100_000
+_SAMPLE_PER_RANGE = 16
+# Ranges per shuffle partition, so that partitions which get one more than others matter less.
+_RANGES_PER_PARTITION = 2
 
 
-def range_borders(df: DataFrame, order: str, ranges: int) -> list:
-    """Quantile borders of ``order`` from a fixed-size sample.
+def ranges_of(df: DataFrame) -> int:
+    return _RANGES_PER_PARTITION * max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 4)
 
-    The rows with the smallest hashes are a uniform sample; each task keeps at most the
-    sample size and the driver receives no more than that, however large the table.
-    """
-    size = ranges * _SAMPLE_PER_RANGE
-    sample = (
-        df.select(F.col(order).alias("v"))
-        .where(F.col("v").isNotNull())
-        .select("v", F.xxhash64("v", F.monotonically_increasing_id()).alias("h"))
-        .orderBy("h")
-        .limit(size)
-        .select("v")
-    )
-    values = sorted(r.v for r in sample.collect())
-    step = max(len(values) // ranges, 1)
-    return sorted(set(values[step::step]))
 
+def range_borders(df: DataFrame, order: Sequence[str], ranges: int) -> DataFrame:
+    """One row with ``borders``, the quantiles of the structs of ``order`` that cut ``df`` into ``ranges``."""
+    place = F.struct(*order)
+    share = F.shiftrightunsigned(F.xxhash64(place), 11) / F.lit(float(1 << 53))
+    wanted = F.lit(float(ranges * _SAMPLE_PER_RANGE)) / df.agg(F.count("*").alias("n")).scalar()
+    sample = df.select(place.alias("p"), share.alias("h")).where(F.col("h") < wanted)
+    sorted_set = sample.agg(F.sort_array(F.collect_set("p")).alias("s"))
+    at = F.sequence(F.lit(1), F.lit(ranges - 1))
+    picked = F.transform(at, lambda i: F.get(F.col("s"), F.floor(i * F.size("s") / F.lit(float(ranges))).cast("int")))
+    return sorted_set.select(F.filter(picked, lambda b: b.isNotNull()).alias("borders"))
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group; only the key columns are read."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")) if keys else df.agg(F.count("*").alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
 
+def _with_range(df: DataFrame, order: Sequence[str], ranges: int) -> DataFrame:
+    """Add ``_range``: how many borders are not above the row's place, by bisection.
 
-def _range_of(order: str, borders: list, dtype) -> Column:
-    if not borders:
-        return F.lit(0)
-    edges = F.array(*[F.lit(b).cast(dtype) for b in borders])
-    return F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col(order))), F.lit(0))
+    A step is a projection of its own, so that each is computed once and all are compiled together.
+    """
+    rows = df.withColumn("_borders", range_borders(df, order, ranges).scalar()).withColumn("_place", F.struct(*order)).withColumn("_range", F.lit(0))
+    for bit in range((ranges - 1).bit_length() - 1, -1, -1):
+        above = F.get("_borders", F.col("_range") + ((1 << bit) - 1)) <= F.col("_place")
+        rows = rows.withColumn("_range", F.when(above, F.col("_range") + (1 << bit)).otherwise(F.col("_range")))
+    return rows.drop("_borders", "_place")
 
 
 def running_total(
@@ -70,45 +65,24 @@ def running_total(
     weight: Column | None = None,
     out: str = "position",
     ranges: int | None = None,
-    width: int | None = None,
     below: int | None = None,
-    small_group: int = SMALL_GROUP,
-    stages: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``out``: the total ``weight`` of the rows before this one in its group.
 
-    With no weight it counts rows, so ``out`` is the 0-based position. The first column
-    of ``order`` defines the ranges; ``width`` cuts integers that are dense into equal
-    ranges without sampling. Rows must be unique in ``keys + order`` for stable numbers.
-    ``below`` keeps only rows whose total is under it; whole ranges beyond it are dropped
-    before the rows are sorted. ``stages`` are columns with few values that come before
-    ``order``; each of their values has ranges of its own.
+    With no weight it counts rows, so ``out`` is the 0-based position. Rows must be unique in
+    ``keys + order`` for stable numbers. ``below`` keeps only rows whose total is under it; whole
+    ranges beyond it are dropped before the rows are sorted.
     """
-    order = [*stages, *order]
     value = F.lit(1).cast("bigint") if weight is None else F.coalesce(weight.cast("bigint"), F.lit(0).cast("bigint"))
     nothing = F.lit(0).cast("bigint")
-    if largest_group(df, keys) <= small_group:
-        whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        simple = df.withColumn("_w", value).withColumn(out, F.coalesce(F.sum("_w").over(whole), nothing)).drop("_w")
-        return simple if below is None else simple.where(F.col(out) < below)
-
-    first = order[len(stages)]
-    n = ranges or min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 8), _MAX_RANGES)
-    dtype = df.schema[first].dataType
-    if width:
-        bucket = F.floor(F.col(first) / F.lit(float(width))).cast("bigint")
-    else:
-        bucket = _range_of(first, range_borders(df, first, n), dtype)
+    n = max(ranges or ranges_of(df), 2)
+    whole = list(dict.fromkeys([*keys, *order]))
     # One struct for key and range: nulls in a key compare equal inside it, and the join and
     # the window below then ask for the same partitioning.
-    rows = df.withColumn("_w", value).withColumn("_g", F.struct(*keys, *stages, bucket.alias("_range")))
+    rows = _with_range(df.withColumn("_w", value), whole, n).withColumn("_g", F.struct(*keys, "_range")).drop("_range")
 
     totals = rows.groupBy("_g").agg(F.sum("_w").alias("_sum"))
-    before = (
-        W.partitionBy(*[F.col(f"_g.{k}") for k in keys])
-        .orderBy(*[F.col(f"_g.{c}") for c in (*stages, "_range")])
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
+    before = W.partitionBy(*[F.col(f"_g.{k}") for k in keys]).orderBy(F.col("_g._range")).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("_g", F.coalesce(F.sum("_sum").over(before), nothing).alias("_offset"))
     if below is not None:
         offsets = offsets.where(F.col("_offset") < below)
@@ -128,14 +102,16 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, out: str = "position") -> DataFrame:
-    """The first ``n`` rows of each group with their 0-based position.
+    """The first ``n`` rows of each group with their 0-based position, for any ``n``."""
+    return positions(df, keys, order, out, below=n)
+
 
-    Up to the optimizer's own limit, Spark keeps only ``n`` rows per group in each map task
-    before the shuffle. Beyond it the ranges of :func:`running_total` do the cutting.
+def first_few(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, out: str = "position") -> DataFrame:
+    """As :func:`first_n`, for an ``n`` that is a handful by what it means, like a match threshold.
+
+    One pass: each map task keeps ``n`` rows a group before the shuffle, so a hot group reaches its
+    task as a few rows per map task. It suits the end of a long plan, which is not run again.
     """
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if keys and n <= limit:
-        w = W.partitionBy(*keys).orderBy(*order)
-        kept = df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
-        return kept.withColumn(out, (F.col("_rank") - 1).cast("bigint")).drop("_rank")
-    return positions(df, keys, order, out, below=n)
+    w = W.partitionBy(*keys).orderBy(*order)
+    kept = df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
+    return kept.withColumn(out, (F.col("_rank") - 1).cast("bigint")).drop("_rank")

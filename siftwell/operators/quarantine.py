@@ -12,8 +12,6 @@ from siftwell.operators.ordinals import positions
 from siftwell.session import checkpointed
 
 MODES = ("copy", "move")
-# Slot numbers are searched in ranges of this many; no sampling is needed for integers.
-_SLOT_RANGE = 100_000
 
 
 def flagged_keys(verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -79,7 +77,7 @@ def resolve_names(flagged: DataFrame, existing: DataFrame, path: str = "path") -
         raw_extension(F.col("name")).alias("ext"),
     ).where("digits <> ''")
     blocked = parts.select(F.concat("head", "ext").alias("name"), F.col("digits").cast("bigint").alias("number"))
-    ranked = positions(blocked, ["name"], ["number"], out="nth", width=_SLOT_RANGE)
+    ranked = positions(blocked, ["name"], ["number"], out="nth")
 
     # A blocked number with (number - 1 - nth) free ones before it shifts every later slot
     # by one. Merged into one queue, an item's place is its slot plus the shifts before it.
@@ -91,7 +89,7 @@ def resolve_names(flagged: DataFrame, existing: DataFrame, path: str = "path") -
             F.concat(F.lit(""), F.col("nth").cast("string")).alias("path"),
         )
     )
-    placed = positions(merged, ["name"], ["slot", "kind", "path"], out="before", width=_SLOT_RANGE)
+    placed = positions(merged, ["name"], ["slot", "kind", "path"], out="before")
     numbered = placed.where("kind = 1").select(
         "path", "name", numbered_name(F.col("name"), F.col("before") + 1).alias("dest_name")
     )

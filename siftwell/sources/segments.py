@@ -141,7 +141,7 @@ def ordered_parts(
     for rank, df in parts:
         one = df.select(*keys, F.lit(rank).alias("part_rank"), F.col(order).alias("ord"), F.col(text).alias("text"))
         ranked = one if ranked is None else ranked.unionByName(one)
-    numbered = positions(ranked, keys, ["ord"], stages=["part_rank"])
+    numbered = positions(ranked, keys, ["part_rank", "ord"])
     return numbered.select(*keys, "part_rank", "ord", "position", "text")
 
 

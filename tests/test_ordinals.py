@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.operators.ordinals import first_n, positions, range_borders, running_total
+from siftwell.operators.ordinals import first_few, first_n, positions, range_borders, running_total
 
 
 @pytest.fixture(scope="module")
@@ -25,28 +25,26 @@ def _expected(rows, key, weight):
     return out
 
 
-@pytest.mark.parametrize("small_group", [0, 10**6])
+@pytest.mark.parametrize("ranges", [2, 8, 100])
 @pytest.mark.parametrize("keys", [[], ["k"]])
-def test_positions_equal_a_loop(skewed, keys, small_group):
+def test_positions_equal_a_loop(skewed, keys, ranges):
     rows, df = skewed
-    got = {r.p: r.position for r in positions(df, keys, ["p"], ranges=8, small_group=small_group).collect()}
+    got = {r.p: r.position for r in positions(df, keys, ["p"], ranges=ranges).collect()}
     assert got == _expected(rows, keys, False)
 
 
-@pytest.mark.parametrize("small_group", [0, 10**6])
-def test_running_totals_equal_a_loop(skewed, small_group):
+def test_running_totals_equal_a_loop(skewed):
     rows, df = skewed
-    total = running_total(df, ["k"], ["p"], F.col("w"), "t", ranges=8, small_group=small_group)
+    total = running_total(df, ["k"], ["p"], F.col("w"), "t")
     expected = _expected(rows, ["k"], True)
     assert {r.p: r.t for r in total.collect()} == expected
-    cut = running_total(df, ["k"], ["p"], F.col("w"), "t", ranges=8, below=100, small_group=small_group)
+    cut = running_total(df, ["k"], ["p"], F.col("w"), "t", ranges=8, below=100)
     assert {r.p: r.t for r in cut.collect()} == {p: t for p, t in expected.items() if t < 100}
 
 
-@pytest.mark.parametrize("small_group", [0, 10**6])
-def test_stages_come_before_the_order(skewed, small_group):
+def test_a_hot_first_order_column_is_split(skewed):
     rows, df = skewed
-    staged = positions(df, ["k"], ["p"], ranges=8, small_group=small_group, stages=["w"])
+    staged = positions(df, ["k"], ["w", "p"], ranges=16)
     expected, seen = {}, {}
     for k, p, w in sorted(rows, key=lambda r: (r[2], r[1])):
         expected[p] = seen.get(k, 0)
@@ -54,30 +52,45 @@ def test_stages_come_before_the_order(skewed, small_group):
     assert {r.p: r.position for r in staged.collect()} == expected
 
 
-def test_dense_integers_need_no_sample(spark):
-    df = spark.range(5000).select(F.col("id"), (F.col("id") % 2).alias("k"))
-    got = positions(df, ["k"], ["id"], width=100, small_group=0)
-    assert got.where("position <> floor(id / 2)").count() == 0 and got.count() == 5000
+def test_nulls_ties_and_empty_tables(spark):
+    rows = [(None, None, 1), (None, "a", 2), ("x", None, 4), ("x", "b", 8), ("x", "b", 8)]
+    df = spark.createDataFrame(rows, "k string, o string, w int")
+    got = sorted((r.k or "", r.o or "", r.t) for r in running_total(df, ["k"], ["o"], F.col("w"), "t").collect())
+    assert got == [("", "", 0), ("", "a", 1), ("x", "", 0), ("x", "b", 4), ("x", "b", 12)]
+    assert positions(df.limit(0), ["k"], ["o"]).count() == 0 and positions(df.limit(0), [], ["o"]).count() == 0
 
 
 @pytest.mark.parametrize("n", [3, 1200])
-def test_first_n_on_both_sides_of_the_optimizers_limit(skewed, n):
+def test_first_n(skewed, n):
     rows, df = skewed
-    got = {r.p: r.position for r in first_n(df, ["k"], ["p"], n).collect()}
-    assert got == {p: t for p, t in _expected(rows, ["k"], False).items() if t < n}
+    expected = {p: t for p, t in _expected(rows, ["k"], False).items() if t < n}
+    assert {r.p: r.position for r in first_n(df, ["k"], ["p"], n).collect()} == expected
+    assert {r.p: r.position for r in first_few(df, ["k"], ["p"], n).collect()} == expected
 
 
-def test_a_hot_key_is_spread_over_ranges(spark):
+@pytest.mark.parametrize("order", [["k", "p"], ["p"]])
+def test_a_hot_key_is_spread_over_ranges(spark, order):
     """With one key for everything, no range holds much more than its share."""
     df = spark.range(20_000).select(F.lit("hot").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("p"))
-    borders = range_borders(df, "p", 16)
-    assert len(borders) >= 15
-    edges = F.array(*[F.lit(b) for b in borders])
-    sizes = df.groupBy(F.size(F.filter(edges, lambda b: b <= F.col("p"))).alias("r")).count()
-    assert sizes.agg(F.max("count")).first()[0] < 20_000 / 16 * 2.5
+    borders = range_borders(df, order, 16).first().borders
+    assert len(borders) == 15
+    places = sorted(tuple(r) for r in df.select(*order).collect())
+    sizes = [sum(1 for p in places if (not lo or p >= lo) and (not hi or p < hi)) for lo, hi in zip([None, *map(tuple, borders)], [*map(tuple, borders), None], strict=True)]
+    assert sum(sizes) == 20_000 and max(sizes) < 20_000 / 16 * 2.5
+
+
+def test_nothing_runs_while_the_plan_is_made(spark, skewed):
+    """No job is started before the result is asked for."""
+    tracker = spark.sparkContext.statusTracker()
+    _, df = skewed
+    spark.sparkContext.setJobGroup("planning", "planning")
+    running_total(df, ["k"], ["p"], F.col("w"), below=10)
+    positions(df, [], ["p"])
+    assert list(tracker.getJobIdsForGroup("planning")) == []
+    spark.sparkContext._jsc.clearJobGroup()
 
 
 def test_the_partial_limit_is_before_the_shuffle(skewed):
     _, df = skewed
-    plan = first_n(df, ["k"], ["p"], 3)._jdf.queryExecution().executedPlan().toString()
+    plan = first_few(df, ["k"], ["p"], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
