@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.numbers import percent_done
 from siftwell.functions.paths import path_key
-from siftwell.operators.ordinals import positions
+from siftwell.operators.ordinals import beside, positions
 
 # Fixed value: items per labelled batch.
 BATCH_SIZE = 1000
@@ -52,9 +52,9 @@ def with_batch(catalog: DataFrame, size: int = BATCH_SIZE, order: str = "path")
 
 def with_progress(results: DataFrame, order: Sequence[str]) -> DataFrame:
     """Add ``completed`` (1, 2, ...), ``total`` and ``pct``, the whole percent completed."""
-    numbered = positions(results, [], order, out="_pos")
-    completed = F.col("_pos") + 1
-    total = results.agg(F.count("*")).scalar()
+    counted = results.agg(F.count("*").alias("_total"))
+    numbered = beside(positions(results, [], order, out="_pos"), counted, F.col("_total"))
+    completed, total = F.col("_pos") + 1, F.col("_total")
     return numbered.select(
         *results.columns,
         completed.alias("completed"),

@@ -8,8 +8,8 @@ the table, or an order column with one very common value, is spread over as many
 has ranges; a small group lies in one range.
 
 It is one plan at all sizes, and nothing runs while it is made. The borders are quantiles of a
-sample that the plan takes itself, as a scalar subquery: the distinct places whose hash is
-below a bound, which is set by the row count so that the sample has the same size for any table.
+sample that the plan takes itself: the distinct places whose hash is below a bound, which is
+set by the row count so that the sample has the same size for any table.
 Which rows that are depends on their values alone, so every part of the plan, and a task that
 is run again, sees the same borders; and any borders give the same numbers.
 
@@ -34,12 +34,23 @@ def ranges_of(df: DataFrame) -> int:
     return _RANGES_PER_PARTITION * max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 4)
 
 
+def beside(df: DataFrame, row: DataFrame, value: Column) -> DataFrame:
+    """``df`` with the columns of a table of exactly one row, which is broadcast.
+
+    ``value`` is any number of that row. Both keys are zero, but not constants, so this stays a hash join.
+    A scalar subquery would do, but plans that nest several of them fail in Spark's optimizer.
+    """
+    one = F.broadcast(row.withColumn("_one", F.pmod(value.cast("bigint"), F.lit(1))))
+    return df.withColumn("_one", F.pmod(F.xxhash64(*df.columns[:1]), F.lit(1))).join(one, "_one").drop("_one")
+
+
 def range_borders(df: DataFrame, order: Sequence[str], ranges: int) -> DataFrame:
     """One row with ``borders``, the quantiles of the structs of ``order`` that cut ``df`` into ``ranges``."""
     place = F.struct(*order)
     share = F.shiftrightunsigned(F.xxhash64(place), 11) / F.lit(float(1 << 53))
-    wanted = F.lit(float(ranges * _SAMPLE_PER_RANGE)) / df.agg(F.count("*").alias("n")).scalar()
-    sample = df.select(place.alias("p"), share.alias("h")).where(F.col("h") < wanted)
+    total = df.agg(F.count("*").alias("_total"))
+    hashed = beside(df.select(place.alias("p"), share.alias("h")), total, F.col("_total"))
+    sample = hashed.where(F.col("h") * F.col("_total") < float(ranges * _SAMPLE_PER_RANGE))
     sorted_set = sample.agg(F.sort_array(F.collect_set("p")).alias("s"))
     at = F.sequence(F.lit(1), F.lit(ranges - 1))
     picked = F.transform(at, lambda i: F.get(F.col("s"), F.floor(i * F.size("s") / F.lit(float(ranges))).cast("int")))
@@ -51,7 +62,8 @@ def _with_range(df: DataFrame, order: Sequence[str], ranges: int) -> DataFrame:
 
     A step is a projection of its own, so that each is computed once and all are compiled together.
     """
-    rows = df.withColumn("_borders", range_borders(df, order, ranges).scalar()).withColumn("_place", F.struct(*order)).withColumn("_range", F.lit(0))
+    rows = beside(df, range_borders(df, order, ranges).withColumnRenamed("borders", "_borders"), F.size("_borders"))
+    rows = rows.withColumn("_place", F.struct(*order)).withColumn("_range", F.lit(0))
     for bit in range((ranges - 1).bit_length() - 1, -1, -1):
         above = F.get("_borders", F.col("_range") + ((1 << bit) - 1)) <= F.col("_place")
         rows = rows.withColumn("_range", F.when(above, F.col("_range") + (1 << bit)).otherwise(F.col("_range")))

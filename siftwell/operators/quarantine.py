@@ -77,7 +77,7 @@ def resolve_names(flagged: DataFrame, existing: DataFrame, path: str = "path") -
         raw_extension(F.col("name")).alias("ext"),
     ).where("digits <> ''")
     blocked = parts.select(F.concat("head", "ext").alias("name"), F.col("digits").cast("bigint").alias("number"))
-    ranked = positions(blocked, ["name"], ["number"], out="nth")
+    ranked = checkpointed(positions(blocked, ["name"], ["number"], out="nth"))
 
     # A blocked number with (number - 1 - nth) free ones before it shifts every later slot
     # by one. Merged into one queue, an item's place is its slot plus the shifts before it.
@@ -93,7 +93,8 @@ def resolve_names(flagged: DataFrame, existing: DataFrame, path: str = "path") -
     numbered = placed.where("kind = 1").select(
         "path", "name", numbered_name(F.col("name"), F.col("before") + 1).alias("dest_name")
     )
-    return owners.unionByName(numbered)
+    # Numbering reads its input several times, and so does what is built on the names.
+    return checkpointed(owners.unionByName(numbered))
 
 
 def build_manifest(

@@ -18,7 +18,7 @@ from siftwell.plans.scan import scan_files
 from siftwell.sinks.encryption import encrypt_payload
 from siftwell.sinks.quarantine import partition_for, write_bundle, write_manifest, write_quarantine
 from siftwell.sinks.scan_log import append_scan_log
-from siftwell.sources.catalog import read_contents
+from siftwell.sources.contents import read_contents
 from siftwell.sources.profiles import SUPPORTED_EXTENSIONS
 from siftwell.sources.scan_log import read_scan_log
 from siftwell.sources.segments import Extractor
@@ -100,8 +100,8 @@ def run_scan(
     write_manifest(listed.drop("run_id"), f"{target}/manifest", day, run_id)
     manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{target}/manifest").where(mine)
 
-    contents = read_contents(spark, roots, flagged, settings.max_bytes)
-    held = contents.join(manifest.select(F.col("src_path").alias("path"), "dest_path"), "path")
+    contents = read_contents(verdicts.where("is_sensitive").select("path", "size_bytes"))
+    held = contents.select("path", "content").join(manifest.select(F.col("src_path").alias("path"), "dest_path"), "path")
     write_quarantine(held, f"{target}/quarantine", day, run_id)
     stored = spark.read.schema(QUARANTINE_SCHEMA).parquet(f"{target}/quarantine").where(mine)
     bundled = stored if key is None else encrypt_payload(stored, "content", key)

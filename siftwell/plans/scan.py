@@ -17,8 +17,9 @@ from siftwell.operators.chunking import chunk_lines, chunk_units
 from siftwell.operators.matching import FUSED, findings, pick_mode, row_findings
 from siftwell.operators.ordinals import first_n, positions
 from siftwell.operators.verdicts import classify, row_verdicts, verdicts
-from siftwell.session import spread
-from siftwell.sources.catalog import catalog_scan, read_contents
+from siftwell.session import checkpointed, spread
+from siftwell.sources.catalog import catalog_scan
+from siftwell.sources.contents import contents_below, read_contents
 from siftwell.sources.profiles import SUPPORTED_EXTENSIONS, with_profile
 from siftwell.sources.segments import Extractor, csv_records, extract_segments, row_segments, text_of, unit_lines
 from siftwell.sources.settings import Settings
@@ -142,7 +143,8 @@ def _native_chunks(files: DataFrame) -> DataFrame:
     lines = F.when(F.col("kind") == "records", F.col("_records.records")).otherwise(physical_lines(F.col("_text")))
     capped = F.when(F.col("segment_cap").isNull(), lines).otherwise(F.slice(lines, F.lit(1), F.col("segment_cap")))
     kept = F.when(F.col("drop_blank"), F.filter(capped, non_blank)).otherwise(capped)
-    cut = staged.select("path", "chunk_size", "joiner", kept.alias("_lines"), F.col("_records.error").alias("error"))
+    error = F.coalesce("read_error", "_records.error")
+    cut = staged.select("path", "chunk_size", "joiner", kept.alias("_lines"), error.alias("error"))
     return cut.select("path", chunk_array(F.col("_lines"), F.col("chunk_size"), F.col("joiner")).alias("chunks"), "error")
 
 
@@ -167,12 +169,16 @@ def file_chunks(
 ) -> DataFrame:
     """``(path, chunks, error)`` from ``(path, content)``: every format by its profile.
 
+    A ``read_error`` beside the content is passed on; such a file has no text.
+
     Text and CSV are cut natively. The other formats need an extractor; without one a
     listed format has no text, like an unknown one. ``chunk_sizes`` replaces the chunk size
     of a format, for instance ``{".pdf": PDF_FAST_CHUNK}``. All segments are read unless
     ``caps`` limits them by extension.
     """
     own = set() if extractors is None else {"." + e.lower().lstrip(".") for e in extractors}
+    if "read_error" not in contents.columns:
+        contents = contents.withColumn("read_error", F.lit(None).cast("string"))
     profiled = with_profile(contents, chunk_sizes=chunk_sizes, caps=caps)
     native = _native_chunks(
         profiled.where(F.col("kind").isin("lines", "records") & ~F.col("ext").isin(list(own) or [""]))
@@ -190,10 +196,14 @@ def scan_contents(
     extractors: dict[str, Extractor] | None = None,
     mode: str = FUSED,
     caps: dict[str, int] | None = None,
+    early: bool = True,
 ) -> DataFrame:
-    """``(path, is_sensitive, details, error)`` for files with readable text."""
+    """``(path, is_sensitive, details, error)`` for files with readable text.
+
+    ``early=False`` counts all hits instead of stopping where a rule reaches the threshold.
+    """
     chunks = file_chunks(contents, extractors, caps=caps)
-    found = row_findings(chunks, ["path", "error"], rules, threshold, mode, chunks="chunks")
+    found = row_findings(chunks, ["path", "error"], rules, threshold, mode, chunks="chunks", early=early)
     return row_verdicts(found, ["path", "error"], rules, threshold)
 
 
@@ -207,18 +217,42 @@ def scan_files(
     extractors: dict[str, Extractor] | None = None,
     mode: str = FUSED,
     style: str = "posix",
+    through_spark: bool = False,
+    early: bool = True,
 ) -> DataFrame:
     """``(path, size_bytes, size_mb, is_sensitive, details, error, status)`` for files under ``roots``.
 
-    Already logged files are left out before any content is read.
+    Already logged files are left out before any content is read; see :func:`scan_catalog`.
+    """
+    found = catalog_scan(spark, roots, extensions).select("path", "size_bytes").dropDuplicates(["path"])
+    return scan_catalog(found, rules, settings, scan_log, extractors, mode, style, roots if through_spark else None, early)
+
+
+def scan_catalog(
+    catalog: DataFrame,
+    rules: RuleSet,
+    settings: Settings | None = None,
+    scan_log: DataFrame | None = None,
+    extractors: dict[str, Extractor] | None = None,
+    mode: str = FUSED,
+    style: str = "posix",
+    roots: Sequence[str] | None = None,
+    early: bool = True,
+) -> DataFrame:
+    """As :func:`scan_files` for the files of a table ``(path, size_bytes)``, whoever made it.
+
+    Each file is opened by the task it is assigned to. With ``roots`` the file source reads
+    all below them instead, for stores that only Spark opens.
     """
     settings = settings or Settings()
-    todo = catalog_scan(spark, roots, extensions).select("path", "size_bytes").dropDuplicates(["path"])
+    todo = catalog.select("path", "size_bytes").dropDuplicates(["path"])
     if scan_log is not None:
         todo = skip_scanned(todo, scan_log, style=style)
+    # A narrow table that is read several times below; the log is joined once.
+    todo = checkpointed(todo)
     readable = todo.where(F.col("size_bytes") <= settings.max_bytes)
-    contents = read_contents(spark, roots, readable, settings.max_bytes)
-    judged = scan_contents(contents, rules, settings.match_threshold, extractors, mode)
+    contents = read_contents(readable) if roots is None else contents_below(catalog.sparkSession, roots, readable)
+    judged = scan_contents(contents, rules, settings.match_threshold, extractors, mode, early=early)
     joined = todo.join(judged, "path", "left")
     return joined.select(
         "path",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,32 +48,3 @@ def filter_catalog(
     if max_bytes is not None:
         kept = kept.where(size_ok(F.col(size), max_bytes))
     return kept.where(not_system_dir(F.col(path)))
-
-
-# Up to this many paths are handed to the reader by name; beyond it the roots are read.
-DIRECT_READ_LIMIT = 10_000
-_GLOB_CHARS = re.compile(r"([\\\[\]{}*?])")
-
-
-def read_contents(
-    spark: SparkSession,
-    roots: Sequence[str],
-    wanted: DataFrame,
-    max_bytes: int,
-    direct_limit: int = DIRECT_READ_LIMIT,
-) -> DataFrame:
-    """``(path, content)`` of the wanted files; the size bound is pushed into the file source.
-
-    The file source cannot skip a file by a join, so a resumed scan with little left to do
-    names the files: at most ``direct_limit`` paths ever reach the driver. With more to do
-    than that, the roots are read and joined.
-    """
-    few = [r.path for r in wanted.select("path").limit(direct_limit + 1).collect()]
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if not few:
-        return list_files(spark, roots).where("false").select("path", F.lit(None).cast("binary").alias("content"))
-    if len(few) <= direct_limit:
-        files = reader.load([_GLOB_CHARS.sub(r"\\\1", p) for p in few])
-        return files.where(F.col("length") <= max_bytes).select("path", "content")
-    files = reader.load(list(roots)).where(F.col("length") <= max_bytes).select("path", "content")
-    return files.join(wanted.select("path").dropDuplicates(), "path", "left_semi")

@@ -11,6 +11,7 @@ import io
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,6 +179,8 @@ def utf16_carve(content: Column, n_bytes: int | None = None) -> Column:
 
 
 Extractor = Callable[[str, bytes], Iterable[tuple[int, str]]]
+# Characters of extracted text that a worker holds before it hands them on.
+_EXTRACTED_CHARS = 16 << 20
 
 
 def extract_segments(
@@ -189,22 +192,32 @@ def extract_segments(
     ``error`` beside whatever the extractor had produced by then; no other file notices.
     """
     by_extension = {("." + e.lower().lstrip(".")): f for e, f in extractors.items()}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("path", pa.string()), ("extracted", pa.list_(pa.struct([("unit_no", pa.int32()), ("text", pa.string())]))), ("error", pa.string())])
+
+    def extract(name: str, ext: str, data: bytes | None, failed: str | None) -> tuple[str, list[dict], str | None]:
+        pieces: list[dict] = []
+        if failed is not None or data is None:
+            return name, pieces, failed
+        try:
+            for unit_no, text in by_extension[ext](name, data):
+                pieces.append({"unit_no": int(unit_no), "text": text})
+        except Exception as problem:
+            failed = f"{type(problem).__name__}: {problem}"
+        return name, pieces, failed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One file is turned into Python at a time, and what was extracted goes on after so many characters.
         for batch in batches:
-            found, errors = [], []
-            for name, ext, data in zip(batch["path"], batch["ext"], batch["content"]):
-                pieces, error = [], None
-                try:
-                    for unit_no, text in by_extension[ext](name, data):
-                        pieces.append({"unit_no": int(unit_no), "text": text})
-                except Exception as problem:
-                    error = f"{type(problem).__name__}: {problem}"
-                found.append(pieces)
-                errors.append(error)
-            yield pd.DataFrame({"path": batch["path"], "extracted": found, "error": errors})
-
-    known = files.select(F.col(path).alias("path"), extension(F.col(path)).alias("ext"), F.col(content).alias("content"))
-    return known.where(F.col("ext").isin(list(by_extension))).mapInPandas(
+            rows, held = [], 0
+            for i in range(batch.num_rows):
+                rows.append(extract(*(column[i].as_py() for column in batch.columns)))
+                held += sum(len(piece["text"] or "") for piece in rows[-1][1])
+                if held >= _EXTRACTED_CHARS or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows, held = [], 0
+
+    failed = F.col("read_error") if "read_error" in files.columns else F.lit(None).cast("string")
+    known = files.select(F.col(path).alias("path"), extension(F.col(path)).alias("ext"), F.col(content).alias("content"), failed.alias("failed"))
+    return known.where(F.col("ext").isin(list(by_extension))).mapInArrow(
         run, f"path string, extracted {EXTRACTED_TYPE}, error string"
     )

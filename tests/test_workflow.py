@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,11 +14,12 @@ from siftwell.operators.catalog import dedupe_first, skip_scanned, with_batch, w
 from siftwell.operators.quarantine import build_manifest, quarantine, resolve_names, restore
 from siftwell.operators.reporting import run_report
 from siftwell.operators.verdicts import classify
-from siftwell.plans.scan import scan_files
+from siftwell.plans.scan import scan_catalog, scan_files
 from siftwell.sinks.encryption import decrypt_payload, encrypt_payload
 from siftwell.sinks.quarantine import write_bundle, write_quarantine
 from siftwell.sinks.scan_log import append_scan_log, scan_log_rows
-from siftwell.sources.catalog import catalog_scan, read_contents
+from siftwell.sources.catalog import catalog_scan
+from siftwell.sources.contents import OPEN_BYTES, assigned_pieces, open_path, read_contents
 from siftwell.sources.scan_log import read_scan_log, read_text_log
 from siftwell.sources.segments import extract_segments
 from siftwell.sources.settings import Settings
@@ -164,13 +166,58 @@ def test_scanning_files_and_resuming(spark, folder, tmp_path):
     assert set(_short(third.collect())) == {"e.docx", "new.txt"}
 
 
-def test_contents_are_read_by_name_or_by_root(spark, folder):
-    wanted = catalog_scan(spark, [str(folder)], ["txt", "md"], 1000)
-    for limit in (0, 100):
-        rows = read_contents(spark, [str(folder)], wanted, 1000, direct_limit=limit).collect()
-        assert sorted(r.path.rsplit("/", 1)[-1] for r in rows) == ["a.txt", "odd [1].md"]
+@pytest.mark.parametrize("piece_bytes", [4, 1 << 20])
+def test_tasks_open_the_files_of_the_catalog_only(spark, folder, tmp_path, piece_bytes):
+    """The catalog table drives the read; each file is opened once a piece, and no other file is opened."""
+    opened = tmp_path / "opened"
+    opened.mkdir()
+
+    def counting(path):
+        import tempfile
+
+        with tempfile.NamedTemporaryFile("w", dir=opened, delete=False) as note:
+            note.write(path)
+        return open_path(path)
+
+    wanted = catalog_scan(spark, [str(folder)], ["txt", "md"], 1000).select("path", "size_bytes")
     plan = wanted._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,1000)" in plan and "content" not in plan.split("ReadSchema")[1]
+    listed = [(r.path, r.size_bytes) for r in wanted.collect()]
+    table = spark.createDataFrame([*listed, listed[0], ("file:" + str(folder / "gone.txt"), 3)], "path string, size_bytes bigint")
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in read_contents(table, 3, piece_bytes, counting).collect()}
+    assert sorted(rows) == ["a.txt", "gone.txt", "odd [1].md"]
+    assert rows["gone.txt"].content is None and "FileNotFoundError" in rows["gone.txt"].read_error
+    for path, _ in listed:
+        assert bytes(rows[path.rsplit("/", 1)[-1]].content) == (folder / path.rsplit("/", 1)[-1]).read_bytes()
+    notes = Counter(note.read_text() for note in opened.iterdir())
+    pieces = {path: -(-max(size, 1) // piece_bytes) for path, size in listed}
+    assert notes == pieces | {"file:" + str(folder / "gone.txt"): 1}
+
+
+def test_bytes_are_shared_by_the_tasks(spark):
+    files = spark.range(500).select(F.concat(F.lit("/f"), "id").alias("path"), (F.col("id") * 4000 + 1).alias("size_bytes"))
+    big = files.unionByName(spark.createDataFrame([("/big", 50_000_000), ("/empty", 0), ("/odd", None)], "path string, size_bytes bigint"))
+    pieces = assigned_pieces(big, 10, 1 << 20).collect()
+    assert {p.task for p in pieces} == set(range(10))
+    held = Counter()
+    for p in pieces:
+        held[p.task] += max(min((p.size_bytes or 0) - p.offset, 1 << 20), OPEN_BYTES)
+    assert max(held.values()) - min(held.values()) <= 2 * (1 << 20)
+    assert sorted(p.offset for p in pieces if p.path == "/big") == list(range(0, 50_000_000, 1 << 20))
+    assert len([p for p in pieces if p.path in ("/empty", "/odd")]) == 2
+    assert assigned_pieces(big.limit(0), 10).count() == 0 and read_contents(big.limit(0)).count() == 0
+
+
+def test_a_catalog_table_is_scanned(spark, folder):
+    """By tasks and by the file source: the same verdicts, and a file that is gone is an error of its own."""
+    settings = Settings(max_file_size_mb=1)
+    listed = catalog_scan(spark, [str(folder)]).select("path", "size_bytes")
+    gone = spark.createDataFrame([("file:" + str(folder / "gone.txt"), 3)], "path string, size_bytes bigint")
+    by_tasks = _short(scan_catalog(listed.unionByName(gone), RULES, settings).collect())
+    assert by_tasks.pop("gone.txt") == ("error", [])
+    assert by_tasks == _short(scan_catalog(listed, RULES, settings, roots=[str(folder)]).collect())
+    counted = _short(scan_catalog(listed, RULES, settings, early=False).collect())
+    assert counted["a.txt"][1][0][1] >= by_tasks["a.txt"][1][0][1]
 
 
 def test_overlapping_roots_count_a_file_once(spark, folder):
