@@ -77,6 +77,59 @@ def _by_content(text: Column, rules: RuleSet, search: Callable[[Sequence[Rule]],
     return branch(needs, frozenset())
 
 
+SPANS = "array<struct<start:int,end:int,rule_idx:int>>"
+
+
+def _spans(text: Column, java: Column, rule_idx: Column) -> Column:
+    """Where a rule's own hits lie, from one marking pass."""
+    marked = F.call_function("regexp_replace", text, java, F.lit(f"{_HIT}$0{_HIT}"))
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("at"))
+
+    def step(a: Column, piece: Column) -> Column:
+        end = a["at"] + F.length(piece)
+        return F.struct(F.concat(a["ends"], F.array(end)).alias("ends"), end.alias("at"))
+
+    def spans(e: Column) -> Column:
+        # Pieces alternate: text, hit, text, hit, ..., text.
+        hits = F.sequence(F.lit(0), F.floor(F.size(e) / 2).cast("int") - 1)
+        return F.transform(hits, lambda i: F.struct(F.get(e, i * 2).alias("start"), F.get(e, i * 2 + 1).alias("end"), rule_idx.alias("rule_idx")))
+
+    return bind(F.aggregate(F.split(marked, _HIT), start, step)["ends"], spans)
+
+
+def _lone_codes(text: Column, rules: RuleSet, counts: Column, fused: Column) -> Column:
+    """The fused codes from the rules' own hits, wherever no two hits of different rules overlap.
+
+    If none overlap, a search with all rules at once finds just these hits: where it stands, the
+    next place at which any rule matches is the next of them, and no other rule matches there. So
+    texts that one rule hits need only its count, and texts hit by more have the hits put in
+    order; only where two overlap does the fused pattern have to decide.
+    """
+    def ordered(s: Column) -> Column:
+        clash = F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(s, i)["start"] < F.get(s, i - 1)["end"])
+        return F.when(clash, fused).otherwise(F.transform(s, lambda x: x["rule_idx"]))
+
+    hit = F.filter(F.transform(counts, lambda n, i: F.when(n > 0, i)), lambda i: i.isNotNull())
+    patterns = F.array(*[F.lit(r.java) for r in rules])
+
+    def by_rules(h: Column) -> Column:
+        spans = F.flatten(F.transform(h, lambda i: _spans(text, F.get(patterns, i), i.cast("int")))).cast(SPANS)
+        alone = F.array_repeat(F.get(h, F.lit(0)).cast("int"), F.get(counts, F.get(h, F.lit(0))).cast("int"))
+        few = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, n: a + n) <= _MOST_SPANS
+        return (
+            F.when(F.size(h) == 0, F.array().cast("array<int>"))
+            .when(F.size(h) == 1, alone)
+            .when(few, bind(F.array_sort(spans), ordered))
+            .otherwise(fused)
+        )
+
+    return bind(hit, by_rules)
+
+
+# Hits of a text that are put in order one by one; with more, one fused pass is cheaper.
+_MOST_SPANS = 64
+
+
 def fused_codes(text: Column, rules: RuleSet) -> Column:
     """``array<int>``: the rule index of every hit, left to right."""
     nothing = F.array().cast("array<int>")
@@ -91,7 +144,9 @@ def fused_codes(text: Column, rules: RuleSet) -> Column:
         )
 
     exact = F.transform(_group_arrays(text, fuse(rules)), lambda row: _winner(row, len(rules), lambda i, _: F.lit(i)))
-    return F.when(_has_marks(text), exact).otherwise(_by_content(text, rules, search, nothing))
+    fused = _by_content(text, rules, search, nothing)
+    lone = bind(F.array(*[independent_count(text, r) for r in rules]), lambda counts: _lone_codes(text, rules, counts, fused))
+    return F.when(_has_marks(text), exact).otherwise(lone)
 
 
 def fused_hits(text: Column, rules: RuleSet) -> Column:
@@ -123,6 +178,13 @@ def count_code(codes: Column, rule_idx: int) -> Column:
     return F.size(F.filter(codes, lambda c: c == rule_idx)).cast("bigint")
 
 
+def code_counts(codes: Column, n_rules: int) -> Column:
+    """``array<bigint>``: one count per rule, of the hits in ``codes``."""
+    if not n_rules:
+        return F.array().cast("array<bigint>")
+    return F.transform(F.sequence(F.lit(0), F.lit(n_rules - 1)), lambda i: F.size(F.filter(codes, lambda c: c == i)).cast("bigint"))
+
+
 def independent_count(text: Column, rule: Rule) -> Column:
     """Non-overlapping matches of one rule, zero-length ones included."""
     nothing = F.lit(0).cast("bigint")

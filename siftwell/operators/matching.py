@@ -41,8 +41,9 @@ def name_findings(findings: DataFrame, rules: RuleSet) -> DataFrame:
 
 def hits_fused(texts: DataFrame, keys: Sequence[str], rules: RuleSet, text: str = "text") -> DataFrame:
     """``(keys..., pos, rule_idx, matched)``: one row per hit, ``pos`` from 0 within the text."""
-    hit = F.posexplode(m.fused_hits(F.col(text), rules)).alias("pos", "hit")
-    return spread(texts.select(*keys, text)).select(*keys, hit).select(*keys, "pos", "hit.rule_idx", "hit.matched")
+    hit = F.posexplode_outer(m.fused_hits(F.col(text), rules)).alias("pos", "hit")
+    found = spread(texts.select(*keys, text)).select(*keys, hit).where("pos IS NOT NULL")
+    return found.select(*keys, "pos", "hit.rule_idx", "hit.matched")
 
 
 def hits_independent(texts: DataFrame, keys: Sequence[str], rules: RuleSet, text: str = "text") -> DataFrame:
@@ -65,8 +66,9 @@ def match_independent(texts: DataFrame, keys: Sequence[str], rules: RuleSet, tex
 
 def fused_counts(texts: DataFrame, keys: Sequence[str], rules: RuleSet, text: str = "text") -> DataFrame:
     """As :func:`match_independent` with one fused pass over each text."""
-    counted = m.bind(m.fused_codes(F.col(text), rules), lambda c: F.array(*[m.count_code(c, r.idx) for r in rules]))
-    return spread(texts.select(*keys, text)).select(*keys, F.posexplode(counted).alias("rule_idx", "match_count"))
+    counted = m.bind(m.fused_codes(F.col(text), rules), lambda c: m.code_counts(c, len(rules)))
+    # The outer form, since the inner one would compute the array once more to test its size.
+    return spread(texts.select(*keys, text)).select(*keys, F.posexplode_outer(counted).alias("rule_idx", "match_count"))
 
 
 def counts(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwell.plans.registry import catalog, matching, segments, settings, workflow
+from siftwell.plans.registry import catalog, contents, matching, segments, settings, workflow
 from siftwell.plans.registry.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "catalog", "matching", "segments", "settings", "workflow"]
+__all__ = ["QUERIES", "SQL", "catalog", "contents", "matching", "segments", "settings", "workflow"]

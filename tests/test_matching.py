@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import model
+from siftwell.functions.matching import fused_codes
 from siftwell.functions.rules import make_rules
 from siftwell.operators import matching as ops
 from siftwell.operators.chunking import chunk_lines
@@ -137,7 +139,8 @@ def test_the_pattern_is_applied_once_per_row(spark, sf_dir):
     rules = make_rules([("d", r"\d\d"), ("u", "[A-Z]")])
     found = ops.row_findings(docs, ["doc_id"], rules, 3)
     plan = ops.explode_findings(found, ["doc_id"], rules)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_replace(") == 1
+    # The fused pass and the marking of single rules, in branches of their own.
+    assert plan.count("regexp_replace(") == 3
 
 
 DEEP = [r"(?:ab|c)+", r"\d", r"(?:[A-Z]b?){2,}"]
@@ -169,3 +172,21 @@ def test_long_repetitions_do_not_exhaust_the_stack(spark):
     df = _table(spark, ["ab" * 200_000, "x"])
     rows = _rows(scan_chunked(df, KEY, make_rules([("r0", r"(?:ab|c)+d?")]), 1))
     assert rows == {0: (True, [(0, 1)]), 1: (False, [])}
+
+
+OVERLAPS = [r"a+b", r"b\w", r"[0-9]{2}", r"1[a-z]", r"(x)(?:y|z)*"]
+
+
+def test_hits_that_overlap_are_settled_by_the_fused_pattern(spark):
+    """Texts without hits, of one rule, of several side by side, of several that overlap, with very many, and with marks."""
+    rng = random.Random(12)
+    texts = ["", "none", "aab aab", "12 xy", "ab12xyzab", "aabc1d2", "12a", "b" * 300 + "12" * 100, "ab\ufdd0bc", "xyzz" * 40]
+    texts += ["".join(rng.choices("ab12xyz c", k=rng.randrange(1, 40))) for _ in range(400)]
+    rules = make_rules([(f"r{i}", p) for i, p in enumerate(OVERLAPS)])
+    df = spark.createDataFrame(list(enumerate(texts)), "d int, text string")
+    got = {r.d: r.codes for r in df.select("d", fused_codes(F.col("text"), rules).alias("codes")).collect()}
+    fused = re.compile("|".join(f"(?P<r{i}>{p})" for i, p in enumerate(OVERLAPS)))
+    want = {i: [next(k for k in range(len(OVERLAPS)) if m[f"r{k}"] is not None) for m in fused.finditer(t)] for i, t in enumerate(texts)}
+    assert got == want
+    alone = {i: sorted(k for k, p in enumerate(OVERLAPS) for _ in re.finditer(p, t)) for i, t in enumerate(texts)}
+    assert any(sorted(want[i]) != alone[i] for i in want) and any(len(set(want[i])) > 1 and sorted(want[i]) == alone[i] for i in want)

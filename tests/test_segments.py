@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 import model
 from siftwell.functions.cells import cell_to_str, join_cells
+from siftwell.functions import chunks
 from siftwell.functions.chunks import chunk_array, unit_chunk_array
 from siftwell.functions.text import UNICODE_SPACES, binary_prefix_text, physical_lines, split_lines, strip, universal_newlines
+from siftwell.operators import chunking
 from siftwell.operators.chunking import cap_segments, chunk_units
 from siftwell.plans.scan import file_chunks, scan_rows, scan_units
 from siftwell.functions.rules import make_rules
@@ -199,3 +201,57 @@ def test_files_are_cut_by_their_profile(spark):
     assert [c.count("\n") for c in got["a.txt"]] == [500, 500, 200]
     assert [len(c.split("\n")) for c in got["b.CSV"]] == [100, 100, 50] and got["b.CSV"][0].startswith("0 x\n1 x")
     assert got["d.md"] == ["one\ntwo"]
+
+
+def _greedy(sizes, n):
+    held = chunk = 0
+    out = []
+    for size in sizes:
+        out.append(chunk)
+        held += size
+        if held >= n:
+            held, chunk = 0, chunk + 1
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 5, 40])
+def test_unit_chunks_equal_a_greedy_walk(spark, monkeypatch, n):
+    """Documents shorter and longer than a block, null keys, gaps between units, and units that are no numbers."""
+    monkeypatch.setattr(chunking, "BLOCK_UNITS", 16)
+    rng = random.Random(n)
+    rows, expected = [], {}
+    for key, count in ((1, 100), (2, 1), (3, 16), (None, 17), (4, 333)):
+        units = sorted(rng.sample(range(-50, 1000), count))
+        sizes = [rng.choice([1, 1, 2, 7, 60]) for _ in units]
+        rows += [(key, u, f"u{u + 50:05d}", s) for u, s in zip(units, sizes, strict=True)]
+        expected |= {(key, u): c for u, c in zip(units, _greedy(sizes, n), strict=True)}
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, u int, name string, size bigint")
+    assert {(r.k, r.u): r.chunk_no for r in chunking.unit_chunks(df.drop("name"), ["k"], "u", n).collect()} == expected
+    named = chunking.unit_chunks(df.drop("u"), ["k"], "name", n).collect()
+    assert {(r["k"], int(r["name"][1:]) - 50): r["chunk_no"] for r in named} == expected
+    assert chunking.unit_chunks(df.limit(0).drop("name"), ["k"], "u", n).count() == 0
+
+
+def test_a_document_of_very_many_units(spark):
+    units = spark.range(300_000).select(F.lit("d").alias("k"), F.col("id").alias("u"), (1 + F.col("id") % 3).alias("size"))
+    got = chunking.unit_chunks(units, ["k"], "u", 5).agg(F.count("*").alias("n"), F.max("chunk_no").alias("last")).first()
+    assert (got.n, got.last) == (300_000, _greedy([1 + i % 3 for i in range(300_000)], 5)[-1])
+
+
+@pytest.mark.parametrize("count", [0, 1, 64, 65, 200])
+def test_unit_chunks_of_one_row(spark, count):
+    rng = random.Random(count)
+    sizes = [rng.choice([1, 2, 9]) for _ in range(count)]
+    segments = [(unit, f"{unit}.{i}") for unit, size in enumerate(sizes) for i in range(size)]
+    df = spark.createDataFrame([(sizes, segments)], "s array<bigint>, g array<struct<unit_no:int,text:string>>")
+    row = df.select(chunks.unit_chunk_ids(F.col("s"), 4).alias("ids"), chunks.unit_chunk_array(F.col("g"), 4, "|").alias("texts")).first()
+    assert row.ids == _greedy(sizes, 4)
+    texts, open_, last = [], [], None
+    for unit, text in segments:
+        if unit != last and len(open_) >= 4:
+            texts.append("|".join(open_))
+            open_ = []
+        open_.append(text)
+        last = unit
+    assert row.texts == texts + (["|".join(open_)] if open_ else [])
