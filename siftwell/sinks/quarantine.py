@@ -52,6 +52,6 @@ def write_bundle(
     stamp = quarantined.sparkSession.range(1).select(second_stamp(F.lit(run_ts).cast("timestamp"))).first()[0]
     folder = f"{target.rstrip('/')}/bundle={stamp}"
     files = max(math.ceil(size.bytes / BUNDLE_FILE_BYTES), 1)
-    shaped = quarantined.coalesce(1) if files == 1 else quarantined.repartition(files)
-    shaped.write.mode("overwrite").option("compression", compression).parquet(folder)
+    # A shuffle, so that a small bundle's contents are still read by many tasks.
+    quarantined.repartition(files).write.mode("overwrite").option("compression", compression).parquet(folder)
     return folder

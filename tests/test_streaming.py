@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 import model
@@ -31,6 +32,9 @@ def test_only_new_files_are_scanned(spark, tmp_path):
     assert run() == {"a.txt": "sensitive", "b.txt": "safe", "d.txt": "sensitive"}
     held = spark.read.parquet(f"{target}/quarantine").collect()
     assert sorted(r.path.rsplit("/", 1)[-1] for r in held) == ["a.txt", "d.txt"]
+    listed = spark.read.parquet(f"{target}/manifest").orderBy("seq").collect()
+    assert [(r.seq, r.backup_name) for r in listed] == [(1, "a.txt"), (2, "d.txt")]
+    assert {r.scan_date for r in listed} == {dt.date.today()}
     assert spark.read.parquet(f"{target}/scan_log").count() == 3
 
 
@@ -40,8 +44,37 @@ def test_a_repeated_batch_adds_nothing(spark, tmp_path):
     scan_batch = foreach_batch_scan(str(tmp_path), make_rules([("number", r"\d{3}")]), Settings(match_threshold=2), "2024-06-01")
     for batch_id in (0, 1, 1):
         scan_batch(batch, batch_id)
-    for table, rows in (("verdicts", 4), ("quarantine", 2), ("scan_log", 4)):
+    for table, rows in (("verdicts", 4), ("manifest", 2), ("quarantine", 2), ("scan_log", 4)):
         assert spark.read.parquet(f"{tmp_path}/{table}").count() == rows
+    listed = spark.read.parquet(f"{tmp_path}/manifest").orderBy("seq").collect()
+    assert [(r.seq, r.backup_name, r.renamed, r.run_id) for r in listed] == [(1, "a.txt", False, "batch-0"), (2, "a_1.txt", True, "batch-1")]
+    held = spark.read.parquet(f"{tmp_path}/quarantine").collect()
+    assert {r.dest_path for r in held} == {r.dest_path for r in listed} and {r.scan_day for r in listed} == {20240601}
+    assert "PartitionFilters: [isnotnull(scan_day" in spark.read.parquet(f"{tmp_path}/scan_log").where("scan_day = 20240601")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_may_arrive_in_any_order(spark, tmp_path):
+    """Shuffled over micro-batches, the counts are those of the pieces in order."""
+    rng = random.Random(4)
+    pieces = [(d, n, "".join(rng.choice("abAB1 ") for _ in range(6))) for d, count in ((1, 30), (2, 7), (3, 1)) for n in range(count)]
+    shuffled = rng.sample(pieces, len(pieces))
+    schema = "d int, chunk_no int, text string"
+    source, got = tmp_path / "pieces", {}
+
+    def keep(batch, batch_id):
+        for r in batch.collect():
+            got[r.d, r.rule_idx] = (r.match_count, r.is_sensitive)
+
+    for part in range(3):
+        spark.createDataFrame(shuffled[part::3], schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        query = accumulate_stream(stream, "d", RULES, 9, any_order=True).writeStream.outputMode("update").foreachBatch(keep)
+        query.option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination()
+    expected = {}
+    for d in (1, 2, 3):
+        flagged, counts = model.scan([t for k, _, t in pieces if k == d], PATTERNS, 9)
+        expected.update({(d, rule): (n, flagged) for rule, n in counts})
+    assert got == expected
 
 
 def test_counts_carry_over_micro_batches(spark, tmp_path):
