@@ -41,7 +41,8 @@ def beside(df: DataFrame, row: DataFrame, value: Column) -> DataFrame:
     A scalar subquery would do, but plans that nest several of them fail in Spark's optimizer.
     """
     one = F.broadcast(row.withColumn("_one", F.pmod(value.cast("bigint"), F.lit(1))))
-    return df.withColumn("_one", F.pmod(F.xxhash64(*df.columns[:1]), F.lit(1))).join(one, "_one").drop("_one")
+    first = F.col("`" + df.columns[0].replace("`", "``") + "`")
+    return df.withColumn("_one", F.pmod(F.xxhash64(first), F.lit(1))).join(one, "_one").drop("_one")
 
 
 def range_borders(df: DataFrame, order: Sequence[str], ranges: int) -> DataFrame:

@@ -201,10 +201,14 @@ def restore_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore(moved, stored, remaining.select("path", "text"))
 
 
-@query("encrypt_round_trip", "SELECT doc_id, text FROM documents")
+@query("encrypt_round_trip", "SELECT doc_id, text, strlen(text) + 28 AS closed_bytes, text IS NULL AS same FROM documents")
 def encrypt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    return decrypt_payload(encrypt_payload(docs, "text", "bundle key"), "text", "bundle key")
+    """The texts again, the length of their ciphertexts, and whether a ciphertext is its text."""
+    docs = _documents(spark, sf_dir).withColumn("closed", F.col("text"))
+    closed = encrypt_payload(docs, "closed", "bundle key")
+    opened = decrypt_payload(closed.withColumn("opened", F.col("closed")), "opened", "bundle key")
+    same = F.col("closed").eqNullSafe(F.col("text").cast("binary"))
+    return opened.select("doc_id", F.col("opened").alias("text"), F.octet_length("closed").cast("long").alias("closed_bytes"), same.alias("same"))
 
 
 @query("stream_accumulate", f"WITH {_FOUND_SQL} SELECT doc_id, rule_idx, match_count FROM found")

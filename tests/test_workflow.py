@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import random
 from collections import Counter
 
@@ -278,6 +279,16 @@ def test_encryption_round_trip_and_refusals(spark):
         encrypt_payload(rows, "text", "")
 
 
+def test_the_key_is_not_in_the_plan(spark):
+    key = "a very secret key"
+    derived = hashlib.sha256(key.encode()).hexdigest()
+    rows = spark.createDataFrame([(1, "x")], "i int, `a.b` string").withColumnRenamed("a.b", "text")
+    plan = decrypt_payload(encrypt_payload(rows, "text", key), "text", key)._jdf.queryExecution()
+    shown = plan.toString() + plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "aes_encrypt" in shown.lower() or "AESEncrypt" in shown or "aesEncrypt" in shown
+    assert key not in shown and derived not in shown.lower()
+
+
 def test_path_keys_agree_between_log_and_catalog(spark):
     df = spark.createDataFrame([("C:\\A\\..\\B.txt",)], "path string")
     assert df.select(path_key(F.col("path")).alias("k")).first().k == "c:\\b.txt"
