@@ -84,6 +84,16 @@ def outer_id(column: str = "id") -> Column:
     return F.when(F.col(column) != -(2**63), F.col(column))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """The row as one column ``row``, whatever its columns are called."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
+
+
+def row_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` out of ``row``."""
+    return [F.col("row").getField(c).alias(c) for c in df.columns]
+
+
 # --- word hashes --------------------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, dtype=bool)

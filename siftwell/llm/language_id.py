@@ -22,8 +22,9 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from siftwell.llm.common import text_slices
+from siftwell.llm.common import row_columns, text_slices, whole_row
 
 # Bounds of the labelled sample: texts per language, and leading characters of each.
 SAMPLE_TEXTS = 32
@@ -211,13 +212,12 @@ def keep_languages(docs: DataFrame, model: Model) -> DataFrame:
     Languages are predicted beside the whole row, so ids may be null or repeated.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
-    schema = docs.schema
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if not model.names:
         return docs.where(letter)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.lower("text").alias("text"), letter.alias("letter"))
-    kept = rows.mapInArrow(_keep(shared), f"row {schema.simpleString()}")
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    rows = docs.select(whole_row(docs), F.lower("text").alias("text"), letter.alias("letter"))
+    kept = rows.mapInArrow(_keep(shared), StructType().add("row", docs.schema))
+    return kept.select(*row_columns(docs))
 
 
 def _keep(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwell.llm.common import BROADCAST_ROWS, WORD, checkpointed
+from siftwell.llm.common import BROADCAST_ROWS, WORD, checkpointed, row_columns, whole_row
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -86,14 +86,14 @@ def mix(docs: DataFrame, seed: str = "mix", weights: Sequence[int] = WEIGHTS, ma
     Needs ``doc_id, text, source``; only these are used for the decision, the others travel along.
     """
     rates = checkpointed(source_rates(docs.select("source", size_of(F.col("text")).alias("size")), weights, max_repeat))
-    inner = rates.select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
-    text_key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    inner = rates.select(F.col("source").alias("rate_source"), "rate")
+    text_key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_key")
+    salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int").alias("salt")
+    rows = docs.select(whole_row(docs), "doc_id", "source", text_key, salt)
     if rates.count() <= BROADCAST_ROWS:
-        joined = docs.join(F.broadcast(inner), docs["source"].eqNullSafe(inner["__mix_source"]), "inner")
+        joined = rows.join(F.broadcast(inner), rows["source"].eqNullSafe(inner["rate_source"]), "inner")
     else:
-        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")
-        inner = inner.withColumn("__mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.join(inner, docs["source"].eqNullSafe(inner["__mix_source"]) & (salt == inner["__mix_salt"]), "inner")
-    times = copies(F.col("__mix_rate"), F.col("doc_id"), text_key, seed).cast("int")
-    copied = joined.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), times)))
-    return copied.select(*[docs[c] for c in docs.columns])
+        inner = inner.withColumn("rate_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(inner, rows["source"].eqNullSafe(inner["rate_source"]) & (F.col("salt") == F.col("rate_salt")), "inner")
+    times = copies(F.col("rate"), F.col("doc_id"), F.col("text_key"), seed).cast("int")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), times))).select(*row_columns(docs))

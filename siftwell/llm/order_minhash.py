@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Words, checkpointed, document_key, gathered, mix, numbers, outer_id, record_batches, signed, small, text_slices, written
+from siftwell.llm.common import Words, checkpointed, document_key, gathered, mix, numbers, outer_id, record_batches, row_columns, signed, small, text_slices, whole_row, written
 from siftwell.llm.components import components
 from siftwell.llm.pairs import GROUP, blocked, pair_slices, whole_groups
 
@@ -311,7 +311,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     found = classes(docs, **options)
     gone = checkpointed(found.where("id <> class_id or th <> class_th").select(F.col("id").alias("__id"), F.col("th").alias("__th")))
     own_id, own_th = document_key()
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), own_id.alias("__id"), own_th.alias("__th"))
+    marked = docs.select(whole_row(docs), own_id.alias("__id"), own_th.alias("__th"))
     left = marked.join(small(gone), ["__id", "__th"], "left_anti")
     kept = left.select("row", "__id", "__th")
     repeated = kept.groupBy("__id", "__th").count().where("count > 1").select("__id", "__th")
@@ -321,4 +321,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     else:
         once = kept.join(small(repeated), ["__id", "__th"]).dropDuplicates(["__id", "__th"])
         rows = kept.join(small(repeated), ["__id", "__th"], "left_anti").unionByName(once.select("row", "__id", "__th"))
-    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return rows.select(*row_columns(docs))

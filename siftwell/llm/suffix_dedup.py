@@ -22,9 +22,10 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 from pyspark.sql.window import Window
 
-from siftwell.llm.common import Words, checkpointed, document_key, numbers, outer_id, record_batches, signed, small, text_slices, written
+from siftwell.llm.common import Words, checkpointed, document_key, numbers, outer_id, record_batches, signed, small, text_slices, whole_row, written
 
 PASSAGE = 50
 ANCHOR = 25
@@ -193,7 +194,7 @@ def _spans(docs: DataFrame, passage: int, anchor: int) -> DataFrame:
         _suffixes(passage, anchor), "id long, th long, g long, start int, windows array<int>"
     )
     suffixes = suffixes.join(small(checkpointed(seen.where("parts > 1"))), "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = suffixes.withColumn("salt", F.pmod(F.col("th"), F.col("parts")).cast("int")).repartition("g", "salt").sortWithinPartitions("g", "salt")
+    dealt = suffixes.withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.col("parts")).cast("int")).repartition("g", "salt").sortWithinPartitions("g", "salt")
     compared = dealt.select("id", "th", "g", "parts", "salt", "start", "windows").mapInArrow(_neighbours(passage), _SPANS_DDL)
     compared = written(compared, "compared")
     still_open = compared.where("g is not null")
@@ -253,9 +254,9 @@ def without_repeats(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANCHO
     """
     spans = _merged(_spans(docs, passage, anchor).where("redundant"), ["id", "th"])
     gathered = spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    keys = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *document_key(), F.col("text").cast("string").alias("text"))
+    keys = docs.select(whole_row(docs), *document_key(), F.col("text").cast("string").alias("text"))
     joined = keys.join(gathered, ["id", "th"], "left")
-    cut = joined.select("row", "text", "spans").where("spans is not null").mapInArrow(_cut, f"row {docs.schema.simpleString()}, text string, left long")
+    cut = joined.select("row", "text", "spans").where("spans is not null").mapInArrow(_cut, StructType().add("row", docs.schema).add("text", StringType()).add("left", LongType()))
     whole = joined.where("spans is null").select("row", "text")
     both = whole.unionByName(cut.where("left > 0").select("row", "text"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}

@@ -389,3 +389,25 @@ def test_pipeline_stages(spark, sf_dir, docs, tmp_path):
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert at.columns == docs.columns
         assert (at.count() > 0) == (name == "given")
+
+
+def test_columns_with_odd_names_travel_along(spark, docs):
+    odd = docs.select("doc_id", "text", "lang", "source", F.col("size").alias("a.b"), F.lit(1).alias("__mix_source"), F.lit("x").alias("row"), F.lit("y").alias("back`tick"))
+    model = language_id.fit(odd)
+    for changed in (mixing.mix(odd), order_minhash.one_of_each(odd), suffix_dedup.without_repeats(odd), language_id.keep_languages(odd, model)):
+        assert changed.columns == odd.columns
+        rows = changed.collect()
+        assert rows and {(r["a.b"], r["__mix_source"], r["row"], r["back`tick"]) for r in rows} <= {("clash", 1, "x", "y"), (None, 1, "x", "y")}
+
+
+def test_exact_copies_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 100)
+    text, own = " ".join(words_of(7001, 70)), " ".join(words_of(7002, 60))
+    rows = [(i, text) for i in range(3000)] + [(9000, " ".join([own] * 20)), (9001, f"{own} {text}")]
+    spans = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {(i, 0, 70, i > 0) for i in range(3000)} | {(9000, 0, 1200, False), (9001, 0, 60, True), (9001, 60, 130, True)}
+    got = set()
+    for r in spans:
+        got.add((r.doc_id, r.start_word, r.end_word, r.redundant))
+    assert {g for g in got if g[0] < 9000} == {w for w in want if w[0] < 9000}
+    assert (9001, 0, 130, True) in got or {(9001, 0, 60, True), (9001, 60, 130, True)} <= got
