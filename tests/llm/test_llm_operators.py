@@ -411,3 +411,28 @@ def test_exact_copies_are_dealt_out(spark, monkeypatch):
         got.add((r.doc_id, r.start_word, r.end_word, r.redundant))
     assert {g for g in got if g[0] < 9000} == {w for w in want if w[0] < 9000}
     assert (9001, 0, 130, True) in got or {(9001, 0, 60, True), (9001, 60, 130, True)} <= got
+
+
+def test_dense_stretches_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        places = np.flatnonzero(rng.random(int(rng.integers(1, 60))) < rng.random())
+        width, density, held, want = int(rng.integers(1, 9)), float(rng.choice([0.5, 0.8])), set(places.tolist()), set()
+        for s in held:
+            for e in held:
+                if e - s + 1 >= width and sum(i in held for i in range(s, e + 1)) >= density * (e - s + 1) - 1e-9:
+                    want |= set(range(s, e + 1))
+        starts, ends = compact_windows.dense_stretches(places, width, density)
+        assert {i for s, e in zip(starts, ends, strict=True) for i in range(s, e)} == want
+        shared = rng.random((5, 21)) < rng.random()
+        around = [any(r[s] and r[e - 1] and r[s:e].sum() >= 0.8 * (e - s) - 1e-6 for s in range(11) for e in range(max(s + width, 11), 22)) for r in shared]
+        assert compact_windows.dense_around(shared, width, 0.8).tolist() == around
+
+
+def test_near_passages_of_a_repeated_phrase_and_of_lines_among_own_words(spark):
+    line, phrase = words_of(8000, 35), words_of(8001, 9)
+    texts = [(i, " ".join([*words_of(8100 + i, 60), *line, *words_of(8500 + i, 60)])) for i in range(300)]
+    texts += [(1000, " ".join([*words_of(8901, 50), *phrase * 8])), (1001, " ".join([*phrase * 11, *words_of(8902, 120)]))]
+    rows = compact_windows.near_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {frozenset((r.doc_id, r.other_id)) for r in rows} == {frozenset((1000, 1001))}
+    assert max(r.end_word - r.start_word for r in rows) >= 72
