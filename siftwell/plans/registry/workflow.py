@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.functions.paths import base_name, raw_extension, stem
 from siftwell.operators import matching as match_ops
@@ -215,8 +216,10 @@ def encrypt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The early-stopped counts again, from a stream over the documents table."""
     schema = table(spark, sf_dir, "documents").schema
+    # A glob, since a stream takes no single file by its name; it may match one file or a folder of them.
+    source = f"{sf_dir.rstrip('/')}/documents.parque[t]"
     work = f"{shared_folder(spark).rstrip('/')}/accumulate-{spark.range(1).selectExpr('uuid() AS u').first().u}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(schema).parquet(source)
     pieces = stream.select("doc_id", F.lit(0).alias("chunk_no"), "text")
     updates = accumulate_stream(pieces, "doc_id", corpus_rules(), THRESHOLD)
 
@@ -234,6 +237,6 @@ def stream_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     started.awaitTermination()
     # A later update of a document replaces an earlier one.
-    rows = spark.read.parquet(f"{work}/counts")
+    rows = spark.read.schema(updates.schema.add("batch_id", T.IntegerType())).parquet(f"{work}/counts")
     latest = F.max_by("match_count", "batch_id").alias("match_count")
     return rows.groupBy("doc_id", "rule_idx").agg(latest)
