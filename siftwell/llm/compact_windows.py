@@ -17,9 +17,9 @@ agreeing windows, tokens are counted over all texts, and windows outside such st
 hold among words of their own proposes nothing, however many hold it.
 
 What is left of a group of texts with the same min-hash is compared with its least and its greatest member first, at all their places.
-Places of the others that no passage found so far covers are then compared among the whole group, in blocks: those that
-share too few tokens nearby cannot hold a passage; of the rest every open place proposes some, the best first and
-sixteen times as many each round, until it is covered or has been compared with all of them.
+Places of a group that passages link, one by one, are a class. Places of the others that lie in different classes are then
+compared among the whole group, in blocks: those that share too few tokens nearby cannot hold a passage; of the rest every
+place proposes some, the best first and sixteen times as many each round, until no two classes have an uncompared pair left.
 
 Equal texts are compared once; each copy is reported with the first one, over its whole length. Null ids are ids like
 others; rows that repeat id and text are one document. Null, empty and short texts have no passage. Empty tables give
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import Words, checkpointed, document_key, mix, numbers, outer_id, record_batches, signed, small, text_slices, written
+from siftwell.llm.components import components
 from siftwell.llm.order_minhash import aligned
 from siftwell.llm.pairs import GROUP, blocked, pair_slices, whole_groups
 
@@ -45,7 +46,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 HASHES = 3
 ROWS = 1 << 15
-# Partners that an open place proposes in the first round, and places of one frame of the proposals.
+# Partners that a place proposes in the first round, and places of one frame of the proposals.
 PROPOSALS = 4
 PLACES = 8192
 # Bits that the tokens near a place are told apart by when shared ones are counted.
@@ -338,8 +339,8 @@ def dense_around(shared: np.ndarray, width: int, density: float) -> np.ndarray:
     return (highest[:, np.maximum(starts + width, middle + 1)] >= below - 1e-3).any(axis=1)
 
 
-def _propose(width: int, similarity: float, first: int, last: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Partners of the open places of each group that share enough tokens nearby, from rank ``first`` to ``last``."""
+def _propose(width: int, similarity: float, last: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For each place its best ``last`` partners of other classes that share enough tokens nearby, and the group's key where there are more."""
     names = ["a", "al", "ac", "ar", "b", "bl", "bc", "br"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -353,10 +354,10 @@ def _propose(width: int, similarity: float, first: int, last: int) -> Callable[[
             holds = np.zeros((len(frame), BITS + 1), dtype=bool)
             holds[np.arange(len(frame))[:, None], bits] = True
             holds[:, BITS] = False
-            doc, opened = frame["doc"].to_numpy(), frame["open"].to_numpy()
+            doc, label = frame["doc"].to_numpy(), frame["class"].to_numpy()
             found = []
             for a, b in pair_slices(frame, 1 << 15):
-                fit = (doc[a] != doc[b]) & (opened[a] | opened[b])
+                fit = (doc[a] != doc[b]) & (label[a] != label[b])
                 a, b = a[fit], b[fit]
                 both = holds[b[:, None], bits[a]]
                 fit = np.flatnonzero(both.sum(axis=1) >= width * similarity)
@@ -368,14 +369,16 @@ def _propose(width: int, similarity: float, first: int, last: int) -> Callable[[
                 continue
             a, b, shared = (np.concatenate(x) for x in zip(*found, strict=True))
             own, other, shared = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([shared, shared])
-            asks = opened[own]
-            own, other, shared = own[asks], other[asks], shared[asks]
             order = np.lexsort((other, -shared, own))
             own, other = own[order], other[order]
             rank = np.arange(len(own)) - np.searchsorted(own, own)
-            chosen = (rank >= first) & (rank < last)
-            sides = [frame[c].to_numpy()[at[chosen]] for at in (other, own) for c in ("doc", "l", "c", "r")]
-            yield pd.DataFrame(dict(zip(names, sides, strict=True)))
+            # A pair that both ends propose is proposed once.
+            own, other, more = own[rank < last], other[rank < last], own[rank >= last]
+            own, other = np.unique(np.stack([np.minimum(own, other), np.maximum(own, other)]), axis=1)
+            keys = np.unique(frame["key"].to_numpy()[more])
+            sides = [np.append(frame[c].to_numpy()[at], np.zeros(len(keys), np.int64)) for at in (other, own) for c in ("doc", "l", "c", "r")]
+            left = pd.Series([None] * len(own) + keys.tolist(), dtype="Int64")
+            yield pd.DataFrame(dict(zip(names, sides, strict=True)) | {"left": left})
 
     return run
 
@@ -422,9 +425,10 @@ def near_passages(
     keyed = docs.select(*document_key(), "text")
     texts = written(keyed.groupBy("th").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")), "texts")
     copies = small(checkpointed(texts.where("n > 1").select("th", "id", "words")))
-    # The first row of each text stands for its copies.
+    # The first row of each text stands for its copies; only rows of copies are dealt out for that.
     others = copies.select("th", F.col("id").alias("least"))
-    first = keyed.join(others, "th", "left").where("least is null or id = least")
+    rows = keyed.join(others, "th", "left")
+    first = rows.where("least is null").select("th", "text").unionByName(rows.where("id = least").select("th", "text").dropDuplicates(["th"]))
     width = passage - shingle + 1
     run_width = shared_run(width, similarity, shingle - 1)
 
@@ -432,15 +436,15 @@ def near_passages(
         found = places.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_repeated, _PLACES_DDL)
         return written(found.groupBy(F.col("doc").alias("th")).agg(F.collect_list("c").alias(name)), name)
 
-    first = first.select("th", "text").dropDuplicates(["th"])
     centres = repeated(first.mapInArrow(_centres(run_width, shingle, seed), _PLACES_DDL), "centres")
     places = repeated(first.join(centres, "th").mapInArrow(_tokens(2 * width, shingle), _PLACES_DDL), "places")
     stretches = written(places.mapInArrow(_stretches(width, similarity), "th long, starts array<int>, ends array<int>"), "stretches")
-    windows = first.join(stretches, "th").mapInArrow(_windows(hashes, run_width, width, shingle, seed), "key long, doc long, l int, c int, r int")
+    dense = first.join(small(stretches.select("th")), "th", "left_semi").join(stretches, "th")
+    windows = dense.mapInArrow(_windows(hashes, run_width, width, shingle, seed), "key long, doc long, l int, c int, r int")
     windows = written(windows, "windows")
     seen = windows.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("size")).where("least <> most")
     agreeing = written(windows.join(seen, "key"), "agreeing")
-    held = keyed.join(agreeing.select(F.col("doc").alias("th")).distinct(), "th", "left_semi").dropDuplicates(["th"]).select("th", "text")
+    held = first.join(small(checkpointed(agreeing.select(F.col("doc").alias("th")).distinct())), "th", "left_semi")
     sequences = written(held.mapInArrow(_sequences(shingle), "doc long, x array<int>"), "sequences")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -451,40 +455,52 @@ def near_passages(
         )
         ordered = wide.repartition("a", "b").sortWithinPartitions("a", "b")
         regions = written(ordered.mapInPandas(_regions(width // 3), "a long, al int, ar int, b long, bl int, br int, shift int"), "regions")
-        left = regions.join(sequences.withColumnRenamed("doc", "a"), "a").withColumn("x", F.expr("slice(x, al + 1, ar - al + 1)"))
+        left = small(regions).join(sequences.withColumnRenamed("doc", "a"), "a").withColumn("x", F.expr("slice(x, al + 1, ar - al + 1)"))
         both = left.join(sequences.select(F.col("doc").alias("b"), F.col("x").alias("y")), "b").withColumn("y", F.expr("slice(y, bl + 1, br - bl + 1)"))
         asked = both.select("a", F.col("al").cast("long").alias("al"), "b", F.col("bl").cast("long").alias("bl"), "x", "y", F.expr("al - shift - bl").alias("drift"))
         return written(asked.mapInArrow(_verify(width, shingle, similarity), _PASSAGES_DDL).distinct(), "passages")
 
-    def uncovered(places: DataFrame, passages: DataFrame) -> DataFrame:
-        inside = passages.select(F.col("a").alias("doc"), F.col("a0").alias("from"), F.col("a1").alias("to"))
-        inside = inside.unionAll(passages.select("b", "b0", "b1")).distinct()
-        covered = places.join(inside, "doc").where((F.col("from") <= F.col("c")) & (F.col("c") + shingle <= F.col("to")))
-        return written(places.join(covered.select("key", "doc", "c").distinct(), ["key", "doc", "c"], "left_anti"), "open")
+    def covered(places: DataFrame, passages: DataFrame) -> DataFrame:
+        """The passages that cover each place: ``passage``, and where they lie in the ``other`` text."""
+        side = "xxhash64(a, a0, a1, b, b0, b1) AS passage"
+        inside = passages.selectExpr("a AS doc", "a0 AS from", "a1 AS to", "b AS other", "b0 AS other_from", "b1 AS other_to", side)
+        inside = inside.unionAll(passages.selectExpr("b", "b0", "b1", "a", "a0", "a1", side)).distinct()
+        return places.join(inside, "doc").where((F.col("from") <= F.col("c")) & (F.col("c") + shingle <= F.col("to")))
+
+    def links(places: DataFrame, passages: DataFrame) -> DataFrame:
+        """Places of a group that the same passage covers."""
+        together = covered(places, passages).groupBy("key", "passage").agg(F.collect_set("node").alias("nodes")).where("size(nodes) > 1")
+        return together.select(F.col("nodes")[0].alias("a"), F.explode("nodes").alias("b")).where("a <> b").distinct()
 
     ends = agreeing.where("doc = least or doc = most")
     ends = ends.select("key", F.col("doc").alias("a"), F.col("l").alias("al"), F.col("c").alias("ac"), F.col("r").alias("ar"))
     pairs = agreeing.select("key", F.col("doc").alias("b"), F.col("l").alias("bl"), F.col("c").alias("bc"), F.col("r").alias("br")).join(ends, "key")
     found = verified(pairs.where("a <> b"))
-    # Without its ends a group needs two texts more.
-    inner = agreeing.where("size > 3 and doc <> least and doc <> most").select("key", "doc", "l", "c", "r", "size")
-    places = uncovered(inner.select("key", "doc", "c"), found)
-    first_rank, last_rank = 0, PROPOSALS
-    while not places.isEmpty():
-        asking = inner.join(places.select("key").distinct(), "key", "left_semi")
-        asking = asking.join(places.withColumn("open", F.lit(True)), ["key", "doc", "c"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    # Without its ends a group needs two texts more. Where passages tie all its places to the first of its least text, it is one class.
+    inner = agreeing.where("size > 3 and doc <> most and doc <> least")
+    lowest = agreeing.where("size > 3 and doc = least").groupBy("key").agg(F.min("c").alias("end"))
+    tied = covered(inner.select("key", "doc", "c", "least"), found).where("other = least").join(lowest, "key")
+    tied = tied.where((F.col("other_from") <= F.col("end")) & (F.col("end") + shingle <= F.col("other_to"))).select("key", "doc", "c").distinct()
+    loose = inner.join(tied, ["key", "doc", "c"], "left_anti").select("key").distinct()
+    members = written(agreeing.join(loose, "key", "left_semi").withColumn("node", F.xxhash64("key", "doc", "c")), "open")
+    linked, last = None, PROPOSALS
+    while not members.isEmpty():
+        fresh = links(members, found if linked is None else more)
+        linked = written(fresh if linked is None else linked.unionByName(fresh), "links")
+        labels = components(linked).withColumnRenamed("component", "class")
+        rows = written(members.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node")).where("doc <> most and doc <> least"), "classes")
+        parted = rows.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("m")).where("l <> m")
         reach = 2 * width
         near = F.expr(f"transform(slice(x, greatest(c - {reach}, 0) + 1, c + {reach} + 1 - greatest(c - {reach}, 0)), v -> cast(v & {BITS - 1} as short))")
-        rows = asking.join(sequences, "doc").select("key", "doc", "l", "c", "r", "size", "open", near.alias("near"), F.xxhash64("doc", "c").alias("node"))
+        rows = rows.join(parted.select("key"), "key", "left_semi").join(sequences, "doc").select("key", "doc", "l", "c", "r", "size", "class", near.alias("near"), "node")
         rows = blocked(rows, F.col("size")).drop("size")
         ordered = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
-        proposed = written(ordered.mapInPandas(_propose(width, similarity, first_rank, last_rank), "a long, al int, ac int, ar int, b long, bl int, bc int, br int"), "proposed")
-        if proposed.isEmpty():
-            break
-        more = verified(proposed)
+        proposed = ordered.mapInPandas(_propose(width, similarity, last), "a long, al int, ac int, ar int, b long, bl int, bc int, br int, left long")
+        proposed = written(proposed, "proposed")
+        more = verified(proposed.where("left is null").drop("left"))
         found = found.unionByName(more)
-        places = uncovered(places, more)
-        first_rank, last_rank = last_rank, last_rank * 16
+        members = members.join(proposed.select(F.col("left").alias("key")).distinct(), "key", "left_semi")
+        last *= 16
     found = found.distinct()
     ids = texts.select("th", "id")
     named = found.join(ids.select(F.col("th").alias("a"), F.col("id").alias("other")), "a").join(ids.select(F.col("th").alias("b"), "id"), "b")

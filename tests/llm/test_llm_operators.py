@@ -436,3 +436,24 @@ def test_near_passages_of_a_repeated_phrase_and_of_lines_among_own_words(spark):
     rows = compact_windows.near_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert {frozenset((r.doc_id, r.other_id)) for r in rows} == {frozenset((1000, 1001))}
     assert max(r.end_word - r.start_word for r in rows) >= 72
+
+
+def chains(spark, count: int, variants: int = 40) -> list[tuple[int, str]]:
+    """Texts ``4k .. 4k + 3``, each near to the next one only; by their hashes the first is the least and the last the greatest."""
+    texts = []
+    for k in range(count):
+        base = words_of(9000 + k, 60)
+        for i, changed in enumerate(({15: "a"}, {}, {30: "b"}, {30: "b", 15: "c"})):
+            passage = [changed.get(p, w) + "new" * (p in changed) for p, w in enumerate(base)]
+            texts += [(4 * k + i, " ".join([*words_of(10_000 + 4 * k + i, 30), *passage, f"v{v}"])) for v in range(variants)]
+    hashed = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text, false) AS h").collect()
+    order = lambda r: (r.h, abs(r.h), abs(r.h), -r.h)[r.doc_id % 4]
+    return [min((r.doc_id, order(r), r.text) for r in hashed if r.doc_id == d)[::2] for d in range(4 * count)]
+
+
+def test_near_passages_link_covered_places_of_different_classes(spark):
+    """Both middle texts of a chain are covered by passages with the ends of their group; they are near to each other all the same."""
+    rows = compact_windows.near_passages(spark.createDataFrame(chains(spark, 16), "doc_id long, text string")).collect()
+    pairs = {frozenset((r.doc_id, r.other_id)) for r in rows}
+    missing = [k for k in range(16) for i in range(3) if frozenset((4 * k + i, 4 * k + i + 1)) not in pairs]
+    assert not missing and all(len({d // 4 for d in p}) == 1 for p in pairs)
