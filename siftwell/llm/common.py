@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cached_property
 
 import numpy as np
@@ -16,6 +17,12 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 # Python workers take rows in slices of about this many bytes of text, whatever the size of an Arrow batch.
 SLICE_BYTES = 1 << 21
+# Slices of steps that hold many numbers for each byte.
+NARROW_BYTES = 1 << 19
+# An Arrow batch is held whole by the executor and by the Python worker. Spark's own bounds, 10,000 rows and 64 MB, leave it to
+# each of them to hold that for every task.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"
 # Tables up to this many rows of a few numbers each may be broadcast; their rows are counted first.
 BROADCAST_ROWS = 500_000
 # Rows of a few numbers each that one task takes of a table cut to its size.
@@ -39,10 +46,24 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir() if not spark.conf.get("spark.checkpoint.dir", None) else folder
 
 
+@contextmanager
+def narrow_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside has Arrow batches of about ``BATCH_BYTES``, unless the session sets a bound itself."""
+    if spark.conf.get(BATCH_SETTING, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with narrow_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +72,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     What later stages read no longer depends on how a shuffle happened to order rows, nor on live executors.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/siftwell-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with narrow_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -205,8 +227,8 @@ class Spans:
         return mix((self._sums[ends] - self._sums[starts]) * self._back[starts])
 
 
-def text_slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """A batch in slices of about ``SLICE_BYTES``: the rows, their UTF-8 bytes, and offsets into them.
+def text_slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """A batch in slices of about ``size`` bytes of text: the rows, their UTF-8 bytes, and offsets into them.
 
     Null texts are empty. A longer text is a slice of its own.
     """
@@ -220,7 +242,7 @@ def text_slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.
     data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        to = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="right")) - 1
+        to = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
         to = min(max(to, row + 1), len(column))
         yield batch.slice(row, to - row), data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
         row = to

@@ -22,9 +22,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from siftwell.llm.common import row_columns, text_slices, whole_row
+from siftwell.llm.common import text_slices
 
 # Bounds of the labelled sample: texts per language, and leading characters of each.
 SAMPLE_TEXTS = 32
@@ -209,27 +208,21 @@ def keep_languages(docs: DataFrame, model: Model) -> DataFrame:
     """Documents in one of the languages, all columns as they were; those that come out as ``und`` go.
 
     Where no language was learned, those with a letter stay.
-    Languages are predicted beside the whole row, so ids may be null or repeated.
+    Only the text goes to Python; rows stay where they are, so ids may be null or repeated.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if not model.names:
         return docs.where(letter)
-    rows = docs.select(whole_row(docs), F.lower("text").alias("text"), letter.alias("letter"))
-    kept = rows.mapInArrow(_keep(shared), StructType().add("row", docs.schema))
-    return kept.select(*row_columns(docs))
+    known = F.arrow_udf(_known(docs.sparkSession.sparkContext.broadcast(tuple(model))), "boolean")
+    return docs.where(known(F.lower("text"), letter))
 
 
-def _keep(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _known(shared) -> Callable[[pa.Array, pa.Array], pa.Array]:
     predict_rows = _predict(shared)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = pa.array(range(len(batch)), pa.int64())
-            asked = pa.RecordBatch.from_arrays([n, batch.column(1), batch.column(2)], names=["doc_id", "text", "letter"])
-            for found in predict_rows(iter([asked])):
-                at = found.column(0)[0].as_py()
-                mask = pa.compute.not_equal(found.column(1), UNKNOWN)
-                yield batch.select([0]).slice(at, len(found)).filter(mask)
+    def run(text: pa.Array, letter: pa.Array) -> pa.Array:
+        asked = pa.RecordBatch.from_arrays([pa.array(range(len(text)), pa.int64()), text, letter], names=["doc_id", "text", "letter"])
+        known = [pa.compute.not_equal(found.column(1), UNKNOWN) for found in predict_rows(iter([asked]))]
+        return pa.concat_arrays(known) if known else pa.array([], pa.bool_())
 
     return run

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Words, checkpointed, document_key, gathered, mix, numbers, outer_id, record_batches, row_columns, signed, small, text_slices, whole_row, written
+from siftwell.llm.common import NARROW_BYTES, Words, checkpointed, document_key, gathered, mix, numbers, outer_id, record_batches, row_columns, signed, small, text_slices, whole_row, written
 from siftwell.llm.components import components
 from siftwell.llm.pairs import GROUP, blocked, pair_slices, whole_groups
 
@@ -98,7 +98,7 @@ def _sketch(shingle: int, sketches: int, sample: int, seed: int) -> Callable[[It
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in text_slices(batch):
+            for rows, data, offsets in text_slices(batch, size=NARROW_BYTES):
                 words = Words(data, offsets)
                 some = np.flatnonzero(np.diff(words.first) > 0)
                 if not len(some):
@@ -224,7 +224,7 @@ def _sequences(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in text_slices(batch):
+            for rows, data, offsets in text_slices(batch, size=NARROW_BYTES):
                 shingles, borders = Words(data, offsets).shingles(shingle)
                 short = (shingles >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(short))

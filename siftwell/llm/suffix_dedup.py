@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 from pyspark.sql.window import Window
 
-from siftwell.llm.common import Words, checkpointed, document_key, numbers, outer_id, record_batches, signed, small, text_slices, whole_row, written
+from siftwell.llm.common import NARROW_BYTES, Words, checkpointed, document_key, numbers, outer_id, record_batches, signed, small, text_slices, whole_row, written
 
 PASSAGE = 50
 ANCHOR = 25
@@ -63,7 +63,7 @@ _ANCHORS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("g", pa.int64())]
 def _anchors(passage: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in text_slices(batch):
+            for rows, data, offsets in text_slices(batch, size=NARROW_BYTES):
                 words = Words(data, offsets)
                 _, where, runs = _chosen(words, passage, anchor)
                 where = np.unique(where)
@@ -82,7 +82,7 @@ def _suffixes(passage: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in text_slices(batch):
+            for rows, data, offsets in text_slices(batch, size=NARROW_BYTES):
                 words = Words(data, offsets)
                 starts, where, runs = _chosen(words, passage, anchor)
                 if not len(starts):

@@ -5,18 +5,20 @@ from __future__ import annotations
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from siftwell.llm import chat_format, compact_windows, language_id, licenses, mixing, order_minhash, packing, quality, suffix_dedup, vector_dedup
+from siftwell.llm import chat_format, common, compact_windows, language_id, licenses, mixing, order_minhash, packing, quality, suffix_dedup, vector_dedup
 from siftwell.llm.components import components
 from siftwell.llm.queries import QUERIES, SQL
 
@@ -334,6 +336,42 @@ def test_without_labels_documents_with_letters_stay(spark, sf_dir, docs):
     assert ids(kept.select("doc_id").collect()) == ids(r for r in corpus() if re.search("[a-z]", r[1] or ""))
 
 
+def test_only_texts_go_to_python_where_languages_are_kept(spark, docs):
+    model = language_id.fit(docs)
+    kept = language_id.keep_languages(docs, model)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    assert sorted(kept.collect(), key=str) == sorted((r for r in docs.collect() if re.search("[a-z]", r.text or "")), key=str)
+    assert language_id.keep_languages(docs.limit(0), model).count() == 0
+
+
+def test_sketches_hold_a_bounded_part_of_a_batch():
+    rows = pa.RecordBatch.from_pydict({"id": list(range(40)), "th": list(range(40)), "text": [" ".join(words_of(k, 12_000)) for k in range(40)]})
+    assert rows.column(2).nbytes > 2 * order_minhash.NARROW_BYTES
+    sketch = order_minhash._sketch(5, 16, 3, 11)
+    alone = [r for k in range(40) for b in sketch(iter([rows.slice(k, 1)])) for r in b.to_pylist()]
+    tracemalloc.start()
+    together = [r for b in sketch(iter([rows])) for r in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert together == alone and most < 60 * order_minhash.NARROW_BYTES
+
+
+def test_written_tables_meet_python_in_bounded_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    wide = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 3400).alias("text")).mapInArrow(sizes, "bytes long")
+    most = lambda df: max(r.bytes for r in df.collect())
+    before = spark.conf.get(common.BATCH_SETTING)
+    assert most(wide) > 20_000_000 and most(common.written(wide, "sizes")) < 5_000_000 and most(common.checkpointed(wide)) < 5_000_000
+    assert spark.conf.get(common.BATCH_SETTING) == before and spark.conf.get(common.BATCH_SETTING, None) is None
+    spark.conf.set(common.BATCH_SETTING, "8m")
+    assert 5_000_000 < most(common.written(wide, "sizes")) < 9_000_000 and spark.conf.get(common.BATCH_SETTING) == "8m"
+    spark.conf.unset(common.BATCH_SETTING)
+
+
 def test_suffix_automaton_reads_exactly_the_substrings():
     text = b"abcbcabbaacab"
     states = language_id.suffix_automaton(text)
