@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import Words, checkpointed, document_key, mix, numbers, outer_id, record_batches, signed, small, text_slices, written
+from siftwell.llm.common import WORD, Words, checkpointed, document_key, mix, numbers, outer_id, record_batches, signed, small, text_slices, written
 from siftwell.llm.components import components
 from siftwell.llm.order_minhash import aligned
 from siftwell.llm.pairs import GROUP, blocked, pair_slices, whole_groups
@@ -49,6 +49,10 @@ ROWS = 1 << 15
 # Partners that a place proposes in the first round, and places of one frame of the proposals.
 PROPOSALS = 4
 PLACES = 8192
+# Pairs that are verified at once.
+PAIRS = 128
+# Rows that are gone over at once, place by place.
+COLUMNS = 1 << 10
 # Bits that the tokens near a place are told apart by when shared ones are counted.
 BITS = 4096
 
@@ -118,11 +122,96 @@ def _factors(hashes: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_PLACES = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("c", pa.int32())])
-_PLACES_DDL = "key long, doc long, c int"
+def _sliding(values: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """``of`` (minimum or maximum) over every ``width`` values in a row."""
+    k = 1
+    while 2 * k <= width:
+        values = of(values[:-k], values[k:])
+        k *= 2
+    return of(values[: k - width], values[width - k :]) if width > k else values
 
 
-def _centres(run_width: int, shingle: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def least_places(values: np.ndarray, borders: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``row, c`` of the compact windows of ``width`` tokens or more, kept ``_apart``.
+
+    A token is the least of some ``width`` in a row where the greatest of the minima around it is its own value. Only rows where
+    such a value repeats take the Cartesian tree, which tells equal ones apart.
+    """
+    counts = np.diff(borders)
+    values = np.maximum(values, np.uint64(1))
+    if len(values) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = _sliding(values, width, np.minimum)
+    rows = np.repeat(np.arange(len(counts)), counts)
+    least[rows[: len(least)] != rows[width - 1 :]] = 0
+    fence = np.zeros(width - 1, dtype=np.uint64)
+    place = np.flatnonzero(_sliding(np.concatenate([fence, least, fence]), width, np.maximum) == values)
+    row = rows[place]
+    marks = values[place] + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(marks)
+    same = np.flatnonzero(marks[order][1:] == marks[order][:-1])
+    if not len(same):
+        return row, place - borders[row]
+    twice = np.zeros(len(counts), dtype=bool)
+    twice[row[order[same]]] = twice[row[order[same + 1]]] = True
+    place, row = place[~twice[row]], row[~twice[row]]
+    of = np.flatnonzero(twice)
+    own = values[twice[rows]]
+    again, _, at, high = compact_windows(own, np.append(0, np.cumsum(counts[of])), width)
+    keep = _apart(again, own[np.append(0, np.cumsum(counts[of]))[again] + at], at, high, width)
+    return np.append(row, of[again[keep]]), np.append(place - borders[row], at[keep])
+
+
+_DEALT = pa.schema([("bucket", pa.int32()), ("key", pa.list_(pa.int64())), ("doc", pa.list_(pa.int64())), ("c", pa.list_(pa.int32()))])
+_DEALT_DDL = "bucket int, key array<long>, doc array<long>, c array<int>"
+_PLACES = pa.schema([("doc", pa.int64()), ("c", pa.list_(pa.int32()))])
+# Tokens of one bucket, about.
+BUCKET = 1 << 18
+
+
+def _dealt(keys: np.ndarray, rows: np.ndarray, docs: np.ndarray, places: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Tokens of a slice of texts as one row a bucket of keys.
+
+    A token that several texts of the slice hold is found in two texts already: of it, only those of two texts go to its bucket, to
+    tell the other slices. The rest go past, in the buckets behind, without keys; so no bucket fills with a very frequent token.
+    """
+    order = np.argsort(keys)
+    keys, rows, places = keys[order], rows[order], places[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sizes = np.diff(np.append(heads, len(keys)))
+    lowest, highest = np.repeat(np.minimum.reduceat(rows, heads), sizes), np.repeat(np.maximum.reduceat(rows, heads), sizes)
+    past = (rows != lowest) & (rows != highest)
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    out = []
+    for kind, base in ((~past, 0), (past, buckets)):
+        at = np.flatnonzero(kind)
+        cuts = np.flatnonzero(np.append(True, np.diff(bucket[at]) != 0)) if len(at) else at
+        offsets = pa.array(np.append(cuts, len(at)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (signed(keys)[at], docs[rows[at]], places[at].astype(np.int32))]
+        if base:
+            lists[0] = pa.ListArray.from_arrays(pa.array(np.zeros(len(cuts) + 1), pa.int32()), pa.array([], pa.int64()))
+        out.append(pa.RecordBatch.from_arrays([pa.array(bucket[at][cuts] + np.int32(base)), *lists], schema=_DEALT))
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+
+def _repeated(group: pa.Table) -> pa.Table:
+    """The places, text by text, of a bucket's tokens that are found in two texts or more; those without keys are known to be."""
+    keys, docs, places = (group[n].combine_chunks().flatten().to_numpy(zero_copy_only=False) for n in ("key", "doc", "c"))
+    if len(keys):
+        order = np.argsort(keys)
+        keys, docs, places = keys[order], docs[order], places[order]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        shared = np.minimum.reduceat(docs, heads) != np.maximum.reduceat(docs, heads)
+        shared = np.repeat(shared, np.diff(np.append(heads, len(keys))))
+        docs, places = docs[shared], places[shared]
+    order = np.argsort(docs)
+    docs, places = docs[order], places[order]
+    heads = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else order
+    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(docs)), pa.int32()), pa.array(places, pa.int32()))
+    return pa.Table.from_arrays([pa.array(docs[heads]), lists], schema=_PLACES)
+
+
+def _centres(run_width: int, shingle: int, seed: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Least tokens of all stretches of ``run_width`` tokens, by the first function."""
     factor = _factors(1, seed)[0]
 
@@ -130,32 +219,13 @@ def _centres(run_width: int, shingle: int, seed: int) -> Callable[[Iterator[pa.R
         for batch in batches:
             for rows, data, offsets in text_slices(batch):
                 shingles, borders = Words(data, offsets).shingles(shingle)
-                row, low, at, high = compact_windows(shingles * factor, borders, run_width)
-                keys = shingles[borders[row] + at]
-                keep = _apart(row, keys, at, high, run_width)
-                row, at, keys = row[keep], at[keep], keys[keep]
-                yield from record_batches({"key": signed(keys), "doc": numbers(rows, "th")[row], "c": at.astype(np.int32)}, _PLACES)
+                row, at = least_places(shingles * factor, borders, run_width)
+                if len(row):
+                    yield _dealt(shingles[borders[row] + at], row, numbers(rows, "th"), at, buckets)
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by key and text, whose key is found in two texts or more. What is held is rows of one key and text."""
-    held: list[pa.RecordBatch] = []
-    known = None
-    for batch in batches:
-        table = pa.Table.from_batches([*held, batch]).combine_chunks()
-        if not len(table):
-            continue
-        keys, docs = table["key"].to_numpy(), table["doc"].to_numpy()
-        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        sizes = np.diff(np.append(heads, len(keys)))
-        shared = (docs[heads] != docs[heads + sizes - 1]) | (keys[heads] == known if known is not None else False)
-        yield from table.filter(pa.array(np.repeat(shared, sizes))).to_batches()
-        known = keys[-1] if shared[-1] else None
-        held = [] if shared[-1] else table.slice(int(heads[-1])).to_batches()
-
-
 def _windows(hashes: int, run_width: int, width: int, shingle: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Compact windows of all functions whose least token lies in one of the text's stretches, cut to that stretch."""
     factors = _factors(hashes, seed)
@@ -212,7 +282,7 @@ def _regions(drift: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
     return run
 
 
-def _tokens(reach: int, shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _tokens(reach: int, shingle: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The tokens of each text that stand at most ``reach`` places from one of its ``centres``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +298,8 @@ def _tokens(reach: int, shingle: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 np.add.at(edges, np.minimum(at + reach + 1, borders[row + 1]), -1)
                 near = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
                 of = np.searchsorted(borders, near, side="right") - 1
-                yield from record_batches({"key": signed(shingles[near]), "doc": docs[of], "c": (near - borders[of]).astype(np.int32)}, _PLACES)
+                if len(near):
+                    yield _dealt(shingles[near], of, docs, near - borders[of], buckets)
 
     return run
 
@@ -272,36 +343,97 @@ def _stretches(width: int, similarity: float) -> Callable[[Iterator[pa.RecordBat
     return run
 
 
-def passages_in(x: np.ndarray, y: np.ndarray, width: int, similarity: float, shortest: int = SHINGLE, drift: int | None = None) -> list[tuple[int, int, int, int]]:
-    """``x0, x1, y0, y1`` of near-duplicate passages of two shingle sequences, ``width`` shingles or more.
+def _ranks(groups: np.ndarray) -> np.ndarray:
+    """The place of each row in its group; those of a group stand together."""
+    at = np.arange(len(groups))
+    heads = np.append(True, groups[1:] != groups[:-1])[: len(groups)]
+    return at - np.maximum.accumulate(np.where(heads, at, 0))
 
-    Runs of shared shingles are joined from left to right as long as their similarity stays; a run of fewer than
-    ``shortest`` that does not fit is passed over. Where a shingle stands at several places, the one nearest to ``drift`` places
-    on is its partner (none given: to where most point). The stretch of ``y`` is where the partners lie; the pair is then aligned.
+
+def _dense(pair: np.ndarray, places: np.ndarray, width: int, density: float) -> tuple[np.ndarray, np.ndarray]:
+    """``dense_stretches`` of many pairs at once, by borders of the form ``pair << 32 | place``."""
+    line = pair << 32 | places
+    if not len(line):
+        return line, line
+    # In fixed point, every pair lower than the one before it, so that no later one is taken for a place of an earlier one.
+    u = np.rint((_ranks(pair) - density * places) * (1 << 18)).astype(np.int64) - (pair << 42)
+    highest = np.maximum.accumulate(u[::-1])
+    last = len(line) - 1 - np.searchsorted(highest, u - int((1 - density) * (1 << 18)) - 2)
+    starts = np.flatnonzero(places[last] - places >= width - 1)
+    if not len(starts):
+        return line[:0], line[:0]
+    ends = np.maximum.accumulate(line[last[starts]]) + 1
+    starts = line[starts]
+    fresh = np.flatnonzero(np.append(True, starts[1:] > ends[:-1]))
+    return starts[fresh], ends[np.append(fresh[1:], len(starts)) - 1]
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and the row of each."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), lengths)
+
+
+def shared_runs(x: np.ndarray, xp: np.ndarray, y: np.ndarray, yp: np.ndarray, drift: np.ndarray, width: int, similarity: float) -> tuple[np.ndarray, ...]:
+    """``pair, x0, x1, y0, y1`` of the runs of shared shingles of many pairs, where near passages may lie. ``xp`` and ``yp`` number the
+    pair of each shingle. Where a shingle stands at several places, the one nearest to ``drift`` places on is its partner.
     """
-    order = np.argsort(y, kind="stable")
-    ranked = y[order]
-    left, right = np.searchsorted(ranked, x), np.searchsorted(ranked, x, side="right")
-    shared = np.flatnonzero(right > left)
+    none = (np.zeros(0, np.int64),) * 5
+    xat, yat = _ranks(xp), _ranks(yp)
+    if not len(x) or not len(y):
+        return none
+    # Shingles in order, each with its place behind it.
+    bits = int(max(xat.max(), yat.max())).bit_length()
+    wanted, packed = ((p << 32 | v.view(np.uint32)) << bits | at for v, p, at in ((x, xp, xat), (y, yp, yat)))
+    wanted.sort()
+    packed.sort()
+    order, ranked = packed & ((1 << bits) - 1), packed >> bits
+    heads = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    distinct = ranked[heads]
+    group = np.searchsorted(distinct, wanted >> bits)
+    group[group == len(distinct)] = 0
+    hits = np.flatnonzero(distinct[group] == wanted >> bits)
+    of = np.full(len(x), -1)
+    of[np.searchsorted(xp, wanted[hits] >> (32 + bits)) + (wanted[hits] & ((1 << bits) - 1))] = group[hits]
+    shared = np.flatnonzero(of >= 0)
+    group = of[shared]
     # Passages lie within stretches dense in shared shingles, of either sequence.
-    starts, ends = dense_stretches(shared, width, similarity)
+    starts, ends = _dense(xp[shared], xat[shared], width, similarity)
     if not len(starts):
-        return []
-    edges = np.bincount(left, minlength=len(y) + 1) - np.bincount(right, minlength=len(y) + 1)
-    if not len(dense_stretches(np.sort(order[np.cumsum(edges[:-1]) > 0]), width, similarity)[0]):
-        return []
-    of = np.searchsorted(starts, shared, side="right") - 1
-    shared = shared[(of >= 0) & (shared < ends[of])]
-    # The partner of a shared shingle: the place in y nearest to where its neighbours point.
-    partner = order[left[shared]]
-    many = np.flatnonzero(right[shared] - left[shared] > 1)
-    if drift is None:
-        drift = int(np.median(partner - shared))
-    for k in many.tolist():
-        places = order[left[shared[k]] : right[shared[k]]]
-        partner[k] = places[np.abs(places - (shared[k] + drift)).argmin()]
-    cuts = np.flatnonzero((np.diff(shared) != 1) | (np.diff(partner) != 1)) + 1
-    runs = [(int(shared[s]), int(shared[e - 1]) + 1, int(partner[s]), int(partner[e - 1]) + 1) for s, e in zip(np.append(0, cuts), np.append(cuts, len(shared)), strict=True)]
+        return none
+    tails = np.append(heads[1:], len(ranked))
+    met = np.zeros(len(heads), dtype=bool)
+    met[group] = True
+    met = np.repeat(met, tails - heads)
+    yline = (ranked >> 32)[met] << 32 | order[met]
+    yline.sort()
+    either = np.zeros(int(max(xp[-1], yp[-1])) + 1, dtype=bool)
+    either[_dense(yline >> 32, yline & 0xFFFFFFFF, width, similarity)[0] >> 32] = True
+    line = xp[shared] << 32 | xat[shared]
+    of = np.searchsorted(starts, line, side="right") - 1
+    keep = np.flatnonzero((of >= 0) & (line < ends[of]) & either[xp[shared]])
+    if not len(keep):
+        return none
+    shared, group = shared[keep], group[keep]
+    # The partner of a shared shingle: the place in y nearest to where its neighbours point; of two as near, the first.
+    pair, place, low, high = xp[shared], xat[shared], heads[group], tails[group]
+    partner = order[low]
+    many = np.flatnonzero(high - low > 1)
+    to, low, high = place[many] + drift[pair[many]], low[many], high[many]
+    after = np.searchsorted(packed, ranked[low] << bits | np.clip(to, 0, (1 << bits) - 1))
+    before, after = order[np.maximum(after - 1, low)], order[np.minimum(after, high - 1)]
+    partner[many] = np.where(np.abs(before - to) <= np.abs(after - to), before, after)
+    cuts = np.flatnonzero((np.diff(place) != 1) | (np.diff(partner) != 1) | (np.diff(pair) != 0)) + 1
+    heads, tails = np.append(0, cuts), np.append(cuts, len(pair)) - 1
+    return pair[heads], place[heads], place[tails] + 1, partner[heads], partner[tails] + 1
+
+
+def joined_runs(runs: list[tuple[int, int, int, int]], x: np.ndarray, y: np.ndarray, width: int, similarity: float, shortest: int = SHINGLE) -> list[tuple[int, int, int, int]]:
+    """``x0, x1, y0, y1`` of near-duplicate passages of two shingle sequences, ``width`` shingles or more.
+
+    Runs of shared shingles are joined from left to right as long as their similarity stays; a run of fewer than
+    ``shortest`` that does not fit is passed over. The stretch of ``y`` is where the partners lie; the pair is then aligned.
+    """
     found: list[tuple[int, int, int, int]] = []
 
     def close(x0: int, x1: int, y0: int, y1: int) -> None:
@@ -329,14 +461,30 @@ def passages_in(x: np.ndarray, y: np.ndarray, width: int, similarity: float, sho
 def dense_around(shared: np.ndarray, width: int, density: float) -> np.ndarray:
     """Which rows of ``shared`` hold a stretch around their middle of ``width`` places or more that begins and ends with a place
     set, with that share of places set."""
-    middle = shared.shape[1] // 2
-    g = np.zeros((len(shared), shared.shape[1] + 1), dtype=np.float32)
-    np.cumsum(shared - np.float32(density), axis=1, out=g[:, 1:])
-    starts = np.arange(max(0, min(middle, shared.shape[1] - width)) + 1)
-    below = np.where(shared[:, starts], g[:, starts], np.inf)
-    g[:, 1:][~shared] = -np.inf
-    highest = np.maximum.accumulate(g[:, ::-1], axis=1)[:, ::-1]
-    return (highest[:, np.maximum(starts + width, middle + 1)] >= below - 1e-3).any(axis=1)
+    found = [_dense_around(np.ascontiguousarray(shared[at : at + COLUMNS].T), width, density) for at in range(0, len(shared), COLUMNS)]
+    return np.concatenate([np.zeros(0, dtype=bool), *found])
+
+
+def _dense_around(shared: np.ndarray, width: int, density: float) -> np.ndarray:
+    """The same for rows that stand as columns, place by place for all of them."""
+    size, count = shared.shape
+    middle = size // 2
+    g = np.zeros((size + 1, count), dtype=np.float32)
+    steps = shared - np.float32(density)
+    for k in range(size):
+        np.add(g[k], steps[k], out=g[k + 1])
+    last = max(0, min(middle, size - width))
+    below = np.where(shared[: last + 1], g[: last + 1], np.inf) - 1e-3
+    ends = np.where(shared[middle:], g[middle + 1 :], -np.inf)
+    # Stretches that begin so early that they are wide enough wherever they end behind the middle.
+    early = max(0, min(last, middle + 1 - width) + 1)
+    highest = np.full(count, -np.inf, dtype=np.float32)
+    found = np.zeros(count, dtype=bool)
+    for k in range(size, middle, -1):
+        np.maximum(highest, ends[k - middle - 1], out=highest)
+        if early <= k - width <= last:
+            found |= highest >= below[k - width]
+    return found | (highest >= below[:early].min(axis=0)) if early else found
 
 
 def _propose(width: int, similarity: float, last: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -354,16 +502,17 @@ def _propose(width: int, similarity: float, last: int) -> Callable[[Iterator[pd.
             holds = np.zeros((len(frame), BITS + 1), dtype=bool)
             holds[np.arange(len(frame))[:, None], bits] = True
             holds[:, BITS] = False
+            flat = holds.ravel()
             doc, label = frame["doc"].to_numpy(), frame["class"].to_numpy()
             found = []
-            for a, b in pair_slices(frame, 1 << 15):
+            for a, b in pair_slices(frame, 1 << 13):
                 fit = (doc[a] != doc[b]) & (label[a] != label[b])
                 a, b = a[fit], b[fit]
-                both = holds[b[:, None], bits[a]]
-                fit = np.flatnonzero(both.sum(axis=1) >= width * similarity)
+                both = flat.take(np.add(bits[a], (b * (BITS + 1))[:, None], dtype=np.intp))
+                fit = np.flatnonzero(np.count_nonzero(both, axis=1) >= width * similarity)
                 fit = fit[dense_around(both[fit], width, similarity)]
                 a, b, both = a[fit], b[fit], both[fit]
-                near = dense_around(holds[a[:, None], bits[b]], width, similarity)
+                near = dense_around(flat.take(np.add(bits[b], (a * (BITS + 1))[:, None], dtype=np.intp)), width, similarity)
                 found.append((a[near], b[near], both[near].sum(axis=1)))
             if not found:
                 continue
@@ -389,14 +538,23 @@ _PASSAGES_DDL = "a long, a0 long, a1 long, b long, b0 long, b1 long"
 
 def _verify(width: int, shingle: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            xs, ys = batch.column(4), batch.column(5)
-            for k, (a, al, b, bl, drift) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 6)), strict=True)):
-                for x0, x1, y0, y1 in passages_in(xs[k].values.to_numpy(), ys[k].values.to_numpy(), width, similarity, shingle, drift):
-                    out.append((a, al + x0, al + x1 + shingle - 1, b, bl + y0, bl + y1 + shingle - 1))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_PASSAGES)
+        for whole in batches:
+            for at in range(0, len(whole), PAIRS):
+                batch, out = whole.slice(at, PAIRS), []
+                (x, xp), (y, yp) = _lists(batch.column(4)), _lists(batch.column(5))
+                pair, *sides = shared_runs(x, xp, y, yp, numbers(batch, "drift"), width, similarity)
+                xb, yb = (np.searchsorted(p, np.arange(len(batch) + 1)) for p in (xp, yp))
+                if not len(pair):
+                    continue
+                heads = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+                names = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+                runs = list(zip(*(side.tolist() for side in sides), strict=True))
+                for k, lo, hi in zip(pair[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(pair)], strict=True):
+                    a, al, b, bl = names[k]
+                    for x0, x1, y0, y1 in joined_runs(runs[lo:hi], x[xb[k] : xb[k + 1]], y[yb[k] : yb[k + 1]], width, similarity, shingle):
+                        out.append((a, al + x0, al + x1 + shingle - 1, b, bl + y0, bl + y1 + shingle - 1))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_PASSAGES)
 
     return run
 
@@ -423,21 +581,24 @@ def near_passages(
     Needs ``doc_id`` and ``text``. ``other_id`` is a representative of those that share the passage.
     """
     keyed = docs.select(*document_key(), "text")
-    texts = written(keyed.groupBy("th").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")), "texts")
-    copies = small(checkpointed(texts.where("n > 1").select("th", "id", "words")))
+    texts = written(keyed.groupBy("th").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max(F.octet_length("text")).alias("bytes")), "texts")
+    copies = small(checkpointed(texts.where("n > 1").select("th", "id")))
     # The first row of each text stands for its copies; only rows of copies are dealt out for that.
     others = copies.select("th", F.col("id").alias("least"))
-    rows = keyed.join(others, "th", "left")
-    first = rows.where("least is null").select("th", "text").unionByName(rows.where("id = least").select("th", "text").dropDuplicates(["th"]))
+    alike = keyed.join(others, "th", "left")
+    first = alike.where("least is null").select("th", "text").unionByName(alike.where("id = least").select("th", "text").dropDuplicates(["th"]))
     width = passage - shingle + 1
     run_width = shared_run(width, similarity, shingle - 1)
 
-    def repeated(places: DataFrame, name: str) -> DataFrame:
-        found = places.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_repeated, _PLACES_DDL)
-        return written(found.groupBy(F.col("doc").alias("th")).agg(F.collect_list("c").alias(name)), name)
+    def repeated(dealt: DataFrame, name: str) -> DataFrame:
+        found = dealt.groupBy("bucket").applyInArrow(_repeated, "doc long, c array<int>")
+        return written(found.groupBy(F.col("doc").alias("th")).agg(F.flatten(F.collect_list("c")).alias(name)), name)
 
-    centres = repeated(first.mapInArrow(_centres(run_width, shingle, seed), _PLACES_DDL), "centres")
-    places = repeated(first.join(centres, "th").mapInArrow(_tokens(2 * width, shingle), _PLACES_DDL), "places")
+    # Some forty bytes of text have one centre, and every centre so many tokens around it at most.
+    buckets = 1 + (texts.agg(F.sum("bytes")).first()[0] or 0) // 40 // BUCKET
+    centres = repeated(first.mapInArrow(_centres(run_width, shingle, seed, buckets), _DEALT_DDL), "centres")
+    buckets = 1 + (centres.agg(F.sum(F.size("centres"))).first()[0] or 0) * (4 * width + 1) // 2 // BUCKET
+    places = repeated(first.join(centres, "th").mapInArrow(_tokens(2 * width, shingle, buckets), _DEALT_DDL), "places")
     stretches = written(places.mapInArrow(_stretches(width, similarity), "th long, starts array<int>, ends array<int>"), "stretches")
     dense = first.join(small(stretches.select("th")), "th", "left_semi").join(stretches, "th")
     windows = dense.mapInArrow(_windows(hashes, run_width, width, shingle, seed), "key long, doc long, l int, c int, r int")
@@ -447,18 +608,20 @@ def near_passages(
     held = first.join(small(checkpointed(agreeing.select(F.col("doc").alias("th")).distinct())), "th", "left_semi")
     sequences = written(held.mapInArrow(_sequences(shingle), "doc long, x array<int>"), "sequences")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The passages of ``pairs`` in regions not verified ``before``, and these regions."""
         # A passage may reach beyond the stretch of its longest run.
         wide = pairs.select(
             "a", F.greatest(F.col("al") - width, F.lit(0)).alias("al"), "ac", (F.col("ar") + width).alias("ar"),
             "b", F.greatest(F.col("bl") - width, F.lit(0)).alias("bl"), "bc", (F.col("br") + width).alias("br"),
         )
         ordered = wide.repartition("a", "b").sortWithinPartitions("a", "b")
-        regions = written(ordered.mapInPandas(_regions(width // 3), "a long, al int, ar int, b long, bl int, br int, shift int"), "regions")
+        regions = ordered.mapInPandas(_regions(width // 3), "a long, al int, ar int, b long, bl int, br int, shift int")
+        regions = written(regions if before is None else regions.join(before, regions.columns, "left_anti"), "regions")
         left = small(regions).join(sequences.withColumnRenamed("doc", "a"), "a").withColumn("x", F.expr("slice(x, al + 1, ar - al + 1)"))
         both = left.join(sequences.select(F.col("doc").alias("b"), F.col("x").alias("y")), "b").withColumn("y", F.expr("slice(y, bl + 1, br - bl + 1)"))
         asked = both.select("a", F.col("al").cast("long").alias("al"), "b", F.col("bl").cast("long").alias("bl"), "x", "y", F.expr("al - shift - bl").alias("drift"))
-        return written(asked.mapInArrow(_verify(width, shingle, similarity), _PASSAGES_DDL).distinct(), "passages")
+        return written(asked.mapInArrow(_verify(width, shingle, similarity), _PASSAGES_DDL).distinct(), "passages"), regions
 
     def covered(places: DataFrame, passages: DataFrame) -> DataFrame:
         """The passages that cover each place: ``passage``, and where they lie in the ``other`` text."""
@@ -467,28 +630,33 @@ def near_passages(
         inside = inside.unionAll(passages.selectExpr("b", "b0", "b1", "a", "a0", "a1", side)).distinct()
         return places.join(inside, "doc").where((F.col("from") <= F.col("c")) & (F.col("c") + shingle <= F.col("to")))
 
-    def links(places: DataFrame, passages: DataFrame) -> DataFrame:
-        """Places of a group that the same passage covers."""
-        together = covered(places, passages).groupBy("key", "passage").agg(F.collect_set("node").alias("nodes")).where("size(nodes) > 1")
-        return together.select(F.col("nodes")[0].alias("a"), F.explode("nodes").alias("b")).where("a <> b").distinct()
+    def joined(members: DataFrame, passages: DataFrame) -> DataFrame:
+        """``members`` with the classes made one that the same passage covers in a group."""
+        ends = covered(members, passages).groupBy("key", "passage").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("n"))
+        ends = written(ends.where("a <> b"), "links")
+        # Most passages cover one place of either text. Where they cover more, all go with the least.
+        more = ends.where("n > 2").select("key", "passage", "a")
+        among = members.join(more.select("key").distinct(), "key", "left_semi")
+        links = ends.select("a", "b").unionAll(covered(among, passages).join(more, ["key", "passage"]).select("a", F.col("class").alias("b")))
+        labels = components(links).withColumnRenamed("node", "class")
+        return written(members.join(labels, "class", "left").withColumn("class", F.coalesce("component", "class")).drop("component"), "classes")
 
     ends = agreeing.where("doc = least or doc = most")
     ends = ends.select("key", F.col("doc").alias("a"), F.col("l").alias("al"), F.col("c").alias("ac"), F.col("r").alias("ar"))
     pairs = agreeing.select("key", F.col("doc").alias("b"), F.col("l").alias("bl"), F.col("c").alias("bc"), F.col("r").alias("br")).join(ends, "key")
-    found = verified(pairs.where("a <> b"))
+    found, regions = verified(pairs.where("a <> b"))
     # Without its ends a group needs two texts more. Where passages tie all its places to the first of its least text, it is one class.
     inner = agreeing.where("size > 3 and doc <> most and doc <> least")
     lowest = agreeing.where("size > 3 and doc = least").groupBy("key").agg(F.min("c").alias("end"))
     tied = covered(inner.select("key", "doc", "c", "least"), found).where("other = least").join(lowest, "key")
     tied = tied.where((F.col("other_from") <= F.col("end")) & (F.col("end") + shingle <= F.col("other_to"))).select("key", "doc", "c").distinct()
     loose = inner.join(tied, ["key", "doc", "c"], "left_anti").select("key").distinct()
-    members = written(agreeing.join(loose, "key", "left_semi").withColumn("node", F.xxhash64("key", "doc", "c")), "open")
-    linked, last = None, PROPOSALS
+    members = agreeing.join(loose, "key", "left_semi").withColumn("node", F.xxhash64("key", "doc", "c"))
+    members = written(members.withColumn("class", F.col("node")), "open")
+    more, last = found, PROPOSALS
     while not members.isEmpty():
-        fresh = links(members, found if linked is None else more)
-        linked = written(fresh if linked is None else linked.unionByName(fresh), "links")
-        labels = components(linked).withColumnRenamed("component", "class")
-        rows = written(members.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node")).where("doc <> most and doc <> least"), "classes")
+        members = joined(members, more)
+        rows = members.where("doc <> most and doc <> least")
         parted = rows.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("m")).where("l <> m")
         reach = 2 * width
         near = F.expr(f"transform(slice(x, greatest(c - {reach}, 0) + 1, c + {reach} + 1 - greatest(c - {reach}, 0)), v -> cast(v & {BITS - 1} as short))")
@@ -497,8 +665,8 @@ def near_passages(
         ordered = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
         proposed = ordered.mapInPandas(_propose(width, similarity, last), "a long, al int, ac int, ar int, b long, bl int, bc int, br int, left long")
         proposed = written(proposed, "proposed")
-        more = verified(proposed.where("left is null").drop("left"))
-        found = found.unionByName(more)
+        more, fresh = verified(proposed.where("left is null").drop("left"), regions)
+        found, regions = found.unionByName(more), regions.unionByName(fresh)
         members = members.join(proposed.select(F.col("left").alias("key")).distinct(), "key", "left_semi")
         last *= 16
     found = found.distinct()
@@ -508,7 +676,10 @@ def near_passages(
         outer_id().alias("doc_id"), F.col("b0").alias("start_word"), F.col("b1").alias("end_word"),
         outer_id("other").alias("other_id"), F.col("a0").alias("other_start"), F.col("a1").alias("other_end"),
     )
-    again = keyed.select("id", "th").join(copies.select("th", F.col("id").alias("other"), "words"), "th").where(F.col("words") >= passage)
+    # Words are counted once for each text that has copies.
+    counted = alike.where("id = least").dropDuplicates(["th"]).select("th", F.col("id").alias("other"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("words"))
+    counted = small(checkpointed(counted.where(F.col("words") >= passage)))
+    again = keyed.select("id", "th").join(counted, "th")
     again = again.where("id <> other").distinct()
     return near.unionByName(
         again.select(

@@ -495,3 +495,74 @@ def test_near_passages_link_covered_places_of_different_classes(spark):
     pairs = {frozenset((r.doc_id, r.other_id)) for r in rows}
     missing = [k for k in range(16) for i in range(3) if frozenset((4 * k + i, 4 * k + i + 1)) not in pairs]
     assert not missing and all(len({d // 4 for d in p}) == 1 for p in pairs)
+
+
+def test_least_places_equal_the_windows_of_the_tree():
+    rng = np.random.default_rng(4)
+    for k in range(150):
+        borders = np.concatenate([[0], np.cumsum(rng.integers(0, 60, 5))])
+        values, width = rng.integers(1, (9, 50, 10**9)[k % 3], borders[-1]).astype(np.uint64), int(rng.integers(1, 13))
+        row, _, at, high = compact_windows.compact_windows(values, borders, width)
+        keep = compact_windows._apart(row, values[borders[row] + at], at, high, width)
+        got = compact_windows.least_places(values, borders, width)
+        assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(zip(row[keep].tolist(), at[keep].tolist(), strict=True))
+
+
+def test_tokens_of_two_texts_are_found_and_frequent_ones_pass_their_bucket():
+    rng, rows, dealt = np.random.default_rng(5), [], []
+    for texts in np.arange(400).reshape(4, 100):
+        # Token 7 << 32 stands in every text.
+        tokens = np.sort(np.append(rng.integers(0, 900, 500) * 100 + rng.choice(100, 500), np.arange(100)))
+        keys, row = tokens.astype(np.uint64) // np.uint64(100) << np.uint64(34), tokens % 100
+        keys[:100], row[:100] = np.uint64(7) << np.uint64(32), np.arange(100)
+        at = np.arange(len(keys))
+        rows += zip(keys.tolist(), texts[row].tolist(), at.tolist(), strict=True)
+        dealt.append(compact_windows._dealt(keys, row, texts, at, 3))
+    held: dict[int, set[int]] = {}
+    for key, doc, _ in rows:
+        held.setdefault(key, set()).add(doc)
+    batches = [r for b in dealt for r in b.to_pylist()]
+    assert sum(k == 7 << 32 for r in batches for k in r["key"]) == 2 * len(dealt)
+    got = []
+    for bucket in {r["bucket"] for r in batches}:
+        group = pa.Table.from_pylist([r for r in batches if r["bucket"] == bucket], schema=compact_windows._DEALT)
+        got += [(r["doc"], c) for r in compact_windows._repeated(group).to_pylist() for c in r["c"]]
+    assert sorted(got) == sorted((doc, at) for key, doc, at in rows if len(held[key]) > 1)
+
+
+def test_runs_of_many_pairs_equal_those_of_each():
+    rng, pairs = np.random.default_rng(6), []
+    for _ in range(60):
+        x = rng.integers(-5, rng.integers(2, 40), rng.integers(1, 80)).astype(np.int32)
+        y = np.tile(x[rng.random(len(x)) > 0.1], 3) if rng.random() < 0.7 else rng.integers(0, 30, 60).astype(np.int32)
+        pairs.append((x, y, int(rng.integers(-90, 90))))
+    numbered = lambda side: np.repeat(np.arange(len(pairs)), [len(p[side]) for p in pairs])
+    x, y = (np.concatenate([p[side] for p in pairs]) for side in (0, 1))
+    got = list(zip(*(c.tolist() for c in compact_windows.shared_runs(x, numbered(0), y, numbered(1), np.array([p[2] for p in pairs]), 5, 0.8)), strict=True))
+    for k, (x, y, drift) in enumerate(pairs):
+        held, want = set(y.tolist()), []
+        dense = lambda places: compact_windows.dense_stretches(np.array(places, dtype=np.int64), 5, 0.8)
+        starts, ends = dense([i for i, v in enumerate(x.tolist()) if v in held])
+        if len(starts) and len(dense([j for j, v in enumerate(y.tolist()) if v in set(x.tolist())])[0]):
+            for i in (i for s, e in zip(starts, ends, strict=True) for i in range(s, e) if x[i] in held):
+                j = min(np.flatnonzero(y == x[i]).tolist(), key=lambda j: (abs(j - i - drift), j))
+                if want and (want[-1][2], want[-1][4]) == (i, j):
+                    want[-1] = (k, want[-1][1], i + 1, want[-1][3], j + 1)
+                else:
+                    want.append((k, i, i + 1, j, j + 1))
+        assert [g for g in got if g[0] == k] == want
+
+
+def test_no_region_is_verified_twice(spark, monkeypatch):
+    """Two families hold the same lines in another order: every round proposes pairs of both, more than the round before, and none is near."""
+    regions, keep = [], compact_windows.written
+    monkeypatch.setattr(compact_windows, "written", lambda df, name: regions.append(keep(df, name)) or regions[-1] if name == "regions" else keep(df, name))
+    first, line, second = (words_of(20_000 + k, 30) for k in range(3))
+    texts = []
+    for i in range(24):
+        passage = [*first, *line, *second] if i % 2 else [*second, *line, *first]
+        texts.append((i, " ".join([*words_of(20_100 + i, 40), *passage, *words_of(20_200 + i, 40)])))
+    rows = compact_windows.near_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert all((r.doc_id - r.other_id) % 2 == 0 for r in rows) and {n for r in rows for n in (r.doc_id, r.other_id)} == set(range(24))
+    seen = [tuple(r) for df in regions for r in df.collect()]
+    assert len(regions) > 2 and len(seen) == len(set(seen))
