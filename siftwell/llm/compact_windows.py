@@ -17,9 +17,10 @@ agreeing windows, tokens are counted over all texts, and windows outside such st
 hold among words of their own proposes nothing, however many hold it.
 
 What is left of a group of texts with the same min-hash is compared with its least and its greatest member first, at all their places.
-Places of a group that passages link, one by one, are a class. Places of the others that lie in different classes are then
-compared among the whole group, in blocks: those that share too few tokens nearby cannot hold a passage; of the rest every
-place proposes some, the best first and sixteen times as many each round, until no two classes have an uncompared pair left.
+Places of a group that passages link, one by one, are a class. Where a group is of several classes, a task takes all its places (of a
+large group, those of two blocks) with the tokens near each, and looks for passages around places of different classes: those with the
+most shared tokens nearby are compared with all others, then as many again, and so on. What a passage links is one class from then on, so
+a group is reported with few more pairs than it has texts. No two places of different classes are left uncompared.
 
 Equal texts are compared once; each copy is reported with the first one, over its whole length. Null ids are ids like
 others; rows that repeat id and text are one document. Null, empty and short texts have no passage. Empty tables give
@@ -33,22 +34,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import WORD, Words, checkpointed, document_key, mix, numbers, outer_id, record_batches, signed, small, text_slices, written
-from siftwell.llm.components import components
 from siftwell.llm.order_minhash import aligned
-from siftwell.llm.pairs import GROUP, blocked, pair_slices, whole_groups
+from siftwell.llm.pairs import GROUP, blocked, whole_groups
 
 PASSAGE = 50
 SHINGLE = 5
 SIMILARITY = 0.8
 HASHES = 3
 ROWS = 1 << 15
-# Partners that a place proposes in the first round, and places of one frame of the proposals.
-PROPOSALS = 4
-PLACES = 8192
+# Places of one frame, of one block of a group, and pairs of them that are listed at once.
+PLACES = 4096
+BLOCK = 1024
+LISTED = 1 << 14
 # Pairs that are verified at once.
 PAIRS = 128
 # Rows that are gone over at once, place by place.
@@ -458,6 +459,29 @@ def joined_runs(runs: list[tuple[int, int, int, int]], x: np.ndarray, y: np.ndar
     return found
 
 
+def runs_around(runs: list[tuple[int, int, int, int]], x: int, y: int, width: int, similarity: float) -> list[tuple[int, int, int, int]]:
+    """The near-duplicate passage of most shared shingles that begins and ends with a run and in which ``x`` stands for ``y``, if any.
+
+    Runs that cross those nearer to ``x`` are passed over.
+    """
+    middle = [k for k, run in enumerate(runs) if run[0] <= x < run[1] and run[2] + x - run[0] == y]
+    if not middle:
+        return []
+    before, after = [runs[middle[0]]], [runs[middle[0]]]
+    for run in runs[: middle[0]][::-1]:
+        if run[3] <= before[-1][2]:
+            before.append(run)
+    for run in runs[middle[0] + 1 :]:
+        if run[2] >= after[-1][3]:
+            after.append(run)
+    early, late = np.array(before), np.array(after)
+    good = np.cumsum(early[:, 1] - early[:, 0])[:, None] + np.cumsum(late[:, 1] - late[:, 0]) - (late[0, 1] - late[0, 0])
+    wide, other = late[:, 1] - early[:, :1], late[:, 3] - early[:, 2:3]
+    fit = (np.minimum(wide, other) >= width) & (good * (1 + similarity) >= similarity * (wide + other) - 1e-9)
+    i, j = np.unravel_index(np.argmax(np.where(fit, good, 0)), good.shape)
+    return [(int(early[i, 0]), int(late[j, 1]), int(early[i, 2]), int(late[j, 3]))] if fit[i, j] else []
+
+
 def dense_around(shared: np.ndarray, width: int, density: float) -> np.ndarray:
     """Which rows of ``shared`` hold a stretch around their middle of ``width`` places or more that begins and ends with a place
     set, with that share of places set."""
@@ -487,47 +511,255 @@ def _dense_around(shared: np.ndarray, width: int, density: float) -> np.ndarray:
     return found | (highest >= below[:early].min(axis=0)) if early else found
 
 
-def _propose(width: int, similarity: float, last: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """For each place its best ``last`` partners of other classes that share enough tokens nearby, and the group's key where there are more."""
-    names = ["a", "al", "ac", "ar", "b", "bl", "bc", "br"]
+class _Classes:
+    """Classes of rows that grow together; each row begins in that of its ``labels``."""
+
+    def __init__(self, labels: np.ndarray) -> None:
+        _, self._label = np.unique(labels, axis=1, return_inverse=True)
+        self._label = self._label.reshape(-1)
+        self._parent = np.arange(int(self._label.max(initial=-1)) + 1)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        while len(far := np.flatnonzero(self._parent[self._parent] != self._parent)):
+            self._parent[far] = self._parent[self._parent[far]]
+        return self._parent[self._label[rows]]
+
+    def _root(self, at: int) -> int:
+        while self._parent[at] != at:
+            at = int(self._parent[at])
+        return at
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the rows ``a`` and ``b`` were of two classes, which are one now."""
+        a, b = sorted((self._root(int(self._label[a])), self._root(int(self._label[b]))))
+        self._parent[b] = a
+        return a != b
+
+
+class _Places:
+    """Places of some groups, those with the most shared tokens around them first, with the tokens near each; its own is in the middle."""
+
+    def __init__(self, frame: pd.DataFrame, width: int, similarity: float, shingle: int, across: bool) -> None:
+        self._width, self._similarity, self._shingle = width, similarity, shingle
+        # Of two passages of that similarity one has this share of its tokens in the other, or more.
+        self._best = 2 * similarity / (1 + similarity)
+        lengths, middle = frame["near"].map(len).to_numpy(), 2 * width
+        before = np.minimum(frame["c"].to_numpy(), middle).astype(np.int64)
+        at = np.arange(2 * middle + 1) - (middle - before)[:, None]
+        inside = (at >= 0) & (at < lengths[:, None])
+        tokens = np.zeros(inside.shape, dtype=np.int32)
+        tokens[inside] = np.concatenate(frame["near"].to_list())
+        group, label = frame["group"].to_numpy(), frame["class"].to_numpy()
+        # Tokens that places of other classes (and of the other block) hold too; only where they are dense has a place a partner.
+        row = np.nonzero(inside)[0]
+        marks = group[row] << 32 | tokens[inside].view(np.uint32)
+        order = np.argsort(marks)
+        marks = marks[order]
+        heads = np.flatnonzero(np.append(True, marks[1:] != marks[:-1])[: len(marks)])
+        sizes = np.diff(np.append(heads, len(marks)))
+        parted = np.ones(len(heads), dtype=bool)
+        for side in (label, frame["block"].to_numpy())[: 1 + across]:
+            of = side[row[order]]
+            parted &= np.minimum.reduceat(of, heads) != np.maximum.reduceat(of, heads)
+        both, often = np.empty(len(row), dtype=bool), np.empty(len(row), dtype=np.int64)
+        both[order], often[order] = np.repeat(parted, sizes), np.repeat(sizes, sizes)
+        shared = np.zeros(inside.shape, dtype=bool)
+        shared[inside] = both
+        fit = np.flatnonzero(dense_around(shared, width, similarity))
+        doc = frame["doc"].to_numpy()
+        self.rows = fit = fit[np.lexsort((doc[fit], -np.bincount(row, often, len(frame))[fit], group[fit]))]
+        self.group, self.doc, self.block = group[fit], doc[fit], frame["block"].to_numpy()[fit]
+        self.tokens, self.inside, self.before = tokens[fit], inside[fit], before[fit]
+        self.strong = dense_around(shared[fit], width, self._best)
+        self._bits = np.where(self.inside, self.tokens & (BITS - 1), BITS).astype(np.int16)
+        holds = np.zeros((len(fit), BITS + 1), dtype=bool)
+        holds[np.arange(len(fit))[:, None], self._bits] = True
+        holds[:, BITS] = False
+        self._holds = holds.ravel()
+        self._rank = _ranks(self.group)
+        heads = np.flatnonzero(self._rank == 0)
+        self._ends = np.repeat(np.append(heads[1:], len(fit)), np.diff(np.append(heads, len(fit)))) if len(fit) else heads
+
+    def pairs(self, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The places ``low`` to ``high`` of each group, each with all that stand behind it there."""
+        lead = np.flatnonzero((self._rank >= low) & (self._rank < high))
+        behind = self._ends[lead] - lead - 1
+        total = np.cumsum(behind)
+        at = 0
+        while at < len(lead):
+            to = max(at + 1, int(np.searchsorted(total, total[at] - behind[at] + LISTED, side="right")))
+            a, many = np.repeat(lead[at:to], behind[at:to]), behind[at:to]
+            yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+            at = to
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many tokens of each pair stand alike, counted from its places; 0 where that makes no passage around them."""
+        found = np.zeros(len(a), dtype=np.int64)
+        for at in range(0, len(a), COLUMNS):
+            same = self.tokens[a[at : at + COLUMNS]] == self.tokens[b[at : at + COLUMNS]]
+            same &= self.inside[a[at : at + COLUMNS]] & self.inside[b[at : at + COLUMNS]]
+            count = np.count_nonzero(same, axis=1)
+            fit = np.flatnonzero(count >= self._best * self._width - 1e-6)
+            fit = fit[dense_around(same[fit], self._width, self._best)]
+            found[at + fit] = count[fit]
+        return found
+
+    def likely(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many tokens each pair shares; 0 where they are not dense enough for a passage around its places."""
+        found = np.zeros(len(a), dtype=np.int64)
+        for at in range(0, len(a), COLUMNS):
+            x, y = a[at : at + COLUMNS], b[at : at + COLUMNS]
+            one = self._holds.take(np.add(self._bits[x], (y * (BITS + 1))[:, None], dtype=np.intp))
+            fit = np.flatnonzero(np.count_nonzero(one, axis=1) >= self._width * self._similarity)
+            one, x, y = one[fit], x[fit], y[fit]
+            other = self._holds.take(np.add(self._bits[y], (x * (BITS + 1))[:, None], dtype=np.intp))
+            near = np.flatnonzero(self._dense(one, other))
+            # Without the tokens that only seem to be equal.
+            one, other = self._equal(x[near], y[near])
+            held = self._dense(one, other)
+            found[at + fit[near[held]]] = np.count_nonzero(one[held], axis=1)
+        return found
+
+    def _dense(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether the shared tokens of either side are dense around the middle, and those of one side as dense as one must be."""
+        found = dense_around(one, self._width, self._best)
+        left = np.flatnonzero(~found)
+        found[left] = dense_around(other[left], self._width, self._best)
+        for side in (one, other):
+            left = np.flatnonzero(found)
+            found[left] = dense_around(side[left], self._width, self._similarity)
+        return found
+
+    def _equal(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens of either place of each pair the other has near it."""
+        pair = np.arange(len(a))[:, None] << 33
+        # Outside of the texts no two are equal.
+        x, y = (np.where(self.inside[n], self.tokens[n].view(np.uint32).astype(np.int64), (1 << 32) + k) | pair for k, n in enumerate((a, b)))
+
+        def among(these: np.ndarray, those: np.ndarray) -> np.ndarray:
+            those = np.sort(those, axis=1).ravel()
+            return those[np.minimum(np.searchsorted(those, these.ravel()), len(those) - 1)].reshape(these.shape) == these if len(those) else these == 0
+
+        return among(x, y), among(y, x)
+
+    def straight(self, a: int, b: int) -> tuple[int, int, int, int]:
+        """``x0, x1, y0, y1`` of a passage of a pair that is ``alike``, counted from its places."""
+        same = (self.tokens[a] == self.tokens[b]) & self.inside[a] & self.inside[b]
+        places, middle = np.flatnonzero(same), len(same) // 2
+        early, late = places[places <= middle], places[places >= middle]
+        held = np.concatenate([[0], np.cumsum(same)])
+        wide = late[None, :] + 1 - early[:, None]
+        fit = (wide >= self._width) & (held[late + 1][None, :] - held[early][:, None] >= self._best * wide - 1e-3)
+        i, j = np.unravel_index(np.argmax(np.where(fit, wide, 0)), wide.shape)
+        x0, x1 = int(early[i]) - middle, int(late[j]) + 1 - middle
+        return x0, x1, x0, x1
+
+    def verified(self, a: np.ndarray, b: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
+        """The same of those of the pairs that have a passage around their places, by their numbers."""
+        found = {}
+        for at in range(0, len(a), PAIRS):
+            x, y = a[at : at + PAIRS], b[at : at + PAIRS]
+            xs, ys = self.tokens[x][self.inside[x]], self.tokens[y][self.inside[y]]
+            xn, yn = self.inside[x].sum(axis=1), self.inside[y].sum(axis=1)
+            pairs = np.arange(len(x))
+            xm, ym = self.before[x], self.before[y]
+            pair, *sides = shared_runs(xs, np.repeat(pairs, xn), ys, np.repeat(pairs, yn), ym - xm, self._width, self._similarity)
+            if not len(pair):
+                continue
+            xb, yb = np.append(0, np.cumsum(xn)), np.append(0, np.cumsum(yn))
+            heads = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            runs = list(zip(*(side.tolist() for side in sides), strict=True))
+            for k, lo, hi in zip(pair[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(pair)], strict=True):
+                u, v = int(xm[k]), int(ym[k])
+                joined = joined_runs(runs[lo:hi], xs[xb[k] : xb[k + 1]], ys[yb[k] : yb[k + 1]], self._width, self._similarity, self._shingle)
+                joined = [j for j in joined if j[0] <= u < j[1] and j[2] <= v < j[3]] or runs_around(runs[lo:hi], u, v, self._width, self._similarity)
+                for x0, x1, y0, y1 in joined[:1]:
+                    found[at + k] = (x0 - u, x1 - u, y0 - v, y1 - v)
+        return found
+
+
+def _joined(places: _Places, classes: _Classes, across: bool) -> list[tuple[int, int, tuple[int, int, int, int]]]:
+    """Pairs of places that a passage covers, as few as make one class of all that such passages link, one by one.
+
+    The first places of each group are compared with all behind them, then as many again, and so on; only those of two classes.
+    Nothing depends on which groups stand in a frame together.
+    """
+    links: list[tuple[int, int, tuple[int, int, int, int]]] = []
+
+    def link(a: np.ndarray, b: np.ndarray, shared: np.ndarray, certain: bool) -> None:
+        order = np.lexsort((b, a, -shared))
+        a, b = a[order], b[order]
+        while True:
+            one, other = classes.of(a), classes.of(b)
+            left = np.flatnonzero(one != other)
+            if not len(left):
+                return
+            # The best pair of each class that is left.
+            a, b, one, other = a[left], b[left], one[left], other[left]
+            at = np.arange(len(a))
+            first = np.full(int(max(one.max(), other.max())) + 1, len(a))
+            np.minimum.at(first, one, at)
+            np.minimum.at(first, other, at)
+            best = np.unique(first[first < len(a)])
+            passages = {} if certain else places.verified(a[best], b[best])
+            for k, i in enumerate(best.tolist()):
+                if (certain or k in passages) and classes.join(a[i], b[i]):
+                    links.append((int(a[i]), int(b[i]), places.straight(int(a[i]), int(b[i])) if certain else passages[k]))
+            a, b = np.delete(a, best), np.delete(b, best)
+
+    low, high, most = 0, 1, int(np.bincount(places.group).max(initial=0))
+    while low < most:
+        kept = []
+        for a, b in places.pairs(low, high):
+            fit = (classes.of(a) != classes.of(b)) & (places.strong[a] | places.strong[b]) & (places.doc[a] != places.doc[b])
+            if across:
+                fit &= places.block[a] != places.block[b]
+            a, b = a[fit], b[fit]
+            kept.append((a, b, places.alike(a, b)))
+        low, high = high, 2 * high
+        if not kept:
+            continue
+        a, b, shared = (np.concatenate(x) for x in zip(*kept, strict=True))
+        link(a[shared > 0], b[shared > 0], shared[shared > 0], certain=True)
+        left = np.flatnonzero((shared == 0) & (classes.of(a) != classes.of(b)))
+        shared = places.likely(a[left], b[left])
+        left, shared = left[shared > 0], shared[shared > 0]
+        link(a[left], b[left], shared, certain=False)
+    return links
+
+
+_FOUND, _AB, _BA = ("from", "to", "other_from", "other_to"), ("a0", "a1", "b0", "b1"), ("b0", "b1", "a0", "a1")
+_SIDES = ["a", "al", "ac", "ar", "a0", "a1", "b", "bl", "bc", "br", "b0", "b1"]
+_LINKS_DDL = ", ".join(f"{n} {'int' if n in ('al', 'ac', 'ar', 'bl', 'bc', 'br') else 'long'}" for n in _SIDES) + ", node long, class long"
+
+
+def _links(width: int, similarity: float, shingle: int, across: bool, block: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The pairs that link the classes of each group, with a passage of either; of groups of several blocks also the class of each place."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(frames, GROUP, PLACES):
-            # Tokens by their places from the shared one, which is in the middle.
-            lengths, middle = frame["near"].map(len).to_numpy(), 2 * width
-            at = np.arange(2 * middle + 1) - (middle - np.minimum(frame["c"].to_numpy(), middle))[:, None]
-            inside = (at >= 0) & (at < lengths[:, None])
-            bits = np.full(inside.shape, BITS, dtype=np.int16)
-            bits[inside] = np.concatenate(frame["near"].to_list())
-            holds = np.zeros((len(frame), BITS + 1), dtype=bool)
-            holds[np.arange(len(frame))[:, None], bits] = True
-            holds[:, BITS] = False
-            flat = holds.ravel()
-            doc, label = frame["doc"].to_numpy(), frame["class"].to_numpy()
-            found = []
-            for a, b in pair_slices(frame, 1 << 13):
-                fit = (doc[a] != doc[b]) & (label[a] != label[b])
-                a, b = a[fit], b[fit]
-                both = flat.take(np.add(bits[a], (b * (BITS + 1))[:, None], dtype=np.intp))
-                fit = np.flatnonzero(np.count_nonzero(both, axis=1) >= width * similarity)
-                fit = fit[dense_around(both[fit], width, similarity)]
-                a, b, both = a[fit], b[fit], both[fit]
-                near = dense_around(flat.take(np.add(bits[b], (a * (BITS + 1))[:, None], dtype=np.intp)), width, similarity)
-                found.append((a[near], b[near], both[near].sum(axis=1)))
-            if not found:
-                continue
-            a, b, shared = (np.concatenate(x) for x in zip(*found, strict=True))
-            own, other, shared = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([shared, shared])
-            order = np.lexsort((other, -shared, own))
-            own, other = own[order], other[order]
-            rank = np.arange(len(own)) - np.searchsorted(own, own)
-            # A pair that both ends propose is proposed once.
-            own, other, more = own[rank < last], other[rank < last], own[rank >= last]
-            own, other = np.unique(np.stack([np.minimum(own, other), np.maximum(own, other)]), axis=1)
-            keys = np.unique(frame["key"].to_numpy()[more])
-            sides = [np.append(frame[c].to_numpy()[at], np.zeros(len(keys), np.int64)) for at in (other, own) for c in ("doc", "l", "c", "r")]
-            left = pd.Series([None] * len(own) + keys.tolist(), dtype="Int64")
-            yield pd.DataFrame(dict(zip(names, sides, strict=True)) | {"left": left})
+            places = _Places(frame, width, similarity, shingle, across)
+            classes = _Classes(np.stack([frame["group"].to_numpy(), frame["class"].to_numpy()])[:, places.rows])
+            doc, l, c, r = (frame[n].to_numpy()[places.rows] for n in ("doc", "l", "c", "r"))
+            out: list[tuple] = []
+            for a, b, (x0, x1, y0, y1) in _joined(places, classes, across):
+                sides = ((i, (doc[i], l[i], c[i], r[i], c[i] + first, c[i] + last + shingle - 1)) for i, first, last in ((a, x0, x1), (b, y0, y1)))
+                one, other = sorted((s for _, s in sides), key=lambda s: s[0])
+                out.append((*one, *other))
+            links = pd.DataFrame(out, columns=_SIDES)
+            links["node"] = links["class"] = pd.Series(dtype="Int64")
+            yield links
+            several = np.flatnonzero(frame["size"].to_numpy() > block) if not across else []
+            if len(several):
+                # A class is called by the least of its own.
+                label = frame["class"].to_numpy().copy()
+                of = classes.of(np.arange(len(places.rows)))
+                least = np.full(int(of.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, of, label[places.rows])
+                label[places.rows] = least[of]
+                named = pd.DataFrame({n: pd.Series(np.full(len(several), None), dtype="Int64") for n in _SIDES})
+                named["node"], named["class"] = frame["node"].to_numpy()[several], label[several]
+                yield named
 
     return run
 
@@ -623,52 +855,51 @@ def near_passages(
         asked = both.select("a", F.col("al").cast("long").alias("al"), "b", F.col("bl").cast("long").alias("bl"), "x", "y", F.expr("al - shift - bl").alias("drift"))
         return written(asked.mapInArrow(_verify(width, shingle, similarity), _PASSAGES_DDL).distinct(), "passages"), regions
 
-    def covered(places: DataFrame, passages: DataFrame) -> DataFrame:
-        """The passages that cover each place: ``passage``, and where they lie in the ``other`` text."""
-        side = "xxhash64(a, a0, a1, b, b0, b1) AS passage"
-        inside = passages.selectExpr("a AS doc", "a0 AS from", "a1 AS to", "b AS other", "b0 AS other_from", "b1 AS other_to", side)
-        inside = inside.unionAll(passages.selectExpr("b", "b0", "b1", "a", "a0", "a1", side)).distinct()
-        return places.join(inside, "doc").where((F.col("from") <= F.col("c")) & (F.col("c") + shingle <= F.col("to")))
-
-    def joined(members: DataFrame, passages: DataFrame) -> DataFrame:
-        """``members`` with the classes made one that the same passage covers in a group."""
-        ends = covered(members, passages).groupBy("key", "passage").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("n"))
-        ends = written(ends.where("a <> b"), "links")
-        # Most passages cover one place of either text. Where they cover more, all go with the least.
-        more = ends.where("n > 2").select("key", "passage", "a")
-        among = members.join(more.select("key").distinct(), "key", "left_semi")
-        links = ends.select("a", "b").unionAll(covered(among, passages).join(more, ["key", "passage"]).select("a", F.col("class").alias("b")))
-        labels = components(links).withColumnRenamed("node", "class")
-        return written(members.join(labels, "class", "left").withColumn("class", F.coalesce("component", "class")).drop("component"), "classes")
-
     ends = agreeing.where("doc = least or doc = most")
     ends = ends.select("key", F.col("doc").alias("a"), F.col("l").alias("al"), F.col("c").alias("ac"), F.col("r").alias("ar"))
     pairs = agreeing.select("key", F.col("doc").alias("b"), F.col("l").alias("bl"), F.col("c").alias("bc"), F.col("r").alias("br")).join(ends, "key")
     found, regions = verified(pairs.where("a <> b"))
-    # Without its ends a group needs two texts more. Where passages tie all its places to the first of its least text, it is one class.
+    def within(place: str, start: str, end: str) -> Column:
+        return (F.col(start) <= F.col(place)) & (F.col(place) + shingle <= F.col(end))
+
+    # Without its ends a group needs two texts more. Places that passages tie to the first place of an end are of one class with it;
+    # where one is tied to both ends, all of these are.
     inner = agreeing.where("size > 3 and doc <> most and doc <> least")
-    lowest = agreeing.where("size > 3 and doc = least").groupBy("key").agg(F.min("c").alias("end"))
-    tied = covered(inner.select("key", "doc", "c", "least"), found).where("other = least").join(lowest, "key")
-    tied = tied.where((F.col("other_from") <= F.col("end")) & (F.col("end") + shingle <= F.col("other_to"))).select("key", "doc", "c").distinct()
-    loose = inner.join(tied, ["key", "doc", "c"], "left_anti").select("key").distinct()
-    members = agreeing.join(loose, "key", "left_semi").withColumn("node", F.xxhash64("key", "doc", "c"))
-    members = written(members.withColumn("class", F.col("node")), "open")
-    more, last = found, PROPOSALS
-    while not members.isEmpty():
-        members = joined(members, more)
-        rows = members.where("doc <> most and doc <> least")
-        parted = rows.groupBy("key").agg(F.min("class").alias("l"), F.max("class").alias("m")).where("l <> m")
+    firsts = agreeing.where("size > 3 and (doc = least or doc = most)").groupBy("key", F.col("doc").alias("other")).agg(F.min("c").alias("end"))
+    sides = found.selectExpr("a AS doc", "a0 AS from", "a1 AS to", "b AS other", "b0 AS other_from", "b1 AS other_to")
+    sides = sides.unionAll(found.selectExpr("b", "b0", "b1", "a", "a0", "a1"))
+    tied = inner.select("key", "doc", "c", "least").join(firsts, "key").join(sides, ["doc", "other"])
+    tied = tied.where(within("c", "from", "to") & within("end", "other_from", "other_to"))
+    tied = tied.groupBy("key", "doc", "c").agg(F.max(F.expr("other = least")).alias("low"), F.max(F.expr("other <> least")).alias("high"))
+    places = inner.join(tied, ["key", "doc", "c"], "left").withColumn("node", F.xxhash64("key", "doc", "c"))
+    places = written(places.select("key", "doc", "l", "c", "r", "size", "node", "low", "high"), "tied")
+    both = places.where("low and high").select("key", F.lit(True).alias("both")).distinct()
+    places = places.join(both, "key", "left").withColumn("class", F.expr("CASE WHEN low OR (high AND both) THEN 0 WHEN high THEN 1 ELSE node END"))
+    parted = places.groupBy("key").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first <> last").select("key")
+    places = written(places.join(parted, "key", "left_semi").drop("low", "high", "both"), "open")
+
+    def linked(places: DataFrame, across: bool) -> DataFrame:
+        """The links of the groups of ``places``: of those in the same block, or of those in two blocks."""
         reach = 2 * width
-        near = F.expr(f"transform(slice(x, greatest(c - {reach}, 0) + 1, c + {reach} + 1 - greatest(c - {reach}, 0)), v -> cast(v & {BITS - 1} as short))")
-        rows = rows.join(parted.select("key"), "key", "left_semi").join(sequences, "doc").select("key", "doc", "l", "c", "r", "size", "class", near.alias("near"), "node")
-        rows = blocked(rows, F.col("size")).drop("size")
+        rows = blocked(places, F.col("size"), across, BLOCK)
+        rows = (rows.where("low < high") if across else rows).join(sequences, "doc")
+        near = F.expr(f"slice(x, greatest(c - {reach}, 0) + 1, c + {reach} + 1 - greatest(c - {reach}, 0))")
+        rows = rows.select("key", "low", "high", "block", "node", "doc", "l", "c", "r", "size", "class", near.alias("near"))
         ordered = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
-        proposed = ordered.mapInPandas(_propose(width, similarity, last), "a long, al int, ac int, ar int, b long, bl int, bc int, br int, left long")
-        proposed = written(proposed, "proposed")
-        more, fresh = verified(proposed.where("left is null").drop("left"), regions)
-        found, regions = found.unionByName(more), regions.unionByName(fresh)
-        members = members.join(proposed.select(F.col("left").alias("key")).distinct(), "key", "left_semi")
-        last *= 16
+        return written(ordered.mapInPandas(_links(width, similarity, shingle, across, BLOCK), _LINKS_DDL), "links")
+
+    # Groups of several blocks are linked block by block first; the classes of their blocks meet then.
+    every = links = linked(places, across=False)
+    more, fresh = verified(links.where("node is null").drop("a0", "a1", "b0", "b1", "node", "class"), regions)
+    found, regions = found.unionByName(more), regions.unionByName(fresh)
+    links = linked(places.drop("class").join(links.where("node is not null").select("node", "class"), "node"), across=True)
+    more, _ = verified(links.drop("a0", "a1", "b0", "b1", "node", "class"), regions)
+    found, links = found.unionByName(more), every.unionByName(links).where("node is null")
+    # A region may be cut into passages in another way than the tokens near a place; then the passage around the place is one too.
+    ordered = found.selectExpr("least(a, b) AS a", "greatest(a, b) AS b", *(f"IF(a < b, {x}, {y}) AS {n}" for x, y, n in zip(_AB, _BA, _FOUND, strict=True)))
+    covered = within("ac", "from", "to") & within("bc", "other_from", "other_to")
+    alone = links.join(ordered.withColumnsRenamed({"a": "a_", "b": "b_"}), (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")) & covered, "left_anti")
+    found = found.unionByName(alone.select("a", "a0", "a1", "b", "b0", "b1"))
     found = found.distinct()
     ids = texts.select("th", "id")
     named = found.join(ids.select(F.col("th").alias("a"), F.col("id").alias("other")), "a").join(ids.select(F.col("th").alias("b"), "id"), "b")

@@ -566,3 +566,55 @@ def test_no_region_is_verified_twice(spark, monkeypatch):
     assert all((r.doc_id - r.other_id) % 2 == 0 for r in rows) and {n for r in rows for n in (r.doc_id, r.other_id)} == set(range(24))
     seen = [tuple(r) for df in regions for r in df.collect()]
     assert len(regions) > 2 and len(seen) == len(set(seen))
+
+
+def classes_of(pairs) -> set[frozenset[int]]:
+    names: dict[int, set[int]] = {}
+    for pair in pairs:
+        one = set().union(*(names.get(n, {n}) for n in pair))
+        names |= dict.fromkeys(one, one)
+    return {frozenset(one) for one in names.values()}
+
+
+@pytest.mark.parametrize("block", [1024, 32])
+def test_near_passages_of_many_varied_copies_are_linked_by_few_pairs(spark, monkeypatch, block):
+    """Each text is compared with some others, however many are near; those that near passages link are linked, also across blocks."""
+    monkeypatch.setattr(compact_windows, "BLOCK", block, raising=False)
+    rng, base, texts = random.Random(8), words_of(30_000, 150), []
+    for i in range(160):
+        copy = [w if rng.random() > 0.03 else f"new{i}x{k}" for k, w in enumerate(base)]
+        texts.append((i, [*words_of(30_100 + i, 30), *copy, *words_of(30_400 + i, 30)]))
+    shingles = [np.array([zlib.crc32(" ".join(w[k : k + 5]).encode()) for k in range(len(w) - 4)], dtype=np.uint32) for _, w in texts]
+    near = set()
+    for i, x in enumerate(shingles):
+        for j, y in enumerate(shingles[:i]):
+            equal = np.concatenate([[0], np.cumsum(x == y)])
+            if any((m := equal[k:] - equal[:-k])[m >= 0.8 * (2 * k - m) - 1e-9].size for k in range(46, len(x) + 1)):
+                near.add((i, j))
+    rows = compact_windows.near_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")).collect()
+    pairs = {(max(r.doc_id, r.other_id), min(r.doc_id, r.other_id)) for r in rows}
+    assert classes_of(pairs) == classes_of(near) and pairs <= near
+    assert len(near) > 20 * len(texts) and len(pairs) < 12 * len(texts)
+
+
+def test_runs_around_a_place_make_a_passage():
+    rng, found = np.random.default_rng(9), 0
+    for _ in range(400):
+        x = rng.integers(0, 10**6, 60).astype(np.int32)
+        cut, kept = rng.random(60) < 0.06, rng.random(60)
+        y = np.concatenate([[v] if not c else ([] if k < 0.5 else [-1, v][: 1 + (k < 0.7)]) for v, c, k in zip(x, cut, kept, strict=True)]).astype(np.int32)
+        at = int(rng.integers(0, 60))
+        if x[at] not in y:
+            continue
+        other, zeros = int(np.flatnonzero(y == x[at])[0]), lambda z: np.zeros(len(z), np.int64)
+        pair, *sides = compact_windows.shared_runs(x, zeros(x), y, zeros(y), np.array([other - at]), 20, 0.8)
+        runs = list(zip(*(s.tolist() for s in sides), strict=True))
+        around = compact_windows.runs_around(runs, at, other, 20, 0.8) if runs else []
+        for x0, x1, y0, y1 in around:
+            assert x0 <= at < x1 and y0 <= other < y1 and min(x1 - x0, y1 - y0) >= 20
+            assert order_minhash.aligned(x[x0:x1], y[y0:y1], 0.8)
+        # Whatever runs joined from left to right make of them, these do too.
+        joined = compact_windows.joined_runs(runs, x, y, 20, 0.8, 5) if runs else []
+        assert around or not any(j[0] <= at < j[1] and j[2] <= other < j[3] for j in joined)
+        found += len(around)
+    assert found > 200
