@@ -54,7 +54,7 @@ LISTED = 1 << 14
 PAIRS = 128
 # Rows that are gone over at once, place by place.
 COLUMNS = 1 << 10
-# Bits that the tokens near a place are told apart by when shared ones are counted.
+# Numbers that the tokens which places of a group share are told apart by.
 BITS = 4096
 
 
@@ -561,17 +561,23 @@ class _Places:
         for side in (label, frame["block"].to_numpy())[: 1 + across]:
             of = side[row[order]]
             parted &= np.minimum.reduceat(of, heads) != np.maximum.reduceat(of, heads)
-        both, often = np.empty(len(row), dtype=bool), np.empty(len(row), dtype=np.int64)
-        both[order], often[order] = np.repeat(parted, sizes), np.repeat(sizes, sizes)
+        # The tokens that places of a group share, numbered; each has a bit of its own unless they are very many.
+        several = sizes > 1
+        number = np.cumsum(several) - several
+        of = marks[heads] >> 32
+        number = np.where(several, (number - number[np.searchsorted(of, of)]) % BITS, BITS).astype(np.int16)
+        both, often, bit = np.empty(len(row), dtype=bool), np.empty(len(row), dtype=np.int64), np.empty(len(row), dtype=np.int16)
+        both[order], often[order], bit[order] = np.repeat(parted, sizes), np.repeat(sizes, sizes), np.repeat(number, sizes)
         shared = np.zeros(inside.shape, dtype=bool)
-        shared[inside] = both
+        bits = np.full(inside.shape, BITS, dtype=np.int16)
+        shared[inside], bits[inside] = both, bit
         fit = np.flatnonzero(dense_around(shared, width, similarity))
         doc = frame["doc"].to_numpy()
         self.rows = fit = fit[np.lexsort((doc[fit], -np.bincount(row, often, len(frame))[fit], group[fit]))]
         self.group, self.doc, self.block = group[fit], doc[fit], frame["block"].to_numpy()[fit]
         self.tokens, self.inside, self.before = tokens[fit], inside[fit], before[fit]
         self.strong = dense_around(shared[fit], width, self._best)
-        self._bits = np.where(self.inside, self.tokens & (BITS - 1), BITS).astype(np.int16)
+        self._bits = bits[fit]
         holds = np.zeros((len(fit), BITS + 1), dtype=bool)
         holds[np.arange(len(fit))[:, None], self._bits] = True
         holds[:, BITS] = False
@@ -592,32 +598,32 @@ class _Places:
             yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
             at = to
 
-    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many tokens of each pair stand alike, counted from its places; 0 where that makes no passage around them."""
-        found = np.zeros(len(a), dtype=np.int64)
+    def alike(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many tokens of each pair stand alike, counted from its places, and whether that makes a passage around them."""
+        counts, found = np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=bool)
         for at in range(0, len(a), COLUMNS):
             same = self.tokens[a[at : at + COLUMNS]] == self.tokens[b[at : at + COLUMNS]]
             same &= self.inside[a[at : at + COLUMNS]] & self.inside[b[at : at + COLUMNS]]
-            count = np.count_nonzero(same, axis=1)
+            counts[at : at + COLUMNS] = count = np.count_nonzero(same, axis=1)
             fit = np.flatnonzero(count >= self._best * self._width - 1e-6)
-            fit = fit[dense_around(same[fit], self._width, self._best)]
-            found[at + fit] = count[fit]
-        return found
+            found[at + fit] = dense_around(same[fit], self._width, self._best)
+        return counts, found
 
-    def likely(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many tokens each pair shares; 0 where they are not dense enough for a passage around its places."""
+    def likely(self, a: np.ndarray, b: np.ndarray, alike: np.ndarray) -> np.ndarray:
+        """How many tokens each pair shares, of which ``alike`` make no passage; 0 where all of them are not dense enough for one either."""
         found = np.zeros(len(a), dtype=np.int64)
         for at in range(0, len(a), COLUMNS):
             x, y = a[at : at + COLUMNS], b[at : at + COLUMNS]
             one = self._holds.take(np.add(self._bits[x], (y * (BITS + 1))[:, None], dtype=np.intp))
-            fit = np.flatnonzero(np.count_nonzero(one, axis=1) >= self._width * self._similarity)
-            one, x, y = one[fit], x[fit], y[fit]
             other = self._holds.take(np.add(self._bits[y], (x * (BITS + 1))[:, None], dtype=np.intp))
-            near = np.flatnonzero(self._dense(one, other))
+            least, count = self._width * self._similarity, np.count_nonzero(one, axis=1)
+            more = np.maximum(count, np.count_nonzero(other, axis=1)) > alike[at : at + COLUMNS]
+            fit = np.flatnonzero(more & (count >= least))
+            near = fit[self._dense(one[fit], other[fit])]
             # Without the tokens that only seem to be equal.
             one, other = self._equal(x[near], y[near])
             held = self._dense(one, other)
-            found[at + fit[near[held]]] = np.count_nonzero(one[held], axis=1)
+            found[at + near[held]] = np.count_nonzero(one[held], axis=1)
         return found
 
     def _dense(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -715,14 +721,14 @@ def _joined(places: _Places, classes: _Classes, across: bool) -> list[tuple[int,
             if across:
                 fit &= places.block[a] != places.block[b]
             a, b = a[fit], b[fit]
-            kept.append((a, b, places.alike(a, b)))
+            kept.append((a, b, *places.alike(a, b)))
         low, high = high, 2 * high
         if not kept:
             continue
-        a, b, shared = (np.concatenate(x) for x in zip(*kept, strict=True))
-        link(a[shared > 0], b[shared > 0], shared[shared > 0], certain=True)
-        left = np.flatnonzero((shared == 0) & (classes.of(a) != classes.of(b)))
-        shared = places.likely(a[left], b[left])
+        a, b, alike, certain = (np.concatenate(x) for x in zip(*kept, strict=True))
+        link(a[certain], b[certain], alike[certain], certain=True)
+        left = np.flatnonzero(~certain & (classes.of(a) != classes.of(b)))
+        shared = places.likely(a[left], b[left], alike[left])
         left, shared = left[shared > 0], shared[shared > 0]
         link(a[left], b[left], shared, certain=False)
     return links
